@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,9 +26,16 @@ def norm(vec: Column) -> Column:
     return F.sqrt(dot(vec, vec))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is computed once even if a lambda repeats it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def l2_normalize(vec: Column) -> Column:
-    length = norm(vec) + F.lit(D.EPSILON)
-    return F.transform(as_double(vec), lambda x: x / length)
+    return let(
+        norm(vec) + F.lit(D.EPSILON),
+        lambda length: F.transform(as_double(vec), lambda x: x / length),
+    )
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -59,7 +59,7 @@ def _scores(queries: np.ndarray, docs: np.ndarray, precision: str) -> np.ndarray
     if precision == "bool":
         # equal bits add one and different bits subtract one
         return (product + queries.shape[1]) / 2.0
-    return np.round(product, SCORE_DIGITS)
+    return product
 
 
 def _best_mask(scores: np.ndarray, n: int) -> np.ndarray:
@@ -93,7 +93,8 @@ class _Scan:
                 yield self._score(slice(q, q + QUERY_ROWS), chunk_ids, docs)
 
     def _score(self, rows: slice, ids: pa.Array, docs: np.ndarray) -> pa.RecordBatch:
-        scores = _scores(self.matrix[rows], docs, self.precision)
+        exact = _scores(self.matrix[rows], docs, self.precision)
+        scores = np.round(exact, SCORE_DIGITS)
         best = self.best[rows]
         keep = _best_mask(scores, self.n) & (scores >= best.min(axis=1, keepdims=True))
         seen = np.concatenate([best, np.where(keep, scores, -np.inf)], axis=1)
@@ -103,7 +104,7 @@ class _Scan:
             {
                 "query_id": self.ids.slice(rows.start).take(pa.array(query_at)),
                 "paper_id": ids.take(pa.array(doc_at)),
-                "score": pa.array(scores[query_at, doc_at]),
+                "score": pa.array(exact[query_at, doc_at]),
             }
         )
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors
@@ -18,15 +18,17 @@ def value_scale(df: DataFrame, vec: str = "vec") -> DataFrame:
     return values.agg((F.lit(4.0) * F.stddev_pop(F.abs("x"))).alias("scale"))
 
 
-def row_scale(vec):
+def row_scale(vec: Column) -> Column:
     """The same scale over the values of one vector."""
     magnitudes = F.transform(vectors.as_double(vec), F.abs)
-    mean = F.aggregate(magnitudes, F.lit(0.0), lambda acc, x: acc + x) / F.size(vec)
-    variance = (
-        F.aggregate(magnitudes, F.lit(0.0), lambda acc, x: acc + (x - mean) * (x - mean))
-        / F.size(vec)
-    )
-    return F.lit(4.0) * F.sqrt(variance)
+
+    def mean(values: Column) -> Column:
+        return F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x) / F.size(vec)
+
+    def deviation(center: Column) -> Column:
+        return F.sqrt(mean(F.transform(magnitudes, lambda x: (x - center) * (x - center))))
+
+    return F.lit(4.0) * vectors.let(mean(magnitudes), deviation)
 
 
 def quantize(
