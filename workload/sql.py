@@ -111,8 +111,8 @@ CTES = {
         SELECT word, row_number() OVER (ORDER BY md5('0|' || word), word) + 1 FROM vocab_words""",
     "word_values": """
         SELECT word, i,
-               (('0x' || substr(md5(word), CAST(i * 2 + 1 AS INTEGER), 2))::BIGINT - 128) / 128.0
-                   AS v
+               CAST(CAST((('0x' || substr(md5(word), CAST(i * 2 + 1 AS INTEGER), 2))::BIGINT
+                          - 128) / 127.0 AS FLOAT) AS DOUBLE) AS v
         FROM vocab_words, range(16) t(i)""",
     "paragraphs": """
         SELECT 'p' AS kind, paper_id AS id, 0 AS ptype, 2.0 AS w, title AS text FROM papers

@@ -162,7 +162,7 @@ class Tables:
 
         def element(i):
             byte = F.conv(F.substr(F.col("_h"), i * 2 + 1, F.lit(2)), 16, 10).cast("double")
-            return ((byte - 128) / 128).cast("float")
+            return ((byte - 128) / 127).cast("float")
 
         vector = F.transform(F.sequence(F.lit(0), F.lit(WORD_DIM - 1)), element)
         return materialize(
