@@ -35,8 +35,12 @@ def term_counts(
     keeps a row without term for texts without tokens.
     """
     placed = df.repartition(key).select(key, tokens.alias("_tokens"))
-    one_each = F.explode_outer("_tokens") if keep_empty else F.explode("_tokens")
-    exploded = placed.select(key, one_each.alias("term"), F.size("_tokens").alias("doc_len"))
+    # the length is taken before the array is, or each token would drag the array along;
+    # the outer form keeps Spark from tokenizing once more to find empty arrays
+    sized = placed.select(key, F.size("_tokens").alias("doc_len"), "_tokens")
+    exploded = sized.select(key, "doc_len", F.explode_outer("_tokens").alias("term"))
+    if not keep_empty:
+        exploded = exploded.filter(F.col("term").isNotNull())
     counts = exploded.groupBy(key, "term", "doc_len").agg(F.count("*").cast("int").alias("tf"))
     if lemmas is None:
         return counts
@@ -171,18 +175,10 @@ def _gain(tf: Column, doc_len: Column, avg_len: Column, k: float, b: float) -> C
     return tf * (1 + k) / (tf + k * (1 - b + b * doc_len / avg_len))
 
 
-def _term_weights(
-    terms: DataFrame, postings: DataFrame, stats: DataFrame, df: DataFrame | None
-) -> tuple[DataFrame, DataFrame]:
-    """Query terms with weight ``qtf * idf``, and the document frequencies used."""
-    if df is None:
-        known = terms.select("term").distinct()
-        df = document_frequency(postings.join(known, "term", "left_semi"))
-    n_docs = stats.select("n_docs").scalar()
-    weighted = terms.join(df, "term").select(
-        "query_id", "term", (F.col("qtf") * _idf(n_docs, F.col("df"))).alias("_weight")
-    )
-    return weighted, df
+def _term_weights(terms: DataFrame, df: DataFrame, stats: DataFrame) -> DataFrame:
+    """``(query_id, term, _weight)`` with weight ``qtf * idf``, for indexed terms."""
+    idf = _idf(stats.select("n_docs").scalar(), F.col("df"))
+    return terms.join(df, "term").select("query_id", "term", (F.col("qtf") * idf).alias("_weight"))
 
 
 def bm25_scores(
@@ -203,7 +199,9 @@ def bm25_scores(
     if small:
         known = F.broadcast(known)
     hits = postings.join(known, "term", "left_semi")
-    weights, df = _term_weights(terms, hits, stats, df)
+    if df is None:
+        df = document_frequency(hits)
+    weights = _term_weights(terms, df, stats)
     avg_len = stats.select("avg_len").scalar()
     gain = _gain(F.col("tf"), F.col("doc_len"), avg_len, k, b)
     hits = hits.select("term", "paper_id", gain.alias("_gain"))
@@ -229,7 +227,10 @@ def bm25_pairs(
 ) -> DataFrame:
     """BM25 of given ``pairs(query_id, paper_id)``; 0 where they share no term."""
     wanted = pairs.select("query_id", "paper_id").distinct()
-    weights, _ = _term_weights(terms, postings, stats, df)
+    if df is None:
+        known = terms.select("term").distinct()
+        df = document_frequency(postings.join(known, "term", "left_semi"))
+    weights = _term_weights(terms, df, stats)
     relevant = postings.join(wanted.select("paper_id").distinct(), "paper_id", "left_semi")
     gain = _gain(F.col("tf"), F.col("doc_len"), stats.select("avg_len").scalar(), k, b)
     scored = (

@@ -71,7 +71,7 @@ class Tables:
         by_length = F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))
         keys = passages.select("item_id", F.array_max(by_length)["w"].alias("word"))
         words = documents.select(
-            "doc_id", F.explode(F.array_distinct(T.split_words(F.col("text")))).alias("word")
+            "doc_id", F.explode_outer(F.array_distinct(T.split_words(F.col("text")))).alias("word")
         )
         found = words.join(keys, "word").select("doc_id", "item_id")
         pairs = found.join(documents.select("doc_id", "text"), "doc_id").join(
