@@ -22,19 +22,23 @@ def _require(condition: Column, message: str, value: Column) -> Column:
 def _per_query(candidates: DataFrame, queries: DataFrame, ks: Sequence[int], mode: str) -> DataFrame:
     """Hits within each K, and the list's length, for every query with its positives."""
     positives = queries.select(
-        "query_id", F.explode(F.array_distinct("positive_ids")).alias("paper_id")
+        "query_id",
+        F.explode(F.array_distinct("positive_ids")).alias("paper_id"),
+        F.lit(True).alias("_hit"),
     )
     ranked = candidates.select("query_id", "paper_id", "rank")
     if mode == "prefetch":
         # a paper listed twice counts once
         ranked = ranked.groupBy("query_id", "paper_id").agg(F.min("rank").alias("rank"))
-    hits = (
-        ranked.join(positives, ["query_id", "paper_id"])
+    lists = (
+        ranked.join(positives, ["query_id", "paper_id"], "left")
         .groupBy("query_id")
-        .agg(*[F.sum((F.col("rank") <= k).cast("int")).alias(f"hit_{k}") for k in ks])
+        .agg(
+            F.count("*").alias("length"),
+            *[F.count_if(F.col("_hit") & (F.col("rank") <= k)).alias(f"hit_{k}") for k in ks],
+        )
     )
-    lengths = candidates.groupBy("query_id").agg(F.count("*").alias("length"))
-    return queries.join(hits, "query_id", "left").join(lengths, "query_id", "left")
+    return queries.join(lists, "query_id", "left")
 
 
 def evaluate(

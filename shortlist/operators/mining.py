@@ -32,11 +32,15 @@ def token_sets(
     stopwords: Iterable[str] | None = None,
     lemmas: DataFrame | None = None,
 ) -> DataFrame:
-    """``(key, tokens)``: the distinct tokens of each text."""
+    """``(key, tokens)``: the distinct tokens of each text.
+
+    Texts are distributed by key before they are tokenized, which is where the join
+    with pairs needs them; the texts are smaller than their token sets.
+    """
     words = T.default_stopwords() if stopwords is None else stopwords
     tokens = T.tokenize(text, words, D.JACCARD_STOPWORDS)
     if lemmas is None:
-        return df.select(key, F.array_distinct(tokens).alias("tokens"))
+        return df.repartition(key).select(key, F.array_distinct(tokens).alias("tokens"))
     counts = term_counts(df, key, tokens, lemmas, keep_empty=True)
     return counts.groupBy(key).agg(F.collect_set("term").alias("tokens"))
 
@@ -47,6 +51,15 @@ def jaccard(a: Column, b: Column) -> Column:
     return common / (F.size(a) + F.size(b) - common + F.lit(D.EPSILON))
 
 
+def needed(side: DataFrame, pairs: DataFrame, key: str = "paper_id") -> DataFrame:
+    """The rows of ``side`` that ``pairs`` refer to.
+
+    Spark moves this below the projections of ``side``, so texts that no pair asks for
+    are neither tokenized nor shuffled.
+    """
+    return side.join(pairs.select(key).distinct(), key, "left_semi")
+
+
 def jaccard_pairs(pairs: DataFrame, query_sets: DataFrame, paper_sets: DataFrame) -> DataFrame:
     """Add ``jaccard`` to given ``(query_id, paper_id)`` rows; unknown papers are empty."""
     left = query_sets.select("query_id", F.col("tokens").alias("_a"))
@@ -65,7 +78,7 @@ def positive_threshold(
 ) -> DataFrame:
     """``(query_id, threshold)``: mean similarity of a query and its positives."""
     pairs = queries.select("query_id", F.explode("positive_ids").alias("paper_id"))
-    scored = jaccard_pairs(pairs, query_sets, paper_sets)
+    scored = jaccard_pairs(pairs, query_sets, needed(paper_sets, pairs))
     return scored.groupBy("query_id").agg(F.avg("jaccard").alias("threshold"))
 
 
@@ -114,18 +127,30 @@ def sample_hard_negatives(pool: DataFrame, n: int = D.MAX_HARD_NEGATIVE, seed: i
 
 def mine_hard_negatives(
     pool: DataFrame,
+    queries: DataFrame,
     query_sets: DataFrame,
     paper_sets: DataFrame,
-    thresholds: DataFrame,
     n: int = D.MAX_HARD_NEGATIVE,
     seed: int = 0,
 ) -> DataFrame:
-    """``(query_id, paper_id, jaccard, level)``. Only sampled rows are ever compared."""
-    sampled = sample_hard_negatives(pool, n, seed)
+    """``(query_id, paper_id, jaccard, level)`` of up to ``n`` negatives per query.
+
+    Level 2 is given to those at least as similar to the query as its positives are on
+    average (:func:`positive_threshold`). Only sampled rows and positives are compared,
+    and both in one pass over the texts.
+    """
+    sampled = sample_hard_negatives(pool, n, seed).withColumn("_positive", F.lit(False))
+    positives = queries.select(
+        "query_id", F.explode("positive_ids").alias("paper_id"), F.lit(True).alias("_positive")
+    )
+    pairs = sampled.unionByName(positives)
+    scored = jaccard_pairs(pairs, query_sets, needed(paper_sets, pairs))
+    of_positives = F.avg(F.when(F.col("_positive"), F.col("jaccard")))
+    threshold = of_positives.over(Window.partitionBy("query_id"))
     return (
-        jaccard_pairs(sampled, query_sets, paper_sets)
-        .join(thresholds, "query_id")
-        .withColumn("level", F.when(F.col("jaccard") >= F.col("threshold"), 2).otherwise(3))
+        scored.withColumn("_threshold", threshold)
+        .filter(~F.col("_positive") & F.col("_threshold").isNotNull())
+        .withColumn("level", F.when(F.col("jaccard") >= F.col("_threshold"), 2).otherwise(3))
         .select("query_id", "paper_id", "jaccard", "level")
     )
 
@@ -166,9 +191,8 @@ def training_samples(
         )
 
     anchors = queries.withColumn("paper_id", F.lit(None).cast("string"))
-    thresholds = positive_threshold(queries, query_sets, paper_sets)
     pool = hard_negative_pool(candidates, queries)
-    hard = mine_hard_negatives(pool, query_sets, paper_sets, thresholds, n_hard, seed)
+    hard = mine_hard_negatives(pool, queries, query_sets, paper_sets, n_hard, seed)
     zero = F.lit(0)
     return (
         rows(anchors, zero, "query", zero)

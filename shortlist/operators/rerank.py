@@ -15,7 +15,8 @@ from .. import defaults as D
 from ..functions import hashing
 from ..functions import text as T
 from ..functions import vectors
-from .mining import exclusions, jaccard_pairs, pick_positives
+from ..storage import materialize
+from .mining import exclusions, jaccard_pairs, needed, pick_positives
 
 FEATURES = ("bm25", "cosine", "jaccard", "inverse_rank")
 
@@ -136,8 +137,10 @@ def pair_features(
 ) -> DataFrame:
     """Add the columns in ``FEATURES`` to ``(query_id, paper_id, rank, ..)`` rows.
 
-    Each side table has one row per key, so the joins never multiply candidates.
+    Each side table has one row per key, so the joins never multiply candidates, and is
+    first cut down to the papers that are candidates.
     """
+    paper_sets, paper_vectors = (needed(side, candidates) for side in (paper_sets, paper_vectors))
     lexical = bm25.select("query_id", "paper_id", F.col("score").alias("bm25"))
     q = query_vectors.select("query_id", F.col("vec").alias("_q"))
     d = paper_vectors.select("paper_id", F.col("vec").alias("_d"))
@@ -252,7 +255,8 @@ def fit_pairwise_ranker(
     feature differences of positive and negative rows and to their mirror images.
     """
     values = F.array(*[F.col(f).cast("double") for f in features])
-    rows = lists.select("query_id", "level", values.alias("x"))
+    # features are costly and every pass of the fit reads them
+    rows = materialize(lists.select("query_id", "level", values.alias("x")), "ranker-rows")
     better = rows.filter(F.col("level") == 0).select("query_id", F.col("x").alias("p"))
     worse = rows.filter(F.col("level") != 0).select("query_id", F.col("x").alias("n"))
     differences = better.join(worse, "query_id").select(

@@ -142,7 +142,7 @@ def sample_vectors(
 ) -> DataFrame:
     """Add ``vec``: of the query for its own row, of the paper for all others."""
     q = query_vectors.select("query_id", F.col("vec").alias("_q"))
-    p = paper_vectors.select("paper_id", F.col("vec").alias("_p"))
+    p = M.needed(paper_vectors, samples).select("paper_id", F.col("vec").alias("_p"))
     return (
         samples.join(p, "paper_id", "left")
         .join(q, "query_id", "left")
@@ -180,7 +180,9 @@ def mining_round(
     samples = materialize(
         mine_samples(queries, candidates, refreshed, seed=seed, **options), "samples"
     )
-    with_vectors = sample_vectors(samples, embed_queries(queries, encoder), index)
+    with_vectors = materialize(
+        sample_vectors(samples, embed_queries(queries, encoder), index), "sample-vectors"
+    )
     losses = M.triplet_loss(with_vectors.filter(F.col("vec").isNotNull()))
     metrics = evaluate_prefetch(validation, contexts, papers, retriever, ks)
     return MiningRound(candidates, samples, losses, metrics)

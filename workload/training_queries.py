@@ -79,8 +79,7 @@ def sample_positives(t: Tables):
 def mine_hard_negatives(t: Tables):
     queries = t.answerable_queries
     pool = M.hard_negative_pool(t.candidates, queries)
-    sets = _sets(t)
-    mined = M.mine_hard_negatives(pool, *sets, M.positive_threshold(queries, *sets), 3, SEED)
+    mined = M.mine_hard_negatives(pool, queries, *_sets(t), 3, SEED)
     return mined.select("query_id", "paper_id", *rounded("jaccard"), "level")
 
 
