@@ -16,6 +16,7 @@ from pyspark.sql import SparkSession
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
+from shortlist.storage import SETTINGS  # noqa: E402
 from workload import QUERIES  # noqa: E402
 from workload.views import tables  # noqa: E402
 
@@ -54,10 +55,11 @@ HEADLINE = [
 def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
+    builder = SparkSession.builder.master(f"local[{cpus}]").appName("bench")
+    for name, value in SETTINGS.items():
+        builder = builder.config(name, value)
     spark = (
-        SparkSession.builder.master(f"local[{cpus}]")
-        .appName("bench")
-        .config("spark.sql.shuffle.partitions", cpus)
+        builder.config("spark.sql.shuffle.partitions", cpus)
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "16g")
         .getOrCreate()

@@ -15,26 +15,16 @@ from pyspark.sql import types
 
 from .. import defaults as D
 from ..functions import text as T
-from ..storage import BROADCAST_ROWS, fits_broadcast
 from .lexical import apply_lemmas
-from .skew import SLICE, spread_heavy
+from .skew import lookup
 
 Encoder = Callable[[DataFrame], DataFrame]
 
-#: largest word-vector table copied to the executors
+#: largest vocabulary (in words) and word-vector table copied to the executors
+BROADCAST_WORDS = 4_000_000
 BROADCAST_VECTOR_BYTES = 512 << 20
 
 
-def _lookup(
-    words: DataFrame, table: DataFrame, key: str, salt_by: str, max_rows: int
-) -> DataFrame:
-    """Left join of many words with a table of one row per word."""
-    if fits_broadcast(table.select(key), max_rows):
-        return words.join(F.broadcast(table), key, "left")
-    words, table = spread_heavy(words, table, key, salt_by)
-    return words.join(table, [key, SLICE], "left").drop(SLICE)
-
-
 # --- sequences --------------------------------------------------------------------------
 
 
@@ -45,7 +35,7 @@ def encode_sequences(
     vocab: DataFrame,
     max_len: int | None = None,
     lower: bool = True,
-    broadcast_rows: int = BROADCAST_ROWS,
+    broadcast_words: int = BROADCAST_WORDS,
 ) -> DataFrame:
     """``(key, seq)``: vocabulary indexes of the white-space words, unknown ones left out.
 
@@ -54,7 +44,7 @@ def encode_sequences(
     source = T.normalize_text(T.or_empty(text)) if lower else T.or_empty(text)
     placed = df.repartition(key).select(key, T.split_words(source).alias("_words"))
     words = placed.select(key, F.posexplode_outer("_words").alias("_pos", "word"))
-    found = _lookup(words, vocab.select("word", "idx"), "word", key, broadcast_rows)
+    found = lookup(words, vocab.select("word", "idx"), "word", broadcast_words)
     seq = found.groupBy(key).agg(
         F.array_sort(
             F.collect_list(F.when(F.col("idx").isNotNull(), F.struct("_pos", "idx")))
@@ -117,7 +107,7 @@ def decode_sequences(df: DataFrame, key: str, seq: Column, vocab: DataFrame) ->
     kept = marked.repartition(key).select(
         key, F.posexplode_outer(F.slice("_seq", F.lit(1), end.cast("int"))).alias("_pos", "idx")
     )
-    found = _lookup(kept, vocab.select("idx", "word"), "idx", key, BROADCAST_ROWS)
+    found = lookup(kept, vocab.select("idx", "word"), "idx", BROADCAST_WORDS)
     word = F.struct("_pos", F.coalesce("word", F.lit(D.UNK_TOKEN)).alias("word"))
     return (
         found.groupBy(key)
@@ -143,6 +133,7 @@ def _paragraph_means(
     dim: int,
     stopwords: Iterable[str] | None,
     lemmas: DataFrame | None,
+    vector_bytes: int,
 ) -> DataFrame:
     """Mean word vector of each ``(doc_id, at, ptype, is_empty, text)``.
 
@@ -151,6 +142,7 @@ def _paragraph_means(
     added up on the map side and never travel per word.
     """
     group = ["doc_id", "at", "ptype", "is_empty"]
+    max_words = vector_bytes // (4 * dim + 64)
     tokens = documents.select(*group, T.tokenize(F.col("text"), stopwords).alias("_tokens"))
     counts = (
         tokens.select(*group, F.explode_outer("_tokens").alias("word"))
@@ -159,8 +151,7 @@ def _paragraph_means(
     )
     if lemmas is not None:
         counts = apply_lemmas(counts, lemmas, "word")
-    max_rows = min(BROADCAST_ROWS, BROADCAST_VECTOR_BYTES // (4 * dim + 64))
-    found = _lookup(counts, word_vectors.select("word", "vector"), "word", "doc_id", max_rows)
+    found = lookup(counts, word_vectors.select("word", "vector"), "word", max_words)
     known = F.sum(F.when(F.col("vector").isNotNull(), F.col("tf")))
     sums = found.groupBy(*group).agg(
         known.alias("_n"),
@@ -178,6 +169,7 @@ def mean_vector_encoder(
     dim: int = D.EMBED_DIM,
     stopwords: Iterable[str] | None = None,
     lemmas: DataFrame | None = None,
+    vector_bytes: int = BROADCAST_VECTOR_BYTES,
 ) -> Encoder:
     """Mean of the vectors of a document's known words; all zeros if it has none."""
 
@@ -189,7 +181,7 @@ def mean_vector_encoder(
             F.lit(False).alias("is_empty"),
             T.document_text(F.col("document")).alias("text"),
         )
-        means = _paragraph_means(whole, word_vectors, dim, stopwords, lemmas)
+        means = _paragraph_means(whole, word_vectors, dim, stopwords, lemmas, vector_bytes)
         return means.select("doc_id", F.array(*[f"_m{i}" for i in range(dim)]).alias("vec"))
 
     return encode
@@ -202,6 +194,7 @@ def hierarchical_encoder(
     max_doc_len: int = D.MAX_DOC_LEN,
     stopwords: Iterable[str] | None = None,
     lemmas: DataFrame | None = None,
+    vector_bytes: int = BROADCAST_VECTOR_BYTES,
 ) -> Encoder:
     """Words to paragraph vectors, then a weighted mean over the paragraphs.
 
@@ -220,7 +213,9 @@ def hierarchical_encoder(
         for label, value in (type_weights or {}).items():
             weight = F.when(F.col("ptype") == label, F.lit(float(value))).otherwise(weight)
         weight = F.when(F.col("is_empty"), F.lit(0.0)).otherwise(weight)
-        means = _paragraph_means(paragraphs, word_vectors, dim, stopwords, lemmas)
+        means = _paragraph_means(
+            paragraphs, word_vectors, dim, stopwords, lemmas, vector_bytes
+        )
         total = F.sum(weight)
         vec = [
             F.when(total > 0, F.sum(weight * F.col(f"_m{i}")) / total).otherwise(F.lit(0.0))

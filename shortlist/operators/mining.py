@@ -145,13 +145,18 @@ def mine_hard_negatives(
     )
     pairs = sampled.unionByName(positives)
     scored = jaccard_pairs(pairs, query_sets, needed(paper_sets, pairs))
-    of_positives = F.avg(F.when(F.col("_positive"), F.col("jaccard")))
-    threshold = of_positives.over(Window.partitionBy("query_id"))
+    # positives are averaged on the map side; at most n negatives per query are gathered
+    negative = F.when(~F.col("_positive"), F.struct("paper_id", "jaccard"))
     return (
-        scored.withColumn("_threshold", threshold)
-        .filter(~F.col("_positive") & F.col("_threshold").isNotNull())
-        .withColumn("level", F.when(F.col("jaccard") >= F.col("_threshold"), 2).otherwise(3))
-        .select("query_id", "paper_id", "jaccard", "level")
+        scored.groupBy("query_id")
+        .agg(
+            F.avg(F.when(F.col("_positive"), F.col("jaccard"))).alias("_threshold"),
+            F.collect_list(negative).alias("_negatives"),
+        )
+        .filter(F.col("_threshold").isNotNull())
+        .select("query_id", "_threshold", F.explode("_negatives").alias("_n"))
+        .withColumn("level", F.when(F.col("_n.jaccard") >= F.col("_threshold"), 2).otherwise(3))
+        .select("query_id", "_n.paper_id", "_n.jaccard", "level")
     )
 
 

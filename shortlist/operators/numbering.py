@@ -57,15 +57,20 @@ def ordered_index(df: DataFrame, key: str, out: str = "row_idx") -> DataFrame:
 def sample_rows(
     df: DataFrame, key: str, size: int = 0, start: int = 0, shuffle: bool = True, seed: int = 0
 ) -> DataFrame:
-    """``size`` rows from position ``start`` (0 = all the rest) in hash or key order."""
+    """``size`` rows from position ``start`` (0 = all the rest) in hash or key order.
+
+    ``key`` is unique. Small samples choose among the bare keys, so whole rows never
+    gather in one task.
+    """
     if size == 0 and start == 0:
         return df
     if size and start + size <= MAX_LIMIT_ROWS:
         order = [F.col(key)]
         if shuffle:
             order.insert(0, hashing.seeded_hash(seed, F.col(key)))
-        ordered = df.orderBy(*order)
-        return (ordered.offset(start) if start else ordered).limit(size)
+        keys = df.select(key).orderBy(*order)
+        chosen = (keys.offset(start) if start else keys).limit(size)
+        return df.join(F.broadcast(chosen), key, "left_semi")
     numbered = dense_index(df, key, seed, "_pos") if shuffle else ordered_index(df, key, "_pos")
     picked = F.col("_pos") >= start
     if size:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import fits_broadcast, materialize
+
 SLICE = "_slice"
 #: a key with more than 1 / SHARES of all rows is cut into slices
 SHARES = 1000
@@ -35,3 +37,22 @@ def spread_heavy(
         big.join(heavy, key, "left").withColumn(SLICE, sliced).drop("_slices"),
         small.join(heavy, key, "left").withColumn(SLICE, repeated).drop("_slices"),
     )
+
+
+def lookup(rows: DataFrame, table: DataFrame, key: str, max_rows: int) -> DataFrame:
+    """Left join of many rows with a table of one row per key.
+
+    A table of at most ``max_rows`` rows is copied to the executors, so ``rows`` stay
+    where they are. Beyond that, only the entries of the ``max_rows`` most frequent keys
+    are copied; the other keys have few rows each and meet their entries in a shuffle.
+    """
+    if fits_broadcast(table.select(key), max_rows):
+        return rows.join(F.broadcast(table), key, "left")
+    rows = materialize(rows, "lookup")
+    counts = rows.groupBy(key).agg(F.count("*").alias("_n"))
+    frequent = counts.orderBy(F.desc("_n")).limit(max(max_rows, SHARES)).select(key)
+    head = frequent.join(table, key, "left").withColumn("_head", F.lit(True))
+    met = rows.join(F.broadcast(head), key, "left")
+    done = met.filter(F.col("_head").isNotNull()).drop("_head")
+    rest = met.filter(F.col("_head").isNull()).select(*rows.columns).join(table, key, "left")
+    return done.unionByName(rest)

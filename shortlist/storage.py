@@ -7,6 +7,17 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Session settings the operators are written for. Adaptive execution splits the hot
+#: partitions of shuffle joins, also where that costs another exchange, and resizes the
+#: number of partitions to the data.
+SETTINGS = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "8192",
+}
+
 #: Largest table (in rows) we are willing to copy to every executor.
 BROADCAST_ROWS = 500_000
 
