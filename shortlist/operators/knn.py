@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..functions import vectors
+from ..storage import materialize
 
 SCORE_DIGITS = 9
 #: documents scored in one matrix product
@@ -256,4 +257,5 @@ def knn(
     if min_parts is None:
         min_parts = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     query_rows = max(1, min(4096, (BROADCAST_STATE >> 2) // n))
+    q = materialize(q, "query-vectors")
     return rank_top(_by_grid(q, d, n, precision, dim, part_rows, query_rows, min_parts), n)

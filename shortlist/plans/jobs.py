@@ -36,7 +36,8 @@ def build_index(
     mode: str = "errorifexists",
 ) -> None:
     """Embed all papers, or a seeded sample of ``size``, and store the index."""
-    writers.write_index(embed_papers(sample_rows(papers, "paper_id", size, seed=seed), encoder), path, mode)
+    chosen = sample_rows(papers, "paper_id", size, seed=seed)
+    writers.write_index(embed_papers(chosen, encoder), path, mode=mode)
 
 
 def bm25_search(
@@ -56,6 +57,11 @@ def prefetch(
     return C.drop_citing(fetched, queries, n, exclude)
 
 
+def stored_queries(corpus: DataFrame, contexts: DataFrame, papers: DataFrame) -> DataFrame:
+    """Queries of a corpus, resolved once: retrieval and metrics both read them."""
+    return materialize(C.context_queries(corpus, contexts, papers), "queries")
+
+
 def generate_candidates(
     corpus: DataFrame,
     contexts: DataFrame,
@@ -69,7 +75,7 @@ def generate_candidates(
 ) -> DataFrame:
     """Candidates of (a sample of) a corpus, never containing the citing paper."""
     chosen = sample_rows(corpus, "context_id", size, start, shuffle, seed)
-    queries = C.context_queries(chosen, contexts, papers)
+    queries = stored_queries(chosen, contexts, papers)
     return prefetch(queries, retriever, top_k, "always")
 
 
@@ -85,7 +91,7 @@ def evaluate_prefetch(
 ) -> DataFrame:
     """Metrics of a retriever over a corpus split, from one search with the largest K."""
     chosen = sample_rows(corpus, "context_id", size, start, shuffle=False)
-    queries = C.context_queries(chosen, contexts, papers)
+    queries = stored_queries(chosen, contexts, papers)
     found = prefetch(queries, retriever, max(ks), "unless_positive")
     return E.evaluate(found, queries, ks, "prefetch", strict)
 
@@ -175,7 +181,7 @@ def mining_round(
     index = embedded.withColumn("vec", vectors.l2_normalize(F.col("vec")))
     retriever = make_retriever(encoder, index)
     chosen = sample_rows(train, "context_id", n_examples, seed=seed)
-    queries = C.context_queries(chosen, contexts, papers)
+    queries = stored_queries(chosen, contexts, papers)
     candidates = materialize(prefetch(queries, retriever, top_k, "always"), "candidates")
     samples = materialize(
         mine_samples(queries, candidates, refreshed, seed=seed, **options), "samples"
@@ -205,6 +211,8 @@ class FeatureTables:
     paper_sets: DataFrame
 
     def features(self, candidates: DataFrame) -> DataFrame:
+        # each side table is cut down to the listed papers, so lists are read many times
+        candidates = materialize(candidates, "pairs")
         bm25 = bm25_pairs(candidates, self.terms, self.postings, self.stats)
         return R.pair_features(
             candidates, bm25, self.query_vectors, self.paper_vectors, self.query_sets, self.paper_sets
@@ -256,6 +264,7 @@ def evaluate_rerank(
     ranked = rerank_candidates(candidates, scorer, top_k)
     labelled = R.label_candidates(ranked, queries)
     if hits_path is not None:
+        labelled = materialize(labelled, "labelled")
         kept = labelled.select("query_id", "paper_id", "rank", "score", "is_hit")
         writers.write_hits(kept, hits_path, slice_name)
     return E.evaluate(labelled, queries, ks, "rerank", strict)

@@ -17,6 +17,7 @@ from ..operators.encode import Encoder, embed_documents
 from ..operators.knn import knn
 from ..operators.lexical import bm25_scores, bm25_top_n, corpus_stats, query_terms
 from ..operators.quantize import quantize
+from ..storage import materialize
 
 Retriever = Callable[[DataFrame, int], DataFrame]
 
@@ -62,7 +63,8 @@ def lexical_retriever(
     """Best papers by BM25."""
 
     def retrieve(queries: DataFrame, n: int) -> DataFrame:
-        terms = query_terms(queries, text(queries), stopwords, lemmas, pretokenized)
+        asked = query_terms(queries, text(queries), stopwords, lemmas, pretokenized)
+        terms = materialize(asked, "query-terms")
         scores = bm25_scores(terms, postings, corpus_stats(doc_stats), k, b)
         return bm25_top_n(scores, n, queries, doc_stats, fill)
 

@@ -10,12 +10,17 @@ def write_table(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     df.write.mode(mode).parquet(path)
 
 
-def write_index(embeddings: DataFrame, path: str, mode: str = "errorifexists") -> None:
+def write_index(
+    embeddings: DataFrame, path: str, converted: bool = False, mode: str = "errorifexists"
+) -> None:
     """Store an embedding index, sorted by id inside each file.
 
-    The key travels with its vector, so there is no separate id mapping to keep aligned.
+    Vectors are kept as 4-byte floats, or as they are if ``converted`` says that they are
+    quantized. The key travels with its vector, so there is no id mapping to keep aligned.
     """
-    embeddings.sortWithinPartitions("paper_id").write.mode(mode).parquet(path)
+    vec = F.col("vec") if converted else F.col("vec").cast("array<float>")
+    index = embeddings.select("paper_id", vec.alias("vec"))
+    index.sortWithinPartitions("paper_id").write.mode(mode).parquet(path)
 
 
 def write_postings(

@@ -36,16 +36,18 @@ def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder for intermediate tables (``spark.checkpoint.dir``).
 
-    Only a local session without that setting falls back to a temporary folder.
+    Where that is unset, the checkpoint folder of the session is used; only a local
+    session without either gets a temporary one.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    folder = tempfile.mkdtemp(prefix="shortlist-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="shortlist-"))
+    return context.getCheckpointDir()
 
 
 def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
