@@ -227,15 +227,18 @@ def bm25_pairs(
 ) -> DataFrame:
     """BM25 of given ``pairs(query_id, paper_id)``; 0 where they share no term."""
     wanted = pairs.select("query_id", "paper_id").distinct()
-    if df is None:
-        known = terms.select("term").distinct()
-        df = document_frequency(postings.join(known, "term", "left_semi"))
-    weights = _term_weights(terms, df, stats)
-    relevant = postings.join(wanted.select("paper_id").distinct(), "paper_id", "left_semi")
+    known = terms.select("term").distinct()
+    if fits_broadcast(terms):
+        known = F.broadcast(known)
+    hits = postings.join(known, "term", "left_semi")
+    weights = _term_weights(terms, document_frequency(hits) if df is None else df, stats)
     gain = _gain(F.col("tf"), F.col("doc_len"), stats.select("avg_len").scalar(), k, b)
+    relevant = hits.select("paper_id", "term", gain.alias("_gain")).join(
+        wanted.select("paper_id").distinct(), "paper_id", "left_semi"
+    )
     scored = (
         wanted.join(weights, "query_id")
-        .join(relevant.select("paper_id", "term", gain.alias("_gain")), ["paper_id", "term"])
+        .join(relevant, ["paper_id", "term"])
         .groupBy("query_id", "paper_id")
         .agg(F.sum(F.col("_weight") * F.col("_gain")).alias("score"))
     )

@@ -211,8 +211,11 @@ class FeatureTables:
     paper_sets: DataFrame
 
     def features(self, candidates: DataFrame) -> DataFrame:
-        # each side table is cut down to the listed papers, so lists are read many times
-        candidates = materialize(candidates, "pairs")
+        # each side table is cut down to the listed papers, so lists are read many times;
+        # a pair is few bytes but much work, so tasks are not sized by bytes, and pairs of
+        # a hot query or paper are dealt to all of them
+        n_tasks = int(candidates.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        candidates = materialize(candidates, "pairs").repartition(n_tasks, "query_id", "paper_id")
         bm25 = bm25_pairs(candidates, self.terms, self.postings, self.stats)
         return R.pair_features(
             candidates, bm25, self.query_vectors, self.paper_vectors, self.query_sets, self.paper_sets
@@ -231,10 +234,10 @@ def feature_tables(
     query_sets, paper_sets = text_sets(queries, papers, stopwords)
     return FeatureTables(
         queries,
-        query_terms(queries, queries["local_context"]),
+        materialize(query_terms(queries, queries["local_context"]), "query-terms"),
         postings,
         corpus_stats(doc_stats),
-        embed_queries(queries, encoder),
+        materialize(embed_queries(queries, encoder), "query-vectors"),
         paper_vectors,
         query_sets,
         paper_sets,
