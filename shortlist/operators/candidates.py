@@ -85,7 +85,10 @@ def drop_citing(candidates: DataFrame, queries: DataFrame, n: int, exclude: str)
 
 
 def with_candidates(corpus: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Corpus rows with ``prefetched_ids`` in rank order; an empty list if there is none."""
+    """Corpus rows with ``prefetched_ids`` in rank order; an empty list if there is none.
+
+    Ranked lists have a fixed length, so what is gathered per query is bounded.
+    """
     lists = (
         candidates.groupBy(F.col("query_id").alias("context_id"))
         .agg(F.array_sort(F.collect_list(F.struct("rank", "paper_id"))).alias("_ranked"))

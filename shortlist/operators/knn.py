@@ -15,6 +15,7 @@ Ties on the score, rounded to nine digits, go to the lower id at each step.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -131,31 +132,26 @@ def _by_grid(
     queries: DataFrame, docs: DataFrame, n: int, precision: str, dim: int,
     part_rows: int, query_rows: int, min_parts: int,
 ) -> DataFrame:
-    def count(df: DataFrame, per: int, at_least: int):
-        blocks = df.agg(F.greatest(F.ceil(F.count("*") / per), F.lit(at_least)).alias("n"))
-        return blocks.scalar().cast("int")
+    n_parts = max(min_parts, math.ceil(docs.count() / part_rows))
+    n_blocks = max(1, math.ceil(queries.count() / query_rows))
 
-    def bucket(n_buckets):
-        return F.pmod(F.xxhash64("id"), F.col(n_buckets)).cast("int")
+    def bucket(n_buckets: int):
+        return F.pmod(F.xxhash64("id"), F.lit(n_buckets)).cast("int")
 
-    def every(n_buckets):
-        return F.explode(F.sequence(F.lit(0), F.col(n_buckets) - 1))
+    def every(n_buckets: int):
+        return F.explode(F.sequence(F.lit(0), F.lit(n_buckets - 1)))
 
-    parts, blocks = count(docs, part_rows, min_parts), count(queries, query_rows, 1)
-    sized_q = queries.withColumn("_parts", parts).withColumn("_blocks", blocks)
-    sized_d = docs.withColumn("_parts", parts).withColumn("_blocks", blocks)
-    query_cells = sized_q.withColumn("block", bucket("_blocks")).select(
-        every("_parts").alias("part"), "block", "_blocks", F.lit(0).alias("side"), "id", "vec"
+    query_cells = queries.withColumn("block", bucket(n_blocks)).select(
+        every(n_parts).alias("part"), "block", F.lit(0).alias("side"), "id", "vec"
     )
-    doc_cells = sized_d.withColumn("part", bucket("_parts")).select(
-        "part", every("_blocks").alias("block"), "_blocks", F.lit(1).alias("side"), "id", "vec"
+    doc_cells = docs.withColumn("part", bucket(n_parts)).select(
+        "part", every(n_blocks).alias("block"), F.lit(1).alias("side"), "id", "vec"
     )
-    # cells are dealt out in turn, so that no task gets several while others get none
+    # one task per cell, so that a task's share does not grow with the data
     grid = (
         query_cells.unionByName(doc_cells)
-        .repartitionById(min_parts, F.expr("part * _blocks + block"))
+        .repartitionById(n_parts * n_blocks, F.col("part") * n_blocks + F.col("block"))
         .sortWithinPartitions("part", "block", "side")
-        .drop("_blocks")
     )
 
     def runs(batch: pa.RecordBatch) -> Iterator[tuple[tuple, pa.RecordBatch]]:

@@ -140,7 +140,8 @@ def mine_samples(
     samples = M.training_samples(
         queries, candidates, papers, query_sets, paper_sets, seed=seed, **counts
     )
-    return M.assign_batches(samples, budget, seed, bucket_queries)
+    # groups are measured first and then dealt to batches
+    return M.assign_batches(materialize(samples, "samples"), budget, seed, bucket_queries)
 
 
 def sample_vectors(
