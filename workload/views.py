@@ -70,7 +70,8 @@ class Tables:
         inner = F.slice(inner, F.lit(2), F.greatest(F.size(inner) - 2, F.lit(0)))
         by_length = F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))
         keys = passages.select("item_id", F.array_max(by_length)["w"].alias("word"))
-        words = documents.select(
+        # the folder may hold one file of one row group: deal its texts to all tasks
+        words = documents.repartition("doc_id").select(
             "doc_id", F.explode_outer(F.array_distinct(T.split_words(F.col("text")))).alias("word")
         )
         found = words.join(keys, "word").select("doc_id", "item_id")
