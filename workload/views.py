@@ -24,6 +24,7 @@ from shortlist.operators.numbering import dense_index
 from shortlist.operators.rerank import score_pairs
 from shortlist.plans.jobs import FeatureTables, embed_papers, feature_tables, prefetch
 from shortlist.plans.retrievers import Retriever, dense_retriever, lexical_retriever
+from shortlist.shipping import ship_package
 from shortlist.storage import materialize
 
 VECTOR_DIM = 64
@@ -219,10 +220,18 @@ class Tables:
         return self.vectors.withColumnRenamed("paper_id", "query_id")
 
 
+@lru_cache(maxsize=8)
+def _shipped(application: str, spark: SparkSession) -> bool:
+    ship_package(spark)
+    return True
+
+
 @lru_cache(maxsize=8)
 def _tables(application: str, spark: SparkSession, folder: str) -> Tables:
     return Tables(spark, folder)
 
 
 def tables(spark: SparkSession, folder: str) -> Tables:
-    return _tables(spark.sparkContext.applicationId, spark, folder)
+    application = spark.sparkContext.applicationId
+    _shipped(application, spark)
+    return _tables(application, spark, folder)
