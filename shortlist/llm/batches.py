@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,8 +35,8 @@ def sized(
     for batch in batches:
         if not batch.num_rows:
             continue
-        lengths = batch.column(column).value_lengths() if batch.num_rows else None
-        sizes = np.asarray(lengths.fill_null(0)).astype(np.int64)
+        lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0)
+        sizes = np.asarray(lengths).astype(np.int64)
         start = 0
         total = np.cumsum(sizes)
         while start < batch.num_rows:

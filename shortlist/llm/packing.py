@@ -36,7 +36,7 @@ SENTENCE_PENALTY = 4.0
 #: cost of a cut between words of a long sentence, and of a cut in a very long word
 WORD_PENALTY, FORCED_PENALTY = 12.0, 256.0
 #: sentences over this many tokens may be cut between words, about this many tokens apart
-LONG_SENTENCE, WORD_STEP = 64, 24
+LONG_SENTENCE, WORD_STEP = 32, 24
 #: cost of a window, so that equal padding prefers fewer windows
 WINDOW_COST = 1.0
 #: tokens solved at a time, and the tail of them that is solved again

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing
+from . import bpe, langid, packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -48,3 +48,12 @@ def op10_encode_documents(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.digests(
         table(spark, folder, "documents"), "doc_id", "text", tokenizer_path(WORD_VOCABULARY)
     )
+
+
+@register
+def op9_identify_language(spark: SparkSession, folder: str) -> DataFrame:
+    """The language of all documents, learned from the labelled ones outside the held-out fold."""
+    docs = table(spark, folder, "documents")
+    model = langid.fit(docs, "text", "lang", "doc_id", ~langid.held_out("doc_id"))
+    found = langid.predict(docs.select("doc_id", "text"), "text", model, spans=False)
+    return found.select("doc_id", langid.held_out("doc_id").alias("held_out"), "lang_pred", "score")
