@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, packing
+from . import bpe, extraction, langid, packing, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -57,3 +57,28 @@ def op9_identify_language(spark: SparkSession, folder: str) -> DataFrame:
     model = langid.fit(docs, "text", "lang", "doc_id", ~langid.held_out("doc_id"))
     found = langid.predict(docs.select("doc_id", "text"), "text", model, spans=False)
     return found.select("doc_id", langid.held_out("doc_id").alias("held_out"), "lang_pred", "score")
+
+
+@register
+def op7_extract_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """The main text of all pages."""
+    pages = table(spark, folder, "pages").select("page_id", "url", "html")
+    return extraction.extract(pages, "html").withColumn("n_chars", F.length("text").cast("long"))
+
+
+#: the rules of the URL query
+URL_RULES = [
+    url_filter.Rule("org/", "allow"),
+    url_filter.Rule("example.org/es/", "block"),
+    url_filter.Rule("example.org/en/1", "block"),
+    url_filter.Rule("com/fr/", "allow"),
+    url_filter.Rule("com/de/", "block"),
+]
+
+
+@register
+def op2_judge_urls(spark: SparkSession, folder: str) -> DataFrame:
+    """The verdict on the URL of every page, by rule or by language model."""
+    pages = table(spark, folder, "pages").select("page_id", "url")
+    judged = url_filter.judge_urls(pages, "url", URL_RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict", "url_score")
