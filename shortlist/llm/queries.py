@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, extraction, langid, packing, url_filter
+from . import bpe, extraction, langid, packing, secret_scan, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -82,3 +82,57 @@ def op2_judge_urls(spark: SparkSession, folder: str) -> DataFrame:
     pages = table(spark, folder, "pages").select("page_id", "url")
     judged = url_filter.judge_urls(pages, "url", URL_RULES)
     return judged.select("page_id", "host", "path", "rule", "verdict", "url_score")
+
+
+@register
+def op3_archive_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """All pages written to Zstandard WARC archives and read back."""
+    pages = table(spark, folder, "pages")
+    archives = warc.archive_folder(pages)
+    files = warc.write_archives(pages, archives, "page_id", "url", "html")
+    records = warc.read_archives(spark, archives, files, payload=False)
+    return records.select(
+        warc.key_of(F.col("record_id")).alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        "record_type",
+        warc.key_of(F.col("refers_to")).alias("refers_to"),
+        "error",
+    )
+
+
+@register
+def op4_scan_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    """The secrets in all documents: counts and digest of the base kinds, and all spans."""
+    rules = [*secret_scan.BASE_RULES, *secret_scan.ADDED_RULES]
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = secret_scan.scan(docs, "text", rules)
+    base = F.filter("spans", lambda s: s.ord < len(secret_scan.BASE_RULES))
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda s: s.kind == kind)).cast("long")
+
+    return found.select(
+        "doc_id",
+        *[count(rule.kind).alias(f"n_{rule.kind}") for rule in secret_scan.BASE_RULES],
+        F.sha2(secret_scan.listed(base), 256).alias("base_sha256"),
+        secret_scan.listed(F.col("spans")).alias("spans"),
+    )
+
+
+ORACLES["op4_scan_secrets"] = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+spans AS ({secret_scan.duckdb_spans([*secret_scan.BASE_RULES, *secret_scan.ADDED_RULES])}),
+listed AS (
+  SELECT rid, kind, ord, s, kind || ':' || s::BIGINT || ':' || e::BIGINT AS shown FROM spans
+)
+SELECT d.doc_id,
+       count(shown) FILTER (WHERE kind = 'assign') AS n_assign,
+       count(shown) FILTER (WHERE kind = 'access') AS n_access,
+       count(shown) FILTER (WHERE kind = 'hex') AS n_hex,
+       sha256(coalesce(string_agg(shown, ',' ORDER BY s, ord)
+                       FILTER (WHERE ord < {len(secret_scan.BASE_RULES)}), '')) AS base_sha256,
+       coalesce(string_agg(shown, ',' ORDER BY s, ord), '') AS spans
+FROM d LEFT JOIN listed USING (rid)
+GROUP BY rid, d.doc_id
+"""
