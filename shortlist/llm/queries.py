@@ -7,7 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, extraction, langid, packing, secret_scan, url_filter, warc
+from . import (
+    ann_forest,
+    bpe,
+    embedding_dedup,
+    extraction,
+    langid,
+    packing,
+    secret_scan,
+    url_filter,
+    warc,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -136,3 +146,17 @@ SELECT d.doc_id,
 FROM d LEFT JOIN listed USING (rid)
 GROUP BY rid, d.doc_id
 """
+
+
+@register
+def op5_search_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    """The five nearest vectors of every fiftieth one."""
+    vectors = table(spark, folder, "embeddings")
+    return ann_forest.search(vectors, "vec_id", "embedding", F.col("vec_id") % 50 == 0)
+
+
+@register
+def op8_dedup_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    """Links and components of all vectors of equal label with cosine 0.93 or more."""
+    vectors = table(spark, folder, "embeddings")
+    return embedding_dedup.near_duplicates(vectors, "vec_id", "embedding", "label")
