@@ -13,6 +13,7 @@ from . import (
     embedding_dedup,
     extraction,
     langid,
+    ngram_join,
     packing,
     secret_scan,
     url_filter,
@@ -160,3 +161,10 @@ def op8_dedup_vectors(spark: SparkSession, folder: str) -> DataFrame:
     """Links and components of all vectors of equal label with cosine 0.93 or more."""
     vectors = table(spark, folder, "embeddings")
     return embedding_dedup.near_duplicates(vectors, "vec_id", "embedding", "label")
+
+
+@register
+def op6_join_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """Groups of documents whose sets of three-word shingles overlap by 90 %."""
+    docs = table(spark, folder, "documents")
+    return ngram_join.join_groups(docs, "doc_id", "text")
