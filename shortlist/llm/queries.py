@@ -112,12 +112,15 @@ def op3_archive_pages(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+#: the rules of the secret scan, base kinds first
+SECRET_RULES = (*secret_scan.BASE_RULES, *secret_scan.ADDED_RULES)
+
+
 @register
 def op4_scan_secrets(spark: SparkSession, folder: str) -> DataFrame:
     """The secrets in all documents: counts and digest of the base kinds, and all spans."""
-    rules = [*secret_scan.BASE_RULES, *secret_scan.ADDED_RULES]
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    found = secret_scan.scan(docs, "text", rules)
+    found = secret_scan.scan(docs, "text", SECRET_RULES)
     base = F.filter("spans", lambda s: s.ord < len(secret_scan.BASE_RULES))
 
     def count(kind: str) -> Column:
@@ -133,7 +136,7 @@ def op4_scan_secrets(spark: SparkSession, folder: str) -> DataFrame:
 
 ORACLES["op4_scan_secrets"] = f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
-spans AS ({secret_scan.duckdb_spans([*secret_scan.BASE_RULES, *secret_scan.ADDED_RULES])}),
+spans AS ({secret_scan.duckdb_spans(SECRET_RULES)}),
 listed AS (
   SELECT rid, kind, ord, s, kind || ':' || s::BIGINT || ':' || e::BIGINT AS shown FROM spans
 )
