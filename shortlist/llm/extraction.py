@@ -265,7 +265,7 @@ def kept_parts(nodes: list[Node]) -> list[Node]:
     best = max(scored, key=lambda n: (_points(n), -n.order))
     if best.parent is None:
         return [best]
-    least = max(SIBLING_SHARE * _points(best), 10.0)
+    least = SIBLING_SHARE * _points(best)
     kept = []
     for kid in best.parent.kids:
         if not isinstance(kid, Node) or kid.left_out:

@@ -7,7 +7,8 @@ a threshold calibrated on labelled URLs that the models were not counted on.
 
 The labels come from the rules: a URL that a rule allows is accepted, one that it blocks is
 rejected. Counts of all of them go into a hashed table of fixed size (``SLOTS``), summed by
-Spark; that table travels with the tasks, so its size does not depend on the data.
+Spark (each count in two slots, of which the lower one is read); that table travels with the
+tasks, so its size does not depend on the data.
 """
 
 from __future__ import annotations
@@ -23,12 +24,14 @@ from pyspark.sql import functions as F
 from .batches import sized, texts_of
 
 #: bytes of context, slots of the count table, and weight of the shorter order
-ORDER, SLOTS, BACK_OFF = 5, 1 << 20, 4.0
+ORDER, SLOTS, BACK_OFF = 5, 1 << 22, 4.0
+#: slots that every count is kept in; the least of them is read, so collisions seldom show
+TWINS = 2
 #: one of this many labelled URLs is kept from the counts and calibrates the threshold
 FOLDS = 5
 #: width of the bins of the scores that calibrate, and their range (a score is a mean of logs)
 BIN, REACH = 0.005, 4000
-URL_BYTES = 400_000
+URL_BYTES = 200_000
 ALLOW, BLOCK = "allow", "block"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -75,7 +78,7 @@ def _slots(urls: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Slots of the (context, byte) pairs and of the contexts of every order, and whose they are.
 
     Each URL is read from its first byte to an end mark; contexts reach back to before its
-    start. Both slot arrays have one row per order.
+    start. Both slot arrays are orders x twins x bytes.
     """
     encoded = [u.encode("utf-8", "surrogatepass") for u in urls]
     data = b"".join(bytes(ORDER) + e + b"\x01" for e in encoded)
@@ -91,15 +94,17 @@ def _slots(urls: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         mixed *= np.uint64(0xBF58476D1CE4E5B9)
         return ((mixed >> np.uint64(20)) % np.uint64(SLOTS)).astype(np.int64)
 
-    pairs = np.empty((ORDER + 1, len(at)), dtype=np.int64)
+    pairs = np.empty((ORDER + 1, TWINS, len(at)), dtype=np.int64)
     contexts = np.empty_like(pairs)
     context = np.zeros(len(at), dtype=np.uint64)
     here = symbols[at]
     for k in range(ORDER + 1):
         if k:
             context = context * np.uint64(257) + symbols[at - k] + np.uint64(1)
-        contexts[k] = slot(context, 1000 + k)
-        pairs[k] = slot(context * np.uint64(263) + here, 2000 + k)
+        for twin in range(TWINS):
+            kind = 1000 * (twin + 1) + k
+            contexts[k, twin] = slot(context, kind)
+            pairs[k, twin] = slot(context * np.uint64(263) + here, kind + 500)
     return pairs, contexts, url
 
 
@@ -125,9 +130,10 @@ class Judge:
         pairs, contexts, url = _slots(urls)
         logs = []
         for counts in (self.accepted, self.rejected):
-            likely = np.full(pairs.shape[1], 1 / 257)
+            likely = np.full(pairs.shape[2], 1 / 257)
             for pair, context in zip(pairs, contexts, strict=True):
-                likely = (counts[pair] + BACK_OFF * likely) / (counts[context] + BACK_OFF)
+                seen, all_seen = counts[pair].min(axis=0), counts[context].min(axis=0)
+                likely = (np.minimum(seen, all_seen) + BACK_OFF * likely) / (all_seen + BACK_OFF)
             logs.append(np.log(np.clip(likely, 1e-12, 1.0)))
         sums = np.bincount(url, weights=logs[0] - logs[1], minlength=len(urls))
         return sums / np.bincount(url, minlength=len(urls))
