@@ -91,12 +91,21 @@ def row_key(*columns: str) -> Column:
     return F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\0null")) for c in columns])
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, longer by underscores if a column has it already."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def shared_folder(df: DataFrame, name: str) -> str:
     """A new folder name that all executors and the driver can reach."""
     return f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
 
 
 __all__ = [
+    "free_name",
     "gather",
     "lists",
     "materialize",

@@ -6,8 +6,8 @@ language that was not learned with a script is no candidate for words in it. A V
 pass over the word scores, with a penalty for each change of language, labels the spans;
 the text's language is the one that covers most letters.
 
-The model is counted by Spark over a bounded sample of labelled rows (``per_language``
-rows of each language, those with the lowest hash of their key); it holds one row of
+The model is counted by Spark over a bounded sample of labelled rows (about ``per_language``
+rows of each language, dealt out by a hash of their key); it holds one row of
 ``BUCKETS`` numbers per language and is small enough to travel with the tasks.
 """
 
@@ -19,14 +19,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .batches import over_batches, sized, texts_of
 
 BUCKETS = 1 << 16
-#: rows of each language that the model is fitted on, at most
+#: rows of each language that the model is fitted on (as a hash of the keys deals them out)
 PER_LANGUAGE = 3000
+HASH_RANGE = 1 << 32
 #: cost of a change of language between two words, in natural logs of likelihood
 SWITCH = 9.0
 #: a script is one of a language's if this share of its learned letters is in it
@@ -132,31 +133,26 @@ def fit(docs: DataFrame, text: str, language: str, key: str, rows: Column,
         per_language: int = PER_LANGUAGE) -> Model:
     """Count a model over a bounded sample of the rows for which ``rows`` holds.
 
-    Null texts, languages and keys are not learned from. Of each language, the
-    ``per_language`` rows with the lowest hash of their key are taken (rows that share a
-    key are taken together). Only counts reach the driver: ``BUCKETS`` per language.
+    Null texts, languages and keys are not learned from. Of each language the rows are taken
+    whose key's hash lies in a share of its range that holds ``per_language`` rows on average
+    (all rows, if there are fewer; rows that share a key are taken together). Only counts
+    reach the driver: ``BUCKETS`` per language.
     """
     usable = docs.filter(rows & F.col(language).isNotNull() & F.col(key).isNotNull()).select(
         F.col(language).cast("string").alias("_lang"),
         F.xxhash64(F.col(key).cast("string")).alias("_order"),
         F.col(text).cast("string").alias("_text"),
     )
-    first = Window.partitionBy("_lang").orderBy("_order")
-    limits = (
-        usable.select("_lang", "_order")
-        .withColumn("_n", F.row_number().over(first))
-        .filter(F.col("_n") <= per_language)
-        .groupBy("_lang")
-        .agg(F.max("_order").alias("_last"))
-        .collect()
-    )
-    last = {r["_lang"]: r["_last"] for r in limits}
+    share = per_language * F.lit(float(HASH_RANGE)) / F.count("*")
+    limits = usable.groupBy("_lang").agg(share.alias("_share")).collect()
+    last = {r["_lang"]: r["_share"] for r in limits}
     languages = sorted(last)
     number = {lang: i for i, lang in enumerate(languages)}
     if not languages:
         return Model([], np.zeros((0, BUCKETS)), np.zeros((len(SCRIPTS), 0), dtype=bool), 0)
     bounds = F.create_map(*[F.lit(x) for lang in languages for x in (lang, last[lang])])
-    sample = usable.filter((F.col("_order") <= bounds[F.col("_lang")]) & F.col("_text").isNotNull())
+    place = F.pmod(F.col("_order"), F.lit(HASH_RANGE))
+    sample = usable.filter((place < bounds[F.col("_lang")]) & F.col("_text").isNotNull())
     size = BUCKETS + len(SCRIPTS)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -18,7 +18,7 @@ from re import _parser as parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .batches import materialize, row_key
+from .batches import free_name, materialize, row_key
 
 #: candidates are copied to the executors up to this many rows (16 bytes each)
 COPIED_CANDIDATES = 1_000_000
@@ -241,30 +241,31 @@ def scan(df: DataFrame, text: str, rules: Sequence[Rule], spans: str = "spans")
     """
     queries = [trigram_query(r.pattern) for r in rules]
     trigrams = sorted({t for q in queries for c in q for t in c})
-    rows = df.drop(spans).withColumn("_text", F.coalesce(F.col(text).cast("string"), F.lit("")))
-    rows = rows.withColumn("_key", row_key("_text"))
-    if trigrams:
-        postings = build_index(rows, "_key", "_text", trigrams)
-        indexed = [r for r, q in zip(rules, queries, strict=True) if q != ALWAYS]
+    rows = df.drop(spans)
+    whole, hashed, of, bits = (free_name(rows, n) for n in ("_text", "_hash", "_of", "_rules"))
+    rows = rows.withColumn(whole, F.coalesce(F.col(text).cast("string"), F.lit("")))
+    rows = rows.withColumn(hashed, row_key(whole))
+    indexed = [r for r, q in zip(rules, queries, strict=True) if q != ALWAYS]
+    if indexed:
+        postings = build_index(rows, hashed, whole, trigrams)
         wanted = materialize(candidates(postings, indexed), "secret-candidates")
         small = wanted.count() <= COPIED_CANDIDATES
-        wanted = wanted.withColumnRenamed("key", "_of")
-        rows = rows.join(F.broadcast(wanted) if small else wanted, F.expr("_key = _of"), "left")
-        bit = {r: i for i, r in enumerate(indexed)}
+        wanted = wanted.toDF(of, bits)
+        rows = rows.join(
+            F.broadcast(wanted) if small else wanted, F.col(hashed) == F.col(of), "left"
+        )
+    kind = "array<struct<start:int,ord:int,end:int,kind:string>>"
     found = []
-    for order, (rule, query) in enumerate(zip(rules, queries, strict=True)):
-        if query == ALWAYS:
-            searched = F.col("_text").rlike(rule.pattern)
+    for order, rule in enumerate(rules):
+        if rule in indexed:
+            bit = 1 << indexed.index(rule)
+            searched = F.coalesce(F.col(bits), F.lit(0)).bitwiseAND(bit) != 0
         else:
-            searched = F.coalesce(F.col("rules"), F.lit(0)).bitwiseAND(1 << bit[rule]) != 0
-        kind = "array<struct<start:int,ord:int,end:int,kind:string>>"
-        found.append(
-            F.when(searched, spans_of(F.col("_text"), rule, order)).otherwise(
-                F.array().cast(kind)
-            )
-        )
+            searched = F.col(whole).rlike(rule.pattern)
+        own = spans_of(F.col(whole), rule, order)
+        found.append(F.when(searched, own).otherwise(F.array().cast(kind)))
     every = F.array_sort(F.concat(*found))
-    return rows.withColumn(spans, every).drop("_text", "_key", "_of", "rules")
+    return rows.withColumn(spans, every).drop(whole, hashed, of, bits)
 
 
 def listed(spans: Column) -> Column:

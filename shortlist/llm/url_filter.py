@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .batches import sized, texts_of
+from .batches import free_name, sized, texts_of
 
 #: bytes of context, slots of the count table, and weight of the shorter order
 ORDER, SLOTS, BACK_OFF = 5, 1 << 22, 4.0
@@ -224,11 +224,14 @@ def judge_urls(df: DataFrame, url: str, rules: Sequence[Rule], score: bool = Tru
     stay. The table is read three times, its URL column only for the models; no row moves.
     """
     rest = df.drop("host", "path", "rule", "verdict", "url_score")
-    text, verdict = longest_rule(F.col("_host"), F.col("_path"), rules)
-    parted = rest.withColumns({"_host": host_of(F.col(url)), "_path": path_of(F.col(url))})
-    model = fit(parted.select("_host", "_path"), F.concat("_host", "_path"), verdict)
-    ruled = parted.withColumns({"_rule": text, "_verdict": verdict})
     kept = [f for f in rest.schema.fields]
+    host, path, fit_rule, fixed = (
+        free_name(rest, n) for n in ("_host", "_path", "_rule", "_verdict")
+    )
+    text, verdict = longest_rule(F.col(host), F.col(path), rules)
+    parted = rest.withColumns({host: host_of(F.col(url)), path: path_of(F.col(url))})
+    model = fit(parted.select(host, path), F.concat(host, path), verdict)
+    ruled = parted.withColumns({fit_rule: text, fixed: verdict})
     names = [*[f.name for f in kept], "host", "path", "rule", "verdict", "url_score"]
     schema = ", ".join(
         [f"`{f.name}` {f.dataType.simpleString()}" for f in kept]
@@ -236,17 +239,17 @@ def judge_urls(df: DataFrame, url: str, rules: Sequence[Rule], score: bool = Tru
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sized(batches, "_path", URL_BYTES):
-            hosts, paths = texts_of(batch.column("_host")), texts_of(batch.column("_path"))
+        for batch in sized(batches, path, URL_BYTES):
+            hosts, paths = texts_of(batch.column(host)), texts_of(batch.column(path))
             scores = model.scores([h + p for h, p in zip(hosts, paths, strict=True)])
             verdicts = [
                 v or (ALLOW if s >= model.threshold else BLOCK)
-                for v, s in zip(batch.column("_verdict").to_pylist(), scores, strict=True)
+                for v, s in zip(batch.column(fixed).to_pylist(), scores, strict=True)
             ]
             yield pa.RecordBatch.from_arrays(
                 [
                     *[batch.column(f.name) for f in kept],
-                    *[batch.column(c) for c in ("_host", "_path", "_rule")],
+                    *[batch.column(c) for c in (host, path, fit_rule)],
                     pa.array(verdicts, type=pa.string()),
                     pa.array(scores, type=pa.float64()),
                 ],

@@ -97,8 +97,9 @@ URLS = [
 
 
 def test_rules(spark):
-    rows = [(i, u[0], "clash") for i, u in enumerate(URLS)]
-    df = spark.createDataFrame(rows, "page_id long, url string, host string")
+    rows = [(i, u[0], "a", "b", "c") for i, u in enumerate(URLS)]
+    schema = "page_id long, url string, host string, _host string, _verdict string"
+    df = spark.createDataFrame(rows, schema)
     verdicts = {r.text: r.verdict for r in URL_RULES}
     got = {r.page_id: r for r in url_filter.judge_urls(df, "url", URL_RULES).collect()}
     assert len(got) == len(URLS)
