@@ -15,8 +15,8 @@ def seeded_hash(seed: int, *keys: Column) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[k.cast("string") for k in keys]))
 
 
-def hash_int(hex_digest: Column, digits: int = 8) -> Column:
-    """The leading hexadecimal digits as a number (8 digits give 0 .. 2**32 - 1)."""
+def hash_int(hex_digest: Column, digits: int = 15) -> Column:
+    """The leading hexadecimal digits as a number (15 digits give 0 .. 2**60 - 1)."""
     return F.conv(F.substring(hex_digest, 1, digits), 16, 10).cast("bigint")
 
 

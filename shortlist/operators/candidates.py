@@ -84,6 +84,19 @@ def drop_citing(candidates: DataFrame, queries: DataFrame, n: int, exclude: str)
     )
 
 
+def candidates_from_lists(corpus: DataFrame) -> DataFrame:
+    """``(query_id, paper_id, rank)`` from the stored lists of corpus rows.
+
+    The inverse of :func:`with_candidates`. Ranks count from 1 in list order; an empty or
+    missing list gives no row, and of a paper that a list repeats the first place counts.
+    """
+    listed = corpus.select(
+        F.col("context_id").alias("query_id"),
+        F.posexplode(F.array_distinct("prefetched_ids")).alias("_place", "paper_id"),
+    )
+    return listed.select("query_id", "paper_id", (F.col("_place") + 1).alias("rank"))
+
+
 def with_candidates(corpus: DataFrame, candidates: DataFrame) -> DataFrame:
     """Corpus rows with ``prefetched_ids`` in rank order; an empty list if there is none.
 

@@ -95,10 +95,12 @@ class _Scan:
                 yield self._score(slice(q, q + QUERY_ROWS), chunk_ids, docs)
 
     def _score(self, rows: slice, ids: pa.Array, docs: np.ndarray) -> pa.RecordBatch:
-        exact = _scores(self.matrix[rows], docs, self.precision)
-        scores = np.round(exact, SCORE_DIGITS)
+        with np.errstate(invalid="ignore", over="ignore"):
+            exact = _scores(self.matrix[rows], docs, self.precision)
+        scores = np.where(np.isfinite(exact), np.round(exact, SCORE_DIGITS), -np.inf)
         best = self.best[rows]
         keep = _best_mask(scores, self.n) & (scores >= best.min(axis=1, keepdims=True))
+        keep &= scores > -np.inf
         seen = np.concatenate([best, np.where(keep, scores, -np.inf)], axis=1)
         self.best[rows] = np.partition(seen, seen.shape[1] - self.n, axis=1)[:, -self.n :]
         query_at, doc_at = np.nonzero(keep)
@@ -216,6 +218,7 @@ def _allowed_pairs(
             "paper_id",
             _pair_score(F.col("_q"), F.col("_d"), precision, dim).alias("score"),
         )
+        .filter(~F.isnan("score") & (F.abs("score") < float("inf")))
     )
 
 
@@ -235,8 +238,9 @@ def knn(
     ``queries(query_id, vec)`` and ``docs(paper_id, vec)`` hold vectors of ``dim``
     numbers in the same ``precision``. ``allowed(paper_id)`` restricts the documents of
     all queries, ``allowed(query_id, paper_id)`` those of each query. When there are
-    fewer than ``n`` documents all are returned. ``broadcast_queries = 0`` always takes
-    the grid.
+    fewer than ``n`` documents all are returned. Pairs whose inner product is not a finite
+    number (a vector holds NaN or an infinity) are no neighbours. ``broadcast_queries = 0``
+    always takes the grid.
     """
     q, d = _keyed(queries, "query_id", "vec"), _keyed(docs, "paper_id", "vec")
     if allowed is not None and "query_id" in allowed.columns:

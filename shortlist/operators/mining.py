@@ -136,7 +136,8 @@ def mine_hard_negatives(
     """``(query_id, paper_id, jaccard, level)`` of up to ``n`` negatives per query.
 
     Level 2 is given to those at least as similar to the query as its positives are on
-    average (:func:`positive_threshold`). Only sampled rows and positives are compared,
+    average (:func:`positive_threshold`); all negatives of a query without positives have
+    level 3. Only sampled rows and positives are compared,
     and both in one pass over the texts.
     """
     sampled = sample_hard_negatives(pool, n, seed).withColumn("_positive", F.lit(False))
@@ -153,7 +154,6 @@ def mine_hard_negatives(
             F.avg(F.when(F.col("_positive"), F.col("jaccard"))).alias("_threshold"),
             F.collect_list(negative).alias("_negatives"),
         )
-        .filter(F.col("_threshold").isNotNull())
         .select("query_id", "_threshold", F.explode("_negatives").alias("_n"))
         .withColumn("level", F.when(F.col("_n.jaccard") >= F.col("_threshold"), 2).otherwise(3))
         .select("query_id", "_n.paper_id", "_n.jaccard", "level")

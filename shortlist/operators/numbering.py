@@ -11,8 +11,8 @@ from ..storage import materialize
 
 #: largest slice taken by a plain ``ORDER BY .. LIMIT``, which ends in one task
 MAX_LIMIT_ROWS = 100_000
-#: hexadecimal digits naming a bucket: 16 ** 3 = 4096 buckets
-BUCKET_DIGITS = 3
+#: rows that a bucket holds at most on average; the number of buckets follows from it
+BUCKET_ROWS = 100_000
 
 
 def _number_buckets(df: DataFrame, bucket: str, order: list[str], out: str) -> DataFrame:
@@ -36,10 +36,14 @@ def dense_index(df: DataFrame, key: str, seed: int = 0, out: str = "row_idx") ->
     """Number rows 0 .. n-1 in the order of a seeded hash of ``key``.
 
     The leading hash digits name the bucket, so bucket order is hash order and buckets
-    hold about equally many distinct keys.
+    hold about equally many distinct keys. There are as many digits as the rows need.
     """
+    digits = 1
+    n_rows = df.count()
+    while n_rows > BUCKET_ROWS * 16**digits:
+        digits += 1
     hashed = df.withColumn("_hash", hashing.seeded_hash(seed, F.col(key))).withColumn(
-        "_bucket", F.substring("_hash", 1, BUCKET_DIGITS)
+        "_bucket", F.substring("_hash", 1, digits)
     )
     return _number_buckets(hashed, "_bucket", ["_hash", key], out).drop("_hash", "_bucket")
 
@@ -57,22 +61,23 @@ def ordered_index(df: DataFrame, key: str, out: str = "row_idx") -> DataFrame:
 def sample_rows(
     df: DataFrame, key: str, size: int = 0, start: int = 0, shuffle: bool = True, seed: int = 0
 ) -> DataFrame:
-    """``size`` rows from position ``start`` (0 = all the rest) in hash or key order.
+    """The rows of ``size`` keys from position ``start`` (0 = all the rest) in hash or key order.
 
-    ``key`` is unique. Small samples choose among the bare keys, so whole rows never
-    gather in one task.
+    Distinct keys are counted, and all rows of a chosen key are taken. Only bare keys are
+    ordered or numbered, so whole rows never gather or move for it.
     """
     if size == 0 and start == 0:
         return df
+    keys = df.select(key).distinct()
     if size and start + size <= MAX_LIMIT_ROWS:
         order = [F.col(key)]
         if shuffle:
             order.insert(0, hashing.seeded_hash(seed, F.col(key)))
-        keys = df.select(key).orderBy(*order)
-        chosen = (keys.offset(start) if start else keys).limit(size)
+        ordered = keys.orderBy(*order)
+        chosen = (ordered.offset(start) if start else ordered).limit(size)
         return df.join(F.broadcast(chosen), key, "left_semi")
-    numbered = dense_index(df, key, seed, "_pos") if shuffle else ordered_index(df, key, "_pos")
+    numbered = dense_index(keys, key, seed, "_pos") if shuffle else ordered_index(keys, key, "_pos")
     picked = F.col("_pos") >= start
     if size:
         picked &= F.col("_pos") < start + size
-    return numbered.filter(picked).drop("_pos")
+    return df.join(numbered.filter(picked).select(key), key, "left_semi")

@@ -26,8 +26,26 @@ Scorer = Callable[[DataFrame], DataFrame]
 # --- lists ------------------------------------------------------------------------------
 
 
-def limit_candidates(candidates: DataFrame, top_k: int = D.TOP_K_RERANK) -> DataFrame:
-    return candidates.filter(F.col("rank") <= top_k)
+def limit_candidates(candidates: DataFrame, top_k: int | None = None) -> DataFrame:
+    """The first ``top_k`` of each list; all of them by default."""
+    return candidates if top_k is None else candidates.filter(F.col("rank") <= top_k)
+
+
+def with_ranks(lists: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Add the ``rank`` that each listed paper has among the query's candidates.
+
+    A paper that was not retrieved stands behind the whole list of its query, and behind
+    ``TOP_K_RERANK`` rows at least.
+    """
+    ranks = candidates.select("query_id", "paper_id", "rank")
+    behind = candidates.groupBy("query_id").agg((F.max("rank") + 1).alias("_behind"))
+    least = F.lit(D.TOP_K_RERANK + 1)
+    return (
+        lists.join(ranks, ["query_id", "paper_id"], "left")
+        .join(behind, "query_id", "left")
+        .withColumn("rank", F.coalesce("rank", F.greatest("_behind", least)))
+        .drop("_behind")
+    )
 
 
 def label_candidates(candidates: DataFrame, queries: DataFrame) -> DataFrame:
@@ -41,8 +59,10 @@ def label_candidates(candidates: DataFrame, queries: DataFrame) -> DataFrame:
     )
 
 
-def negative_pools(candidates: DataFrame, queries: DataFrame, top_k: int, seed: int) -> DataFrame:
-    """``(query_id, pool)``: up to ``top_k`` negatives per query, in hash order."""
+def negative_pools(
+    candidates: DataFrame, queries: DataFrame, top_k: int | None, seed: int
+) -> DataFrame:
+    """``(query_id, pool)``: negatives among the first ``top_k`` of a query, in hash order."""
     negatives = (
         limit_candidates(candidates, top_k)
         .select("query_id", "paper_id")
@@ -60,7 +80,7 @@ def negative_pools(candidates: DataFrame, queries: DataFrame, top_k: int, seed:
 
 
 def queries_without_negatives(
-    candidates: DataFrame, queries: DataFrame, top_k: int = D.TOP_K_RERANK
+    candidates: DataFrame, queries: DataFrame, top_k: int | None = None
 ) -> DataFrame:
     """Queries for which :func:`rerank_training_lists` gives no list."""
     pools = negative_pools(candidates, queries, top_k, 0)
@@ -72,13 +92,13 @@ def rerank_training_lists(
     queries: DataFrame,
     n_document: int = D.N_DOCUMENT,
     max_positive: int = D.MAX_POSITIVE,
-    top_k: int = D.TOP_K_RERANK,
+    top_k: int | None = None,
     seed: int = 0,
 ) -> DataFrame:
     """``(query_id, position, paper_id, level)``: lists of ``n_document`` papers.
 
     Positives (level 0) are taken without replacement, the rest (level 1) is drawn with
-    replacement from the negatives among the first ``top_k`` candidates.
+    replacement from the negatives among the first ``top_k`` candidates (all by default).
     """
     positives = pick_positives(F.col("query_id"), F.col("positive_ids"), max_positive, seed)
     lists = queries.join(negative_pools(candidates, queries, top_k, seed), "query_id").select(

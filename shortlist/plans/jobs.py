@@ -57,9 +57,15 @@ def prefetch(
     return C.drop_citing(fetched, queries, n, exclude)
 
 
-def stored_queries(corpus: DataFrame, contexts: DataFrame, papers: DataFrame) -> DataFrame:
-    """Queries of a corpus, resolved once: retrieval and metrics both read them."""
-    return materialize(C.context_queries(corpus, contexts, papers), "queries")
+def stored_queries(
+    corpus: DataFrame, contexts: DataFrame, papers: DataFrame, strict: bool = False
+) -> DataFrame:
+    """Queries of a corpus, resolved once: retrieval and metrics both read them.
+
+    ``strict`` fails on a corpus row whose context is missing; otherwise such rows are left
+    out, and ``candidates.missing_contexts`` lists them.
+    """
+    return materialize(C.context_queries(corpus, contexts, papers, strict), "queries")
 
 
 def generate_candidates(
@@ -72,10 +78,11 @@ def generate_candidates(
     start: int = 0,
     shuffle: bool = True,
     seed: int = 0,
+    strict_contexts: bool = False,
 ) -> DataFrame:
     """Candidates of (a sample of) a corpus, never containing the citing paper."""
     chosen = sample_rows(corpus, "context_id", size, start, shuffle, seed)
-    queries = stored_queries(chosen, contexts, papers)
+    queries = stored_queries(chosen, contexts, papers, strict_contexts)
     return prefetch(queries, retriever, top_k, "always")
 
 
@@ -88,10 +95,14 @@ def evaluate_prefetch(
     size: int = 0,
     start: int = 0,
     strict: bool = False,
+    strict_contexts: bool = False,
 ) -> DataFrame:
-    """Metrics of a retriever over a corpus split, from one search with the largest K."""
+    """Metrics of a retriever over a corpus split, from one search with the largest K.
+
+    ``strict`` fails on a query without positives, ``strict_contexts`` on a missing context.
+    """
     chosen = sample_rows(corpus, "context_id", size, start, shuffle=False)
-    queries = stored_queries(chosen, contexts, papers)
+    queries = stored_queries(chosen, contexts, papers, strict_contexts)
     found = prefetch(queries, retriever, max(ks), "unless_positive")
     return E.evaluate(found, queries, ks, "prefetch", strict)
 
@@ -158,6 +169,12 @@ def sample_vectors(
     )
 
 
+def sampled_papers(samples: DataFrame, index: DataFrame, papers: DataFrame) -> DataFrame:
+    """The sampled papers that the index lacks, unknown ones with empty texts."""
+    wanted = samples.select("paper_id").filter(F.col("paper_id").isNotNull()).distinct()
+    return C.resolve_papers(wanted.join(index, "paper_id", "left_anti"), papers, "paper_id")
+
+
 def mining_round(
     train: DataFrame,
     validation: DataFrame,
@@ -165,33 +182,45 @@ def mining_round(
     papers: DataFrame,
     encoder: Encoder,
     make_retriever: Callable[[Encoder, DataFrame], Retriever],
-    n_examples: int = D.N_MINING_EXAMPLES,
+    n_examples: int = 0,
     n_refreshed: int = 0,
+    n_validation: int = 0,
     top_k: int = D.TOP_K_HARD_NEGATIVES,
     ks: Sequence[int] = D.PREFETCH_K,
     seed: int = 0,
+    strict_contexts: bool = False,
     **options,
 ) -> MiningRound:
     """One round: embed papers, list candidates, sample graded examples, validate.
 
     The encoder is trained elsewhere; a new round is called with the new encoder. Index
     and candidates are written down once, because samples, loss and metrics read them.
+    ``n_examples``, ``n_refreshed`` and ``n_validation`` sample the training rows, the papers
+    of the index and the validation rows (0 = all). Texts and easy negatives always come from
+    all papers, and a sampled paper outside the index is encoded for the loss.
     """
     refreshed = sample_rows(papers, "paper_id", n_refreshed, seed=seed)
     embedded = materialize(embed_papers(refreshed, encoder), "embeddings")
     index = embedded.withColumn("vec", vectors.l2_normalize(F.col("vec")))
     retriever = make_retriever(encoder, index)
     chosen = sample_rows(train, "context_id", n_examples, seed=seed)
-    queries = stored_queries(chosen, contexts, papers)
+    queries = stored_queries(chosen, contexts, papers, strict_contexts)
     candidates = materialize(prefetch(queries, retriever, top_k, "always"), "candidates")
     samples = materialize(
-        mine_samples(queries, candidates, refreshed, seed=seed, **options), "samples"
+        mine_samples(queries, candidates, papers, seed=seed, **options), "samples"
+    )
+    absent = embed_papers(sampled_papers(samples, index, papers), encoder)
+    paper_vectors = index.unionByName(
+        absent.withColumn("vec", vectors.l2_normalize(F.col("vec"))).select(*index.columns)
     )
     with_vectors = materialize(
-        sample_vectors(samples, embed_queries(queries, encoder), index), "sample-vectors"
+        sample_vectors(samples, embed_queries(queries, encoder), paper_vectors), "sample-vectors"
+    )
+    losses = M.triplet_loss(with_vectors)
+    checked = sample_rows(validation, "context_id", n_validation, seed=seed)
+    metrics = evaluate_prefetch(
+        checked, contexts, papers, retriever, ks, strict_contexts=strict_contexts
     )
-    losses = M.triplet_loss(with_vectors.filter(F.col("vec").isNotNull()))
-    metrics = evaluate_prefetch(validation, contexts, papers, retriever, ks)
     return MiningRound(candidates, samples, losses, metrics)
 
 
@@ -258,7 +287,7 @@ def evaluate_rerank(
     candidates: DataFrame,
     queries: DataFrame,
     scorer: R.Scorer,
-    top_k: int = D.TOP_K_RERANK,
+    top_k: int | None = None,
     ks: Sequence[int] = D.RERANK_K,
     strict: bool = False,
     hits_path: str | None = None,
@@ -278,19 +307,14 @@ def validation_loss(
     candidates: DataFrame,
     queries: DataFrame,
     scorer: R.Scorer,
-    size: int = D.N_RERANK_VALIDATION,
+    size: int = 0,
     n_document: int = D.N_DOCUMENT,
     seed: int = 0,
 ) -> DataFrame:
-    """Mean ranking loss over the training lists of sampled validation queries."""
+    """Mean ranking loss over the training lists of validation queries (``size`` of them; 0 = all)."""
     chosen = sample_rows(queries, "query_id", size, seed=seed)
     lists = R.rerank_training_lists(candidates, chosen, n_document, seed=seed)
-    ranks = candidates.select("query_id", "paper_id", "rank")
-    # a positive that was not retrieved has no rank: it stands behind the list
-    placed = lists.join(ranks, ["query_id", "paper_id"], "left").withColumn(
-        "rank", F.coalesce("rank", F.lit(D.TOP_K_RERANK + 1))
-    )
-    return R.mean_loss(R.pairwise_rank_loss(scorer(placed)))
+    return R.mean_loss(R.pairwise_rank_loss(scorer(R.with_ranks(lists, candidates))))
 
 
 def evaluate_two_stage(

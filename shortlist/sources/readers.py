@@ -4,6 +4,7 @@ A format is one of ``parquet``, ``jsonl`` (one record per line) or ``json``. The
 is how such data is usually published: one JSON object keyed by id, or one JSON array.
 Such a file cannot be split, so convert it to Parquet once (see ``writers.write_table``)
 and read that from then on; a folder of such files is read file by file in parallel.
+Malformed JSON fails the read.
 """
 
 from __future__ import annotations
@@ -16,10 +17,14 @@ from ..functions import vectors
 from ..operators.quantize import quantize
 
 
+#: broken records raise instead of turning into nulls
+STRICT = {"mode": "FAILFAST"}
+
+
 def _keyed_objects(spark: SparkSession, path: str, value_schema: str) -> DataFrame:
     """Rows ``(key, value)`` of files holding one JSON object keyed by id."""
     whole = spark.read.text(path, wholetext=True)
-    entries = F.from_json("value", f"map<string,{value_schema}>")
+    entries = F.from_json("value", f"map<string,{value_schema}>", STRICT)
     return whole.select(F.explode(entries).alias("key", "value"))
 
 
@@ -27,7 +32,7 @@ def _table(spark: SparkSession, path: str, schema: str, fmt: str) -> DataFrame:
     if fmt == "parquet":
         return spark.read.schema(schema).parquet(path)
     if fmt == "jsonl":
-        return spark.read.schema(schema).json(path)
+        return spark.read.schema(schema).options(**STRICT).json(path)
     raise ValueError(f"unknown format {fmt!r}")
 
 
@@ -55,7 +60,7 @@ def read_corpus(
     """One split: query contexts and their positives, optionally with candidate lists."""
     schema = schemas.CORPUS_WITH_CANDIDATES if candidates else schemas.CORPUS
     if fmt == "json":
-        return spark.read.schema(schema).json(path, multiLine=True)
+        return spark.read.schema(schema).options(**STRICT).json(path, multiLine=True)
     return _table(spark, path, schema, fmt)
 
 

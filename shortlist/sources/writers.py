@@ -35,9 +35,10 @@ def write_candidates(candidates: DataFrame, path: str, mode: str = "errorifexist
     candidates.write.mode(mode).parquet(path)
 
 
-def write_hits(hits: DataFrame, path: str, slice_name: str = "all", mode: str = "append") -> None:
-    """Store labelled ranked lists; each sliced run gets its own partition."""
-    hits.withColumn("slice", F.lit(slice_name)).write.mode(mode).partitionBy("slice").parquet(path)
+def write_hits(hits: DataFrame, path: str, slice_name: str = "all") -> None:
+    """Store labelled ranked lists; each sliced run has its own partition, which a rerun replaces."""
+    sliced = hits.withColumn("slice", F.lit(slice_name)).write.partitionBy("slice")
+    sliced.mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
 
 
 def append_metrics(metrics: DataFrame, path: str, **tags: str) -> None:

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Session settings the operators are written for. Adaptive execution splits the hot
 #: partitions of shuffle joins, also where that costs another exchange, and resizes the
@@ -18,19 +20,45 @@ SETTINGS = {
     "spark.sql.execution.arrow.maxRecordsPerBatch": "8192",
 }
 
-#: Largest table (in rows) we are willing to copy to every executor.
+#: Largest table (in rows and bytes) we are willing to copy to every executor.
 BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 256_000_000
+#: what a row and a value of fixed width are taken to need in memory
+ROW_BYTES, VALUE_BYTES = 32, 8
 
 
-def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """True when ``df`` provably has at most ``max_rows`` rows.
+def apply_settings(spark: SparkSession) -> None:
+    """Set :data:`SETTINGS` in a running session."""
+    for name, value in SETTINGS.items():
+        spark.conf.set(name, value)
 
-    Reads at most ``max_rows + 1`` rows and counts them, so that the answer is a
-    proof and never costs a full count of a large table.
+
+def _bytes_of(df: DataFrame) -> Column:
+    sizes: list[Column] = [F.lit(ROW_BYTES)]
+    for field in df.schema.fields:
+        kind = field.dataType.simpleString()
+        column = F.col(f"`{field.name}`")
+        if kind in ("string", "binary"):
+            sizes.append(F.coalesce(F.octet_length(column), F.lit(0)))
+        elif kind.startswith(("array", "map")):
+            sizes.append(F.greatest(F.size(column), F.lit(0)) * VALUE_BYTES)
+        else:
+            sizes.append(F.lit(VALUE_BYTES))
+    return reduce(lambda a, b: a + b, sizes).cast("long")
+
+
+def fits_broadcast(
+    df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES
+) -> bool:
+    """True when ``df`` has at most ``max_rows`` rows and about ``max_bytes`` bytes.
+
+    Rows and bytes are summed where they are, one short row per partition is sent on.
+    ``df`` should be stored, as it is read for this and again for its use.
     """
     if max_rows <= 0:
         return False
-    return df.limit(max_rows + 1).count() <= max_rows
+    found = df.agg(F.count("*").alias("n"), F.sum(_bytes_of(df)).alias("size")).first()
+    return found["n"] <= max_rows and (found["size"] or 0) <= max_bytes
 
 
 def scratch_dir(spark: SparkSession) -> str:

@@ -29,7 +29,7 @@ def tokens(text: str, stopwords: list[str] | None = None) -> str:
 
 
 def hash_int(digest: str) -> str:
-    return f"('0x' || substr({digest}, 1, 8))::BIGINT"
+    return f"('0x' || substr({digest}, 1, 15))::BIGINT"
 
 
 def joined(expr: str) -> str:
@@ -179,7 +179,7 @@ CTES = {
               FROM (SELECT * FROM pool QUALIFY row_number() OVER (PARTITION BY query_id
                     ORDER BY md5('7|' || query_id || '|' || paper_id), paper_id) <= 3)
               JOIN query_sets USING (query_id) JOIN paper_sets USING (paper_id))
-        JOIN thresholds USING (query_id)""",
+        LEFT JOIN thresholds USING (query_id)""",
     "numbered_papers": """
         SELECT paper_id, row_number() OVER (ORDER BY md5('7|' || paper_id), paper_id) - 1
                AS row_idx FROM papers""",

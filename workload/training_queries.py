@@ -319,9 +319,7 @@ def validation_loss(t: Tables):
 def fit_pairwise_ranker(t: Tables):
     """Learn the feature weights from mined lists, then score with them."""
     lists = R.rerank_training_lists(t.candidates, t.answerable_queries, seed=SEED)
-    ranks = t.candidates.select("query_id", "paper_id", "rank")
-    placed = lists.join(ranks, ["query_id", "paper_id"], "left")
-    features = t.feature_tables.features(placed.withColumn("rank", F.coalesce("rank", F.lit(2001))))
+    features = t.feature_tables.features(R.with_ranks(lists, t.candidates))
     weights = R.fit_pairwise_ranker(features)
     scored = R.score_pairs(t.feature_tables.features(t.candidates.drop("score")), weights)
     return R.rerank(scored).select("query_id", "paper_id", "rank", *rounded("score"))

@@ -25,13 +25,15 @@ from shortlist.operators.rerank import score_pairs
 from shortlist.plans.jobs import FeatureTables, embed_papers, feature_tables, prefetch
 from shortlist.plans.retrievers import Retriever, dense_retriever, lexical_retriever
 from shortlist.shipping import ship_package
-from shortlist.storage import materialize
+from shortlist.storage import apply_settings, materialize
 
 VECTOR_DIM = 64
 WORD_DIM = 16
 TYPE_WEIGHTS = {D.TITLE_LABEL: 2.0, D.ABSTRACT_LABEL: 1.0, D.CONTEXT_LABEL: 3.0}
 WEIGHTS = {"bm25": 0.02, "cosine": 1.0, "jaccard": 3.0, "inverse_rank": 0.5}
 BIAS = -2.0
+#: passages of one or two words that are compared with every document at once
+MOST_SHORT_PASSAGES = 10_000
 STOPWORDS = ["the", "and", "of", "in", "is", "to", "le", "la", "de", "der", "die", "el"]
 
 
@@ -63,27 +65,44 @@ class Tables:
     def positives(self) -> DataFrame:
         """``(context_id, paper_id)``: documents that contain a passage.
 
-        Such a document contains every inner word of the passage, so one of them, the
-        longest, finds the documents worth reading by an equality join.
+        Such a document contains every inner word of the passage, so the rarest of them finds
+        the documents worth reading by an equality join. Passages without an inner word are
+        compared with every document; as they are part of a given list of queries, they are
+        copied to the executors if there are few, and a join on nothing otherwise fails.
         """
-        documents, passages = self.base("documents"), self.base("benchmark")
-        inner = T.split_words(F.col("text"))
-        inner = F.slice(inner, F.lit(2), F.greatest(F.size(inner) - 2, F.lit(0)))
-        by_length = F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))
-        keys = passages.select("item_id", F.array_max(by_length)["w"].alias("word"))
+        documents = self.base("documents").select("doc_id", "text")
+        words = F.array_distinct(T.split_words(F.col("text")))
+        passages = self.base("benchmark").select("item_id", F.col("text").alias("passage"))
+        split = T.split_words(F.col("passage"))
+        inner = F.array_distinct(F.slice(split, F.lit(2), F.greatest(F.size(split) - 2, F.lit(0))))
+        keyed = passages.select("item_id", F.explode(inner).alias("word"))
+        asked = keyed.select("word").distinct()
         # the folder may hold one file of one row group: deal its texts to all tasks
-        words = documents.repartition("doc_id").select(
-            "doc_id", F.explode_outer(F.array_distinct(T.split_words(F.col("text")))).alias("word")
+        listed = (
+            documents.repartition("doc_id")
+            .select("doc_id", F.explode(words).alias("word"))
+            .join(asked, "word", "left_semi")
         )
-        found = words.join(keys, "word").select("doc_id", "item_id")
-        pairs = found.join(documents.select("doc_id", "text"), "doc_id").join(
-            passages.select("item_id", F.col("text").alias("passage")), "item_id"
+        listed = materialize(listed, "passage-words")
+        counts = listed.groupBy("word").agg(F.count("*").alias("n"))
+        rarest = (
+            keyed.join(counts, "word", "left")
+            .groupBy("item_id")
+            .agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word")).alias("_r"))
+            .select("item_id", "_r.word")
         )
-        matched = pairs.filter(F.contains("text", "passage")).select(
+        found = listed.join(rarest, "word").select("doc_id", "item_id")
+        pairs = found.join(documents, "doc_id").join(passages, "item_id")
+        short = passages.filter(F.size(inner) == 0)
+        if short.count() > MOST_SHORT_PASSAGES:
+            raise ValueError("too many passages without an inner word")
+        matched = pairs.filter(F.contains("text", "passage")).select("item_id", "doc_id")
+        direct = documents.join(F.broadcast(short), F.contains("text", "passage"))
+        every = matched.unionByName(direct.select("item_id", "doc_id")).select(
             F.concat(F.lit("b"), "item_id").alias("context_id"),
             F.col("doc_id").cast("string").alias("paper_id"),
         )
-        return materialize(matched, "positives")
+        return materialize(every, "positives")
 
     @property
     def contexts(self) -> DataFrame:
@@ -234,4 +253,5 @@ def _tables(application: str, spark: SparkSession, folder: str) -> Tables:
 def tables(spark: SparkSession, folder: str) -> Tables:
     application = spark.sparkContext.applicationId
     _shipped(application, spark)
+    apply_settings(spark)
     return _tables(application, spark, folder)
