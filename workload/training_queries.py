@@ -175,6 +175,78 @@ def mining_round(t: Tables):
     )
 
 
+N_REFRESHED = 150
+_REFRESHED = {
+    "index_papers": f"""
+        SELECT paper_id FROM papers ORDER BY md5('7|' || paper_id), paper_id LIMIT {N_REFRESHED}""",
+    "reachable": "SELECT * FROM cosines WHERE paper_id IN (SELECT paper_id FROM index_papers)",
+    "over_fetched": sql.ranked("reachable", 101),
+    "unless_citing": sql.without_citing(100, True),
+    "candidates": sql.without_citing(100),
+}
+
+
+def _refreshed(t: Tables):
+    return t.stored(
+        "refreshed-samples",
+        lambda: jobs.mining_round(
+            t.answerable, t.corpus, t.contexts, t.papers, t.encoder,
+            lambda encoder, index: dense_retriever(encoder, index, WORD_DIM),
+            n_refreshed=N_REFRESHED, ks=(10, 20), seed=SEED, stopwords=STOPWORDS, budget=BUDGET,
+            bucket_queries=BUCKET, n_easy=N_EASY,
+        ).samples,
+    )
+
+
+@register(
+    "mining_round_refreshed",
+    sql.query(
+        "SELECT batch_id, query_id, row_id, level FROM batched", **_REFRESHED
+    ),
+)
+def mining_round_refreshed(t: Tables):
+    """A round whose index holds a part of the papers; levels come from all texts."""
+    return _refreshed(t).select("batch_id", "query_id", "row_id", "level")
+
+
+@register(
+    "mining_round_refreshed_report",
+    sql.query(
+        f"""
+        SELECT 'loss' AS name, count(*) AS k, round(avg(loss), 6) AS value FROM (
+            SELECT batch_id, sum(greatest(0, sn - sp + 0.05 * (negative_level
+                   - positive_level))) AS loss FROM gaps GROUP BY batch_id)
+        UNION ALL SELECT 'recall', k, recall
+        FROM ({sql.metrics("unless_citing", (10, 20), "prefetch")})""",
+        **_REFRESHED,
+        gaps="""
+            SELECT t.*, list_inner_product(a.vec, p.vec) AS sp, list_inner_product(a.vec, n.vec)
+                   AS sn
+            FROM triplets t
+            JOIN sample_vectors a ON a.batch_id = t.batch_id AND a.row_id = anchor
+            JOIN sample_vectors p ON p.batch_id = t.batch_id AND p.row_id = positive
+            JOIN sample_vectors n ON n.batch_id = t.batch_id AND n.row_id = negative""",
+    ),
+)
+def mining_round_refreshed_report(t: Tables):
+    """Loss over all samples, also those outside the index, and recall of that index."""
+    done = jobs.mining_round(
+        t.answerable, t.corpus, t.contexts, t.papers, t.encoder,
+        lambda encoder, index: dense_retriever(encoder, index, WORD_DIM),
+        n_refreshed=N_REFRESHED, ks=(10, 20, 100), seed=SEED, stopwords=STOPWORDS, budget=BUDGET,
+        bucket_queries=BUCKET, n_easy=N_EASY,
+    )
+    loss = done.losses.agg(F.avg("loss").alias("value"), F.count("*").alias("k"))
+    recall = done.metrics.filter("k < 100").select(
+        F.lit("recall").alias("name"), F.col("k").cast("bigint").alias("k"), F.col("recall").alias("value")
+    )
+    return (
+        loss.select(F.lit("loss").alias("name"), "k", "value")
+        .unionByName(recall)
+        .select("name", "k", *rounded("value"))
+    )
+
+
 # --- reranking --------------------------------------------------------------------------
 
 
@@ -221,7 +293,25 @@ def rerank_top_10(t: Tables):
     return ranked.select("query_id", "paper_id", "first_rank", "rank")
 
 
-@register("rerank_with_model")
+@register(
+    "rerank_with_model",
+    sql.query(
+        "SELECT query_id, paper_id, first_rank, round(score, 6) AS score, row_number() OVER "
+        "(PARTITION BY query_id ORDER BY round(score, 9) DESC, first_rank) AS rank FROM word_shares",
+        pair_words=f"""
+            SELECT c.query_id, c.paper_id, c.rank AS first_rank,
+                   list_distinct({sql.words(
+                       "array_to_string(" + sql.words("citing_title || ' ' || citing_abstract")
+                       + "[1:179], ' ') || '<sep>' || replace(local_context, 'TARGETCIT', '<cit>')"
+                   )}) AS a,
+                   list_distinct({sql.words("title || ' ' || abstract")}) AS b
+            FROM candidates c JOIN queries USING (query_id) JOIN papers USING (paper_id)""",
+        word_shares="""
+            SELECT *, len(list_intersect(a, b))
+                   / greatest(len(a) + len(b) - len(list_intersect(a, b)), 1) AS score
+            FROM pair_words""",
+    ),
+)
 def rerank_with_model(t: Tables):
     """An external pair model in the scorer slot: here, the share of common words."""
 
@@ -325,6 +415,32 @@ def fit_pairwise_ranker(t: Tables):
     return R.rerank(scored).select("query_id", "paper_id", "rank", *rounded("score"))
 
 
+@register(
+    "fit_pairwise_ranker_report",
+    sql.query(
+        "SELECT count(DISTINCT query_id) AS n_queries, 1 AS loss_fell, 1 AS positives_ahead "
+        "FROM lists"
+    ),
+)
+def fit_pairwise_ranker_report(t: Tables):
+    """Learned weights against none, over the lists they were learned from."""
+    lists = R.rerank_training_lists(t.candidates, t.answerable_queries, seed=SEED)
+    features = t.stored(
+        "ranker-features", lambda: t.feature_tables.features(R.with_ranks(lists, t.candidates))
+    )
+    weights = R.fit_pairwise_ranker(features)
+    after = R.score_pairs(features, weights)
+    before = R.score_pairs(features, dict.fromkeys(R.FEATURES, 0.0))
+    mean = F.avg(F.when(F.col("level") == 0, F.col("score")))
+    other = F.avg(F.when(F.col("level") != 0, F.col("score")))
+    ahead = after.agg((mean > other).cast("int").alias("positives_ahead"))
+    old = R.mean_loss(R.pairwise_rank_loss(before)).select(F.col("loss").alias("_before"))
+    new = R.mean_loss(R.pairwise_rank_loss(after))
+    report = new.join(F.broadcast(old)).join(F.broadcast(ahead))
+    fell = (F.col("loss") < F.col("_before")).cast("int")
+    return report.select("n_queries", fell.alias("loss_fell"), "positives_ahead")
+
+
 _LONGEST = """
     SELECT count(*) AS n FROM candidates JOIN queries USING (query_id)
     WHERE len(positive_ids) > 0 GROUP BY query_id"""

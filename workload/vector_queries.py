@@ -333,7 +333,19 @@ def embedded_queries(t: Tables):
     return embed_queries(t.queries, t.encoder).select("query_id", _listed(F.col("vec")).alias("vec"))
 
 
-@register("embed_with_model")
+@register(
+    "embed_with_model",
+    sql.query(
+        f"SELECT paper_id, {_listed_sql('freq')} AS vec FROM frequencies",
+        document_texts="""
+            SELECT paper_id, title || ' ' || abstract AS text FROM papers""",
+        frequencies="""
+            SELECT paper_id, [CAST((length(text) - length(replace(text, c, '')))
+                   / greatest(length(text), 1) AS FLOAT)::DOUBLE
+                   for c in string_split('abcdefghijklmnopqrstuvwxyz', '')] AS freq
+            FROM document_texts""",
+    ),
+)
 def embed_with_model(t: Tables):
     """An external model in the encoder slot: here, letter frequencies of the text."""
 
