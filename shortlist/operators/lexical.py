@@ -1,24 +1,27 @@
 """Inverted index as tables, and BM25 over it.
 
 The index has one row per (term, document), which carries the document's length, so
-that scoring needs no second lookup. Rows of one document stay in one task from the
-tokens up to the score wherever the query side is small enough to be copied: the sums
-then need no shuffle, and only the best ``n`` rows per query and task travel.
+that scoring needs no second lookup. Where the query side is small enough to be copied, the
+matching postings of a document meet in one task, its sums need no further shuffle, and only
+the best ``n`` rows per query and task travel.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from .. import defaults as D
 from ..functions import text as T
-from ..storage import BROADCAST_ROWS, fits_broadcast
+from ..storage import BROADCAST_ROWS, fits_broadcast, materialize
 from .knn import rank_top
-from .skew import SLICE, spread_heavy
+from .skew import SLICE, lookup, spread_heavy
 
 
 def term_counts(
@@ -30,18 +33,31 @@ def term_counts(
 ) -> DataFrame:
     """``(key, term, doc_len, tf)`` for each row of ``df``, one row per distinct term.
 
-    Texts are distributed by key *before* they are taken apart: that moves less than
-    moving the tokens, and the counts then need no shuffle of their own. ``keep_empty``
-    keeps a row without term for texts without tokens.
+    Tokens are counted inside their row, an Arrow batch at a time, so nothing is shuffled
+    unless lemmas make terms of a row equal. ``keep_empty`` keeps a row without term for
+    texts without tokens. ``key`` is unique.
     """
-    placed = df.repartition(key).select(key, tokens.alias("_tokens"))
-    # the length is taken before the array is, or each token would drag the array along;
-    # the outer form keeps Spark from tokenizing once more to find empty arrays
-    sized = placed.select(key, F.size("_tokens").alias("doc_len"), "_tokens")
-    exploded = sized.select(key, "doc_len", F.explode_outer("_tokens").alias("term"))
-    if not keep_empty:
-        exploded = exploded.filter(F.col("term").isNotNull())
-    counts = exploded.groupBy(key, "term", "doc_len").agg(F.count("*").cast("int").alias("tf"))
+    rows = df.select(F.col(key).alias("key"), tokens.alias("tokens"))
+    kind = rows.schema["key"].dataType.simpleString()
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, lists = batch.column(0), batch.column(1)
+            lengths = np.asarray(pc.fill_null(pc.list_value_length(lists), 0)).astype(np.int64)
+            coded = pc.dictionary_encode(lists.flatten())
+            width = max(len(coded.dictionary), 1)
+            codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            pairs = np.repeat(np.arange(len(lengths)), lengths) * width + codes
+            found, times = np.unique(pairs, return_counts=True)
+            row, code = found // width, found % width
+            yield _counted(keys, row, coded.dictionary.take(pa.array(code)), lengths, times)
+            if keep_empty:
+                bare = np.flatnonzero(lengths == 0)
+                none = pa.nulls(len(bare), pa.string())
+                yield _counted(keys, bare, none, lengths, np.ones(len(bare), dtype=np.int64))
+
+    schema = f"key {kind}, term string, doc_len int, tf int"
+    counts = rows.mapInArrow(count, schema).withColumnRenamed("key", key)
     if lemmas is None:
         return counts
     return (
@@ -51,6 +67,18 @@ def term_counts(
     )
 
 
+def _counted(keys: pa.Array, row, terms: pa.Array, lengths, times) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [
+            keys.take(pa.array(row)),
+            terms.cast(pa.string()),
+            pa.array(lengths[row].astype(np.int32)),
+            pa.array(times.astype(np.int32)),
+        ],
+        ["key", "term", "doc_len", "tf"],
+    )
+
+
 # --- lemmas -----------------------------------------------------------------------------
 
 # Noun endings and what they may be replaced with.
@@ -101,14 +129,9 @@ def build_lemmas(tokens: DataFrame, dictionary: DataFrame | None = None) -> Data
 
 def apply_lemmas(df: DataFrame, lemmas: DataFrame, token: str = "token") -> DataFrame:
     """Replace column ``token`` by its lemma where it has one."""
-    named = lemmas.select(F.col("token").alias("_token"), F.col("lemma").alias("_lemma"))
-    if fits_broadcast(named):
-        named = F.broadcast(named)
-    return (
-        df.join(named, F.col(token) == F.col("_token"), "left")
-        .withColumn(token, F.coalesce("_lemma", token))
-        .drop("_token", "_lemma")
-    )
+    named = lemmas.select(F.col("token").alias(token), F.col("lemma").alias("_lemma"))
+    found = lookup(df, named, token, BROADCAST_ROWS)
+    return found.withColumn(token, F.coalesce("_lemma", token)).select(*df.columns)
 
 
 # --- index ------------------------------------------------------------------------------
@@ -177,8 +200,12 @@ def _gain(tf: Column, doc_len: Column, avg_len: Column, k: float, b: float) -> C
 
 def _term_weights(terms: DataFrame, df: DataFrame, stats: DataFrame) -> DataFrame:
     """``(query_id, term, _weight)`` with weight ``qtf * idf``, for indexed terms."""
+    return _weighted(terms.join(df, "term"), stats)
+
+
+def _weighted(terms: DataFrame, stats: DataFrame) -> DataFrame:
     idf = _idf(stats.select("n_docs").scalar(), F.col("df"))
-    return terms.join(df, "term").select("query_id", "term", (F.col("qtf") * idf).alias("_weight"))
+    return terms.select("query_id", "term", (F.col("qtf") * idf).alias("_weight"))
 
 
 def bm25_scores(
@@ -195,13 +222,17 @@ def bm25_scores(
     ``terms(query_id, term, qtf)``; ``stats`` is the one row of :func:`corpus_stats`.
     """
     small = fits_broadcast(terms, broadcast_rows)
-    known = terms.select("term").distinct()
     if small:
-        known = F.broadcast(known)
-    hits = postings.join(known, "term", "left_semi")
-    if df is None:
-        df = document_frequency(hits)
-    weights = _term_weights(terms, df, stats)
+        known = F.broadcast(terms.select("term").distinct())
+        hits = postings.join(known, "term", "left_semi")
+        df = document_frequency(hits) if df is None else df
+        weights = _term_weights(terms, df, stats)
+    else:
+        # counts are summed where the postings are; no posting moves by its bare term
+        hits = postings
+        df = materialize(document_frequency(postings), "term-counts") if df is None else df
+        known = lookup(terms, df.select("term", "df"), "term", BROADCAST_ROWS)
+        weights = _weighted(known.filter(F.col("df").isNotNull()), stats)
     avg_len = stats.select("avg_len").scalar()
     gain = _gain(F.col("tf"), F.col("doc_len"), avg_len, k, b)
     hits = hits.select("term", "paper_id", gain.alias("_gain"))

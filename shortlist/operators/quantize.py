@@ -14,8 +14,20 @@ PRECISIONS = ("float32", "bool", *INTEGER_STEPS)
 
 def value_scale(df: DataFrame, vec: str = "vec") -> DataFrame:
     """One row: four population standard deviations of all absolute values."""
-    values = df.select(F.explode(vectors.as_double(F.col(vec))).alias("x"))
-    return values.agg((F.lit(4.0) * F.stddev_pop(F.abs("x"))).alias("scale"))
+    magnitudes = F.transform(vectors.as_double(F.col(vec)), F.abs)
+    # each vector is reduced in its row to the sums that the deviation needs
+    rows = df.select(
+        F.aggregate(
+            magnitudes,
+            F.struct(F.lit(0).alias("n"), F.lit(0.0).alias("s"), F.lit(0.0).alias("q")),
+            lambda a, x: F.struct(
+                (a["n"] + 1).alias("n"), (a["s"] + x).alias("s"), (a["q"] + x * x).alias("q")
+            ),
+        ).alias("m")
+    )
+    n, mean = F.sum("m.n"), F.sum("m.s") / F.sum("m.n")
+    variance = F.greatest(F.sum("m.q") / n - mean * mean, F.lit(0.0))
+    return rows.agg((F.lit(4.0) * F.sqrt(variance)).alias("scale"))
 
 
 def row_scale(vec: Column) -> Column:
