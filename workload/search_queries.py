@@ -97,6 +97,24 @@ def dense_prefetch(t: Tables):
     return _list_columns(jobs.prefetch(t.queries, t.dense, 50))
 
 
+@register(
+    "dense_prefetch_turns",
+    sql.query(
+        _LIST,
+        paragraphs=sql.CTES["paragraphs"]
+        + """
+        UNION ALL SELECT 't', concat_ws('-', conv_id, turn), 3, 3.0, text FROM conversations""",
+        turn_scores="""
+            SELECT q.id AS query_id, p.id AS paper_id, list_inner_product(q.vec, p.vec) AS score
+            FROM unit_vectors q, unit_vectors p WHERE q.kind = 't' AND p.kind = 'p'""",
+        best=sql.ranked("turn_scores", 20),
+    ),
+)
+def dense_prefetch_turns(t: Tables):
+    """All turns of all conversations against the vector index."""
+    return _list_columns(jobs.prefetch(t.turns, t.dense, 20))
+
+
 @register(
     "prefetch_unless_positive",
     sql.query(

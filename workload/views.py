@@ -140,6 +140,16 @@ class Tables:
         found = context_queries(self.corpus, self.contexts, self.papers)
         return materialize(found, "queries")
 
+    @property
+    def turns(self) -> DataFrame:
+        """All turns of all conversations as queries without a citing paper."""
+        return self.base("conversations").select(
+            F.concat_ws("-", "conv_id", "turn").alias("query_id"),
+            F.lit("").alias("citing_title"),
+            F.lit("").alias("citing_abstract"),
+            F.col("text").alias("local_context"),
+        )
+
     @property
     def answerable_queries(self) -> DataFrame:
         return self.queries.filter(F.size("positive_ids") > 0)
