@@ -12,7 +12,7 @@ from shortlist.plans import jobs
 
 from . import sql
 from .registry import joined, register, rounded
-from .views import Tables
+from .views import STOPWORDS, Tables
 
 KS = (10, 20, 50, 100, 200, 500, 1000, 2000)
 METRICS = ("recall", "precision", "f1")
@@ -70,6 +70,75 @@ def bm25_search(t: Tables):
     return _list_columns(jobs.bm25_search(t.queries, t.postings, t.doc_stats, 100))
 
 
+def _with_lemmas(terms: str, weight: str) -> str:
+    return (
+        f"SELECT * EXCLUDE (term, {weight}, lemma, token), coalesce(lemma, term) AS term, "
+        f"sum({weight}) AS {weight} FROM ({terms}) LEFT JOIN lemmas ON token = term GROUP BY ALL"
+    )
+
+
+@register(
+    "bm25_search_lemmas",
+    sql.query(
+        _LIST,
+        best=sql.ranked("bm25", 100),
+        postings=_with_lemmas("SELECT term, paper_id, count(*) AS tf FROM paper_terms GROUP BY ALL",
+                              "tf"),
+        qterms=_with_lemmas(sql.CTES["qterms"], "qtf"),
+    ),
+)
+def bm25_search_lemmas(t: Tables):
+    """Lemmas on both sides."""
+    lemmas = t.stored(
+        "lemmas", lambda: lexical.build_lemmas(t.postings.select(F.col("term").alias("token")))
+    )
+    postings = t.stored("lemma-postings", lambda: lexical.build_postings(t.papers, lemmas=lemmas))
+    found = jobs.bm25_search(t.queries, postings, t.doc_stats, 100, lemmas=lemmas)
+    return _list_columns(found)
+
+
+@register(
+    "bm25_search_stopwords",
+    sql.query(
+        _LIST,
+        best=sql.ranked("bm25", 100),
+        paper_terms=f"""
+            SELECT paper_id, unnest({sql.tokens("title || ' ' || abstract", STOPWORDS)}) AS term
+            FROM papers""",
+        doc_stats=f"""
+            SELECT paper_id, len({sql.tokens("title || ' ' || abstract", STOPWORDS)}) AS doc_len
+            FROM papers""",
+        qterms=f"""
+            SELECT query_id, term, count(*) AS qtf
+            FROM (SELECT query_id, unnest({sql.tokens("local_context", STOPWORDS)}) AS term
+                  FROM queries) GROUP BY ALL""",
+    ),
+)
+def bm25_search_stopwords(t: Tables):
+    """Stop words left out of index and queries."""
+    postings = t.stored("stop-postings", lambda: lexical.build_postings(t.papers, STOPWORDS))
+    stats = t.stored("stop-stats", lambda: lexical.build_doc_stats(t.papers, STOPWORDS))
+    return _list_columns(jobs.bm25_search(t.queries, postings, stats, 100, stopwords=STOPWORDS))
+
+
+@register(
+    "bm25_search_pretokenized",
+    sql.query(
+        _LIST,
+        best=sql.ranked("bm25", 100),
+        qterms=f"""
+            SELECT query_id, term, count(*) AS qtf
+            FROM (SELECT query_id, unnest({sql.words("local_context")}) AS term FROM queries)
+            GROUP BY ALL""",
+    ),
+)
+def bm25_search_pretokenized(t: Tables):
+    """Queries whose words are terms already."""
+    return _list_columns(
+        jobs.bm25_search(t.queries, t.postings, t.doc_stats, 100, pretokenized=True)
+    )
+
+
 @register(
     "bm25_search_filled",
     sql.query(

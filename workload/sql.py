@@ -60,7 +60,26 @@ def norm(vec: str) -> str:
     return f"(sqrt(list_inner_product({vec}, {vec})) + 1e-12)"
 
 
+#: noun endings and their replacements, as the lemmas use them
+_LEMMA_RULES = " UNION ALL ".join(
+    f"SELECT token, left(token, length(token) - {len(old)}) || '{new}' AS lemma "
+    f"FROM all_tokens WHERE ends_with(token, '{old}')"
+    for old, new in [
+        ("s", ""), ("ses", "s"), ("ves", "f"), ("xes", "x"), ("zes", "z"),
+        ("ches", "ch"), ("shes", "sh"), ("men", "man"), ("ies", "y"),
+    ]
+)
+
 CTES = {
+    "all_tokens": "SELECT DISTINCT term AS token FROM raw_postings",
+    "raw_postings": "SELECT DISTINCT term FROM paper_terms",
+    "lemmas": f"""
+        SELECT token, lemma FROM (
+            SELECT token, lemma FROM (SELECT token, token AS lemma FROM all_tokens
+                                      UNION ALL {_LEMMA_RULES})
+            WHERE lemma IN (SELECT token FROM all_tokens)
+            QUALIFY row_number() OVER (PARTITION BY token ORDER BY length(lemma), lemma) = 1)
+        WHERE lemma <> token""",
     "papers": """
         SELECT CAST(doc_id AS VARCHAR) AS paper_id, split_part(text, chr(10), 1) AS title,
                substr(text, length(split_part(text, chr(10), 1)) + 2) AS abstract

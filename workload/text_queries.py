@@ -83,29 +83,10 @@ def tokenize_paragraphs(t: Tables):
     return paragraphs.select("paper_id", "p.ptype", *_token_columns(T.tokenize(F.col("p.text"))))
 
 
-_LEMMA_RULES = " UNION ALL ".join(
-    f"SELECT token, left(token, length(token) - {len(old)}) || '{new}' AS lemma "
-    f"FROM all_tokens WHERE ends_with(token, '{old}')"
-    for old, new in [
-        ("s", ""), ("ses", "s"), ("ves", "f"), ("xes", "x"), ("zes", "z"),
-        ("ches", "ch"), ("shes", "sh"), ("men", "man"), ("ies", "y"),
-    ]
-)
-_LEMMAS = f"""
-    SELECT token, lemma FROM (
-        SELECT token, lemma FROM (SELECT token, token AS lemma FROM all_tokens
-                                  UNION ALL {_LEMMA_RULES})
-        WHERE lemma IN (SELECT token FROM all_tokens)
-        QUALIFY row_number() OVER (PARTITION BY token ORDER BY length(lemma), lemma) = 1)
-    WHERE lemma <> token"""
-
-
 @register(
     "build_lemmas",
     sql.query(
-        "SELECT token, lemma FROM lemmas",
-        all_tokens="SELECT DISTINCT term AS token FROM postings",
-        lemmas=_LEMMAS,
+        "SELECT token, lemma FROM lemmas"
     ),
 )
 def build_lemmas(t: Tables):
@@ -117,8 +98,6 @@ def build_lemmas(t: Tables):
     sql.query(
         "SELECT coalesce(lemma, term) AS term, paper_id, CAST(sum(tf) AS BIGINT) AS tf "
         "FROM postings LEFT JOIN lemmas ON token = term GROUP BY ALL",
-        all_tokens="SELECT DISTINCT term AS token FROM postings",
-        lemmas=_LEMMAS,
     ),
 )
 def lemmatized_postings(t: Tables):

@@ -262,20 +262,35 @@ def knn_int4(t: Tables):
     return _search(t, "int4")
 
 
-@register(
-    "knn_bool",
-    _knn_sql(
-        unit=_UNIT,
-        signs="SELECT id, [CASE WHEN x > 0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END for x in vec] "
-        "AS s FROM unit",
-        scored_pairs="SELECT q.id AS query_id, d.id AS paper_id, "
-        "(list_inner_product(q.s, d.s) + len(q.s)) / 2 AS score FROM signs q, signs d",
-    ),
+_SIGNS = _knn_sql(
+    unit=_UNIT,
+    signs="SELECT id, [CASE WHEN x > 0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END for x in vec] "
+    "AS s FROM unit",
+    scored_pairs="SELECT q.id AS query_id, d.id AS paper_id, "
+    "(list_inner_product(q.s, d.s) + len(q.s)) / 2 AS score FROM signs q, signs d",
 )
+
+
+@register("knn_bool", _SIGNS)
 def knn_bool(t: Tables):
     return _search(t, "bool")
 
 
+@register("knn_grid_int8", _knn_sql(**_integer_unit(128)))
+def knn_grid_int8(t: Tables):
+    return _search(t, "int8", broadcast_queries=0)
+
+
+@register("knn_grid_int4", _knn_sql(**_integer_unit(8)))
+def knn_grid_int4(t: Tables):
+    return _search(t, "int4", broadcast_queries=0)
+
+
+@register("knn_grid_bool", _SIGNS)
+def knn_grid_bool(t: Tables):
+    return _search(t, "bool", broadcast_queries=0)
+
+
 @register(
     "hamming_similarity",
     sql.query(
