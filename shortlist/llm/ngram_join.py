@@ -4,10 +4,11 @@ The global order of n-grams is the order of their hashes. It is cut into fragmen
 partitioning), and the work on a pair is shared out over them:
 
 * Candidates. Two sets whose index is at least the threshold differ in at most ``D`` n-grams,
-  ``D`` following from their size. Cut into more than ``D`` fragments, they agree in a whole
-  one, so each set emits a hash of every fragment and candidates meet in equal hashes. No
-  pair is lost: a set with so many empty fragments that only empty ones might agree emits
-  those too. A passage that many texts share hardly ever fills a whole fragment.
+  ``D`` following from their size. Cut into ``D + c`` fragments, they agree in ``c`` whole ones
+  at least, so each set emits a hash of every fragment and candidates meet in equal hashes.
+  Of its fragments a set may leave out the ``c - 1`` that most sets have: these are the ones
+  that a common passage fills. No pair is lost: empty fragments count against ``c``, and a set
+  with so many that only empty ones might agree emits those too.
 * Bound. The sizes of the fragments of a coarse cut bound a pair's overlap from above; pairs
   that cannot reach the threshold go.
 * Overlap. What is left is counted exactly: overlaps of the coarse fragments are counted
@@ -20,13 +21,14 @@ all pairs; only entries that this leaves in different components are compared fu
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .batches import lists, materialize, sized
@@ -35,11 +37,15 @@ from .components import connected_components
 WORDS, PERCENT = 3, 90
 #: fragments whose sizes bound the overlap, and fragments in which it is counted
 BOUND_FRAGMENTS, COUNT_FRAGMENTS = 64, 8
+#: fragments that a pair agrees in, as a share of those it may differ in
+AGREE = 0.35
+#: classes that the low bits of a hash tell apart; a set is in a few that follow each other
+CLASS_TAGS = 64
 #: each class of set sizes reaches this much further than its beginning
 SIZE_STEP = 1.25
 #: ids copied to the executors instead of shuffling texts, at most (8 bytes each)
 COPIED_IDS = 1_000_000
-TEXT_BYTES = 4_000_000
+TEXT_BYTES = 2_000_000
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -132,7 +138,7 @@ class Schemes:
             begin = self.begins[-1]
             end = max(begin + 1, int(begin * SIZE_STEP))
             differ = (end - 1) * (100 - self.percent) // self.percent
-            least = differ + 3
+            least = differ + 3 + int(AGREE * differ)
             spare = int(np.ceil(2 * least * np.exp(-begin / least)))
             self.begins.append(end)
             self.differ.append(differ)
@@ -146,17 +152,19 @@ class Schemes:
         last = int(np.searchsorted(self.begins, size, side="right")) - 1
         return range(first, last + 1)
 
-    def hashes(self, grams: np.ndarray) -> np.ndarray:
+    def hashes(self, grams: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]]]:
         """A hash of each fragment of a set, in every class where it can be one of a pair.
 
-        Empty fragments are left out unless there are so many that a pair might agree in
-        nothing else. Classes without room for a difference need none: equal sets are one.
+        The low bits of a hash name its class. Also returns, for each class, how many
+        fragments the set may leave out. Empty fragments are not emitted unless there are so
+        many that a pair might agree in nothing else. Classes without room for a difference
+        need none: equal sets are one.
         """
         size = len(grams)
         if not size:
-            return grams
+            return grams, []
         mixed = _mix(grams + _GOLDEN)
-        out = []
+        out, spare = [], []
         for c in self.of(size):
             if not self.differ[c]:
                 continue
@@ -165,32 +173,41 @@ class Schemes:
             starts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
             sums = np.add.reduceat(mixed, starts)
             place = at[starts]
-            if k - len(starts) >= k - self.differ[c]:
+            agree = k - self.differ[c] - (k - len(starts))
+            if agree <= 0:
                 empty = np.setdiff1d(np.arange(k, dtype=np.uint64), place)
                 place = np.concatenate([place, empty])
                 sums = np.concatenate([sums, np.zeros(len(empty), dtype=np.uint64)])
+                agree = 1  # the other set may not emit them, so nothing can be left out
             tag = place + np.uint64(c << 40)
-            out.append(_mix(sums + _mix(tag + _GOLDEN)))
-        return np.concatenate(out) if out else grams[:0]
+            hashed = _mix(sums + _mix(tag + _GOLDEN))
+            out.append(hashed - hashed % np.uint64(CLASS_TAGS) + np.uint64(c % CLASS_TAGS))
+            spare.append((c % CLASS_TAGS, agree - 1))
+        return (np.concatenate(out) if out else grams[:0]), spare
 
 
 def profiles(df: DataFrame, key: str, text: str, words: int, percent: int) -> DataFrame:
     """Per row: ``_key``, set size, content hashes, coarse fragment sizes and fragment hashes."""
     rows = df.select(F.col(key).cast("long").alias("_key"), F.col(text).alias("_text"))
-    names = ["_key", "_n", "_h1", "_h2", "_sizes", "_hashes"]
-    schema = "_key long, _n long, _h1 long, _h2 long, _sizes array<int>, _hashes array<long>"
+    names = ["_key", "_n", "_h1", "_h2", "_sizes", "_hashes", "_spare"]
+    schema = (
+        "_key long, _n long, _h1 long, _h2 long, _sizes array<int>, _hashes array<long>, "
+        "_spare map<int,int>"
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schemes = Schemes(percent)
         for batch in sized(batches, "_text", TEXT_BYTES):
-            n, first, second, sizes, hashes = [], [], [], [], []
+            n, first, second, sizes, hashes, spares = [], [], [], [], [], []
             for grams in shingle_hashes(batch.column("_text"), words):
                 n.append(len(grams))
                 digest = xxhash.xxh3_128_intdigest(grams.tobytes())
                 first.append(digest >> 64)
                 second.append(digest & 0xFFFFFFFFFFFFFFFF)
                 sizes.append(_coarse(grams, BOUND_FRAGMENTS)[1:])
-                hashes.append(schemes.hashes(grams))
+                own, spare = schemes.hashes(grams)
+                hashes.append(own)
+                spares.append(spare)
             columns = [
                 batch.column("_key"),
                 pa.array(np.array(n, dtype=np.int64)),
@@ -204,6 +221,7 @@ def profiles(df: DataFrame, key: str, text: str, words: int, percent: int) -> Da
                     np.concatenate(hashes).view(np.int64),
                     np.array([len(h) for h in hashes]), pa.int64(),
                 ),
+                pa.array(spares, type=pa.map_(pa.int32(), pa.int32())),
             ]
             yield pa.RecordBatch.from_arrays(columns, names)
 
@@ -256,11 +274,7 @@ def _linked(pairs: DataFrame, entries: DataFrame, df: DataFrame, key: str, text:
     left = facts.toDF("a", "_ha", "_na", "_sa")
     right = facts.toDF("b", "_hb", "_nb", "_sb")
     both = pairs.join(left, "a").join(right, "b")
-    common = F.aggregate(
-        F.zip_with("_sa", "_sb", lambda x, y: F.least(x, y).cast("long")),
-        F.lit(0).cast("long"),
-        lambda s, x: s + x,
-    )
+    common = _common_at_most(F.col("_sa"), F.col("_sb"))
     possible = materialize(
         both.filter(_reaches(common, F.col("_na"), F.col("_nb"), percent)).select(
             "a", "_ha", "_na", "b", "_hb", "_nb"
@@ -313,19 +327,15 @@ def join_groups(df: DataFrame, key: str, text: str, words: int = WORDS,
         found.filter(able)
         .groupBy("_h1", "_h2")
         .agg(
-            F.min(F.struct("_key", "_n", "_sizes", "_hashes")).alias("_e"),
+            F.min_by(F.struct("_key", "_n", "_sizes", "_hashes", "_spare"), "_key").alias("_e"),
         )
-        .select("_h1", "_h2", F.col("_e._key").alias("_rep"), "_e._n", "_e._sizes", "_e._hashes"),
+        .select(
+            "_h1", "_h2", F.col("_e._key").alias("_rep"),
+            "_e._n", "_e._sizes", "_e._hashes", "_e._spare",
+        ),
         "join-entries",
     )
-    hashes = entries.select("_rep", F.explode("_hashes").alias("_hash"))
-    buckets = (
-        hashes.groupBy("_hash")
-        .agg(F.min("_rep").alias("_pivot"), F.max("_rep").alias("_last"))
-        .filter("_pivot != _last")
-        .select("_hash", "_pivot")
-    )
-    members = materialize(hashes.join(buckets, "_hash"), "join-members")
+    members = _members(entries)
     first = members.filter("_rep != _pivot").select(
         F.col("_pivot").alias("a"), F.col("_rep").alias("b")
     )
@@ -349,16 +359,54 @@ def join_groups(df: DataFrame, key: str, text: str, words: int = WORDS,
     )
 
 
+def _members(entries: DataFrame) -> DataFrame:
+    """``(_hash, _rep, _pivot)``: the entries in buckets of equal hashes, with the smallest one.
+
+    An entry leaves out the hashes that most entries have, as many as it may.
+    """
+    hashes = entries.select("_rep", "_h1", F.explode("_hashes").alias("_hash"))
+    counts = (
+        hashes.groupBy("_hash")
+        .agg(F.count("*").alias("_many"), F.min("_rep").alias("_low"), F.max("_rep").alias("_top"))
+        .filter("_low != _top")
+        .select("_hash", "_many")
+    )
+    shared = hashes.join(counts, "_hash")
+    spare = entries.select("_rep", "_h1", F.explode("_spare").alias("_class", "_left_out"))
+    of_class = F.pmod("_hash", F.lit(CLASS_TAGS)).cast("int")
+    most = Window.partitionBy("_rep", "_h1", "_class").orderBy(F.desc("_many"), "_hash")
+    kept = (
+        shared.withColumn("_class", of_class)
+        .join(spare, ["_rep", "_h1", "_class"])
+        .withColumn("_place", F.row_number().over(most))
+        .filter(F.col("_place") > F.col("_left_out"))
+        .select("_hash", "_rep")
+        .distinct()
+    )
+    kept = materialize(kept, "join-kept")
+    pivots = (
+        kept.groupBy("_hash")
+        .agg(F.min("_rep").alias("_pivot"), F.max("_rep").alias("_top"))
+        .filter("_pivot != _top")
+        .select("_hash", "_pivot")
+    )
+    return materialize(kept.join(pivots, "_hash"), "join-members")
+
+
+def _common_at_most(a: Column, b: Column) -> Column:
+    """The overlap that two sets can have at most, from the sizes of their coarse fragments."""
+    least = F.zip_with(a, b, lambda x, y: F.least(x, y).cast("long"))
+    return F.aggregate(least, F.lit(0).cast("long"), lambda s, x: s + x)
+
+
 def _apart(members: DataFrame, settled: DataFrame, entries: DataFrame,
            percent: int) -> DataFrame:
     """Pairs of a bucket that are in different components and were not compared yet.
 
     Of such a pair one at least is outside the component of the bucket's pivot, so only the
-    outsiders look for partners. Sets whose sizes are too far apart are no pair.
+    outsiders look for partners, in bands of sizes that can reach the threshold, and a pair
+    that its fragment sizes rule out is not formed.
     """
-    sizes = entries.select(F.col("_rep"), "_n").groupBy("_rep").agg(
-        F.min("_n").alias("_low"), F.max("_n").alias("_high")
-    )
     group = settled.select(F.col("vertex").alias("_rep"), F.col("component").alias("_group"))
     pivot = settled.select(F.col("vertex").alias("_pivot"), F.col("component").alias("_pivots"))
     placed = (
@@ -368,23 +416,32 @@ def _apart(members: DataFrame, settled: DataFrame, entries: DataFrame,
         .withColumn("_outside", F.col("_group") != F.coalesce("_pivots", "_pivot"))
     )
     open_buckets = placed.filter("_outside").select("_hash").distinct()
+    # short numbers; a set with larger fragments is not bounded by them
+    short = F.when(F.array_max("_sizes") < 32768, F.col("_sizes").cast("array<smallint>"))
+    band = F.floor(F.log(F.col("_n")) / (math.log(100 / percent) * 1.0001)).cast("int")
+    sizes = entries.select("_rep", "_n", short.alias("_parts"), band.alias("_band"))
     placed = materialize(
         placed.join(open_buckets, "_hash", "left_semi")
         .join(sizes, "_rep")
-        .select("_hash", "_rep", "_pivot", "_group", "_outside", "_low", "_high"),
+        .select("_hash", "_rep", "_pivot", "_group", "_outside", "_n", "_parts", "_band"),
         "join-open",
     )
+    nearby = F.explode(F.sequence(F.col("_band") - 1, F.col("_band") + 1))
     outside = placed.filter("_outside").select(
-        "_hash", F.col("_rep").alias("_x"), F.col("_group").alias("_gx"),
-        F.col("_low").alias("_lx"), F.col("_high").alias("_hx"),
+        "_hash", nearby.alias("_band"), F.col("_rep").alias("_x"), F.col("_group").alias("_gx"),
+        F.col("_n").alias("_nx"), F.col("_parts").alias("_px"),
     )
     others = placed.filter("_rep != _pivot")
-    near = (100 * F.col("_high") >= percent * F.col("_lx")) & (
-        100 * F.col("_hx") >= percent * F.col("_low")
+    near = (100 * F.col("_n") >= percent * F.col("_nx")) & (
+        100 * F.col("_nx") >= percent * F.col("_n")
+    )
+    possible = _reaches(
+        _common_at_most(F.col("_px"), F.col("_parts")), F.col("_nx"), F.col("_n"), percent
     )
     return (
-        outside.join(others, "_hash")
+        outside.join(others, ["_hash", "_band"])
         .filter((F.col("_gx") != F.col("_group")) & near)
+        .filter(F.coalesce(possible, F.lit(True)))
         .select(F.least("_x", "_rep").alias("a"), F.greatest("_x", "_rep").alias("b"))
         .distinct()
     )
