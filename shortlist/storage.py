@@ -78,6 +78,23 @@ def scratch_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+#: folders that this process has stored tables in
+_WRITTEN: list[str] = []
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Delete the tables that :func:`materialize` stored; returns how many.
+
+    Only folders that this process wrote are touched. Frames that read them are void after.
+    """
+    context = spark.sparkContext
+    paths, _WRITTEN[:] = list(_WRITTEN), []
+    for path in paths:
+        place = context._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
+    return len(paths)
+
+
 def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
@@ -85,6 +102,7 @@ def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None)
     reader prune columns and push filters down.
     """
     path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
     writer = df.write.mode("errorifexists")
     if partition_by:
         writer = writer.partitionBy(*partition_by)

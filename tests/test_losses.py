@@ -180,3 +180,14 @@ def test_size_check_counts_bytes(spark):
     assert not storage.fits_broadcast(wide, 100, max_bytes=500_000)
     vectors = spark.range(100).select(F.array_repeat(F.lit(0.5), 5_000).alias("v"))
     assert not storage.fits_broadcast(vectors, 100, max_bytes=1_000_000)
+
+
+def test_clearing_deletes_only_own_tables(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(storage, "_WRITTEN", [])
+    monkeypatch.setattr(storage, "scratch_dir", lambda _: f"file://{tmp_path}")
+    (tmp_path / "other").mkdir()
+    for name in ("a", "b"):
+        assert storage.materialize(spark.range(3), name).count() == 3
+    assert storage.clear_scratch(spark) == 2
+    assert [p.name for p in tmp_path.iterdir()] == ["other"]
+    assert storage.clear_scratch(spark) == 0
