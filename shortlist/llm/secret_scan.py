@@ -167,9 +167,10 @@ def trigram_query(pattern: str) -> Query:
 
 def build_index(df: DataFrame, key: str, text: str, trigrams: Sequence[str]) -> DataFrame:
     """Postings (``trigram``, ``key``) of the given trigrams, letter case ignored."""
-    low = F.lower(F.col(text))
-    found = F.array_compact(F.array(*[F.when(low.contains(t), F.lit(t)) for t in trigrams]))
-    return df.select(F.explode(found).alias("trigram"), F.col(key).alias("key"))
+    # lower-cased in a step of its own, or every trigram would do it again
+    rows = df.select(F.col(key).alias("key"), F.lower(F.col(text)).alias("low"))
+    found = F.array(*[F.when(F.col("low").contains(t), F.lit(t)) for t in trigrams])
+    return rows.select(F.explode(F.array_compact(found)).alias("trigram"), "key")
 
 
 def candidates(postings: DataFrame, rules: Sequence[Rule]) -> DataFrame:
