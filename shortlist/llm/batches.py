@@ -8,15 +8,22 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import materialize, scratch_dir
 
+#: bytes that Spark puts into an Arrow batch at most, so that memory does not follow row width
+ARROW_BATCH_BYTES = 8_000_000
 #: Arrow batches are merged or cut so that a step sees about this many bytes of text
 BATCH_BYTES = 12_000_000
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Have Spark bound its Arrow batches by bytes (a setting of the session)."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BATCH_BYTES))
+
+
 def texts_of(column: pa.Array | pa.ChunkedArray) -> list[str]:
     """The values as strings; null is empty."""
     return [x or "" for x in column.to_pylist()]
@@ -105,6 +112,7 @@ def shared_folder(df: DataFrame, name: str) -> str:
 
 
 __all__ = [
+    "bound_batches",
     "free_name",
     "gather",
     "lists",

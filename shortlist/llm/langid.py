@@ -34,7 +34,7 @@ SWITCH = 9.0
 SCRIPT_SHARE = 0.01
 SMOOTHING = 0.5
 UNKNOWN = "und"
-WORDS_KEPT = 400_000
+WORDS_KEPT = 150_000
 #: the log likelihood of a word in a language that is no candidate for it
 NO_CANDIDATE = -1e4
 

@@ -43,9 +43,10 @@ AGREE = 0.35
 CLASS_TAGS = 64
 #: each class of set sizes reaches this much further than its beginning
 SIZE_STEP = 1.25
-#: ids copied to the executors instead of shuffling texts, at most (8 bytes each)
-COPIED_IDS = 1_000_000
-TEXT_BYTES = 2_000_000
+#: ids or hashes copied to the executors instead of shuffling what they choose from, at most
+#: (16 bytes each)
+COPIED_IDS = 2_000_000
+TEXT_BYTES = 1_000_000
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -186,46 +187,85 @@ class Schemes:
         return (np.concatenate(out) if out else grams[:0]), spare
 
 
-def profiles(df: DataFrame, key: str, text: str, words: int, percent: int) -> DataFrame:
-    """Per row: ``_key``, set size, content hashes, coarse fragment sizes and fragment hashes."""
+def profiles(df: DataFrame, key: str, text: str, words: int) -> DataFrame:
+    """Per row: ``_key``, set size ``_n``, and content hashes ``_h1`` and ``_h2``."""
     rows = df.select(F.col(key).cast("long").alias("_key"), F.col(text).alias("_text"))
-    names = ["_key", "_n", "_h1", "_h2", "_sizes", "_hashes", "_spare"]
-    schema = (
-        "_key long, _n long, _h1 long, _h2 long, _sizes array<int>, _hashes array<long>, "
-        "_spare map<int,int>"
-    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sized(batches, "_text", TEXT_BYTES):
+            sizes, digests = [], []
+            for grams in shingle_hashes(batch.column("_text"), words):
+                sizes.append(len(grams))
+                digests.append(_digest(grams))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("_key"),
+                    pa.array(np.array(sizes, dtype=np.int64)),
+                    _halves(digests, 64),
+                    _halves(digests, 0),
+                ],
+                ["_key", "_n", "_h1", "_h2"],
+            )
+
+    return rows.mapInArrow(run, "_key long, _n long, _h1 long, _h2 long")
+
+
+def _digest(grams: np.ndarray) -> int:
+    return xxhash.xxh3_128_intdigest(grams.tobytes())
+
+
+def _halves(digests: list[int], shift: int) -> pa.Array:
+    mask = 0xFFFFFFFFFFFFFFFF
+    return pa.array(np.array([(d >> shift) & mask for d in digests], dtype=np.uint64).view(np.int64))
+
+
+def fragment_sizes(df: DataFrame, key: str, text: str, words: int, percent: int) -> DataFrame:
+    """Per row: ``_rep``, ``_h1``, size, coarse fragment sizes, and what may be left out."""
+    rows = df.select(F.col(key).cast("long").alias("_rep"), F.col(text).alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schemes = Schemes(percent)
         for batch in sized(batches, "_text", TEXT_BYTES):
-            n, first, second, sizes, hashes, spares = [], [], [], [], [], []
+            n, digests, sizes, spares = [], [], [], []
             for grams in shingle_hashes(batch.column("_text"), words):
                 n.append(len(grams))
-                digest = xxhash.xxh3_128_intdigest(grams.tobytes())
-                first.append(digest >> 64)
-                second.append(digest & 0xFFFFFFFFFFFFFFFF)
-                sizes.append(_coarse(grams, BOUND_FRAGMENTS)[1:])
-                own, spare = schemes.hashes(grams)
-                hashes.append(own)
-                spares.append(spare)
-            columns = [
-                batch.column("_key"),
-                pa.array(np.array(n, dtype=np.int64)),
-                pa.array(np.array(first, dtype=np.uint64).view(np.int64)),
-                pa.array(np.array(second, dtype=np.uint64).view(np.int64)),
-                lists(
-                    np.diff(np.array(sizes, dtype=np.int64), prepend=0).ravel(),
-                    np.full(len(n), BOUND_FRAGMENTS), pa.int32(),
-                ),
-                lists(
-                    np.concatenate(hashes).view(np.int64),
-                    np.array([len(h) for h in hashes]), pa.int64(),
-                ),
-                pa.array(spares, type=pa.map_(pa.int32(), pa.int32())),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, names)
-
-    return rows.mapInArrow(run, schema)
+                digests.append(_digest(grams))
+                sizes.append(np.diff(_coarse(grams, BOUND_FRAGMENTS)))
+                spares.append(schemes.hashes(grams)[1])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("_rep"),
+                    _halves(digests, 64),
+                    pa.array(np.array(n, dtype=np.int64)),
+                    lists(np.concatenate(sizes), np.full(len(n), BOUND_FRAGMENTS), pa.int32()),
+                    pa.array(spares, type=pa.map_(pa.int32(), pa.int32())),
+                ],
+                ["_rep", "_h1", "_n", "_sizes", "_spare"],
+            )
+
+    return rows.mapInArrow(
+        run, "_rep long, _h1 long, _n long, _sizes array<int>, _spare map<int,int>"
+    )
+
+
+def fragment_hashes(df: DataFrame, key: str, text: str, words: int, percent: int) -> DataFrame:
+    """The fragment hashes of every row: ``_rep``, ``_hash``."""
+    rows = df.select(F.col(key).cast("long").alias("_rep"), F.col(text).alias("_text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schemes = Schemes(percent)
+        for batch in sized(batches, "_text", TEXT_BYTES):
+            found = [schemes.hashes(g)[0] for g in shingle_hashes(batch.column("_text"), words)]
+            keys = np.asarray(batch.column("_rep"))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.repeat(keys, [len(h) for h in found])),
+                    pa.array(np.concatenate(found).view(np.int64)),
+                ],
+                ["_rep", "_hash"],
+            )
+
+    return rows.mapInArrow(run, "_rep long, _hash long")
 
 
 def _coarse(grams: np.ndarray, fragments: int) -> np.ndarray:
@@ -244,7 +284,7 @@ def _segments(df: DataFrame, key: str, text: str, words: int) -> DataFrame:
             for k, grams in zip(batch.column("_key").to_pylist(),
                                 shingle_hashes(batch.column("_text"), words), strict=True):
                 keys.append(k)
-                first.append(xxhash.xxh3_128_intdigest(grams.tobytes()) >> 64)
+                first.append(_digest(grams) >> 64)
                 sizes.append(np.diff(_coarse(grams, COUNT_FRAGMENTS)))
                 parts.append(grams)
             repeat = COUNT_FRAGMENTS
@@ -285,10 +325,7 @@ def _linked(pairs: DataFrame, entries: DataFrame, df: DataFrame, key: str, text:
         possible.select(F.col("a").alias("_w")).union(possible.select("b")).distinct(),
         "join-wanted",
     )
-    small = wanted.count() <= COPIED_IDS
-    picked = df.join(
-        F.broadcast(wanted) if small else wanted, F.col(key) == F.col("_w"), "left_semi"
-    )
+    picked = df.join(_copied(wanted), F.col(key) == F.col("_w"), "left_semi")
     segments = materialize(
         _segments(picked, key, text, words).dropDuplicates(["_key", "_h1", "_f"]),
         "join-segments",
@@ -321,30 +358,45 @@ def join_groups(df: DataFrame, key: str, text: str, words: int = WORDS,
     read. Rows with a null key link with nothing and have a null component; rows that
     repeat a key count as one vertex. Other columns are dropped.
     """
-    found = materialize(profiles(df, key, text, words, percent), "join-profiles")
+    found = materialize(profiles(df, key, text, words), "join-profiles")
     able = (F.col("_n") > 0) & F.col("_key").isNotNull()
+    classes = materialize(
+        found.filter(able).groupBy("_h1", "_h2").agg(F.min("_key").alias("_rep")), "join-classes"
+    )
+    # of equal sets one text is taken apart; the others, and texts without words, are not
+    placed = found.join(classes, ["_h1", "_h2"], "left").filter(F.col("_key").isNotNull())
+    keys = materialize(
+        placed.groupBy("_key").agg(
+            F.max(F.coalesce(F.col("_key") == F.col("_rep"), F.lit(False))).alias("_first"),
+            F.coalesce(F.min("_rep") != F.max("_rep"), F.lit(False)).alias("_several"),
+        ),
+        "join-keys",
+    )
+    idle = keys.filter("not _first").select(F.col("_key").alias("_idle"))
+    # a key with several texts ties their sets together
+    ties = placed.join(keys.filter("_several").select("_key"), "_key").select(
+        F.col("_key").alias("a"), F.col("_rep").alias("b")
+    )
+    firsts = df.select(key, text).filter(F.col(key).isNotNull())
+    firsts = firsts.join(_copied(idle), F.col(key) == F.col("_idle"), "left_anti")
     entries = materialize(
-        found.filter(able)
-        .groupBy("_h1", "_h2")
-        .agg(
-            F.min_by(F.struct("_key", "_n", "_sizes", "_hashes", "_spare"), "_key").alias("_e"),
-        )
-        .select(
-            "_h1", "_h2", F.col("_e._key").alias("_rep"),
-            "_e._n", "_e._sizes", "_e._hashes", "_e._spare",
-        ),
+        fragment_sizes(firsts, key, text, words, percent).filter("_n > 0").dropDuplicates(
+            ["_rep", "_h1"]
+        ),
         "join-entries",
     )
-    members = _members(entries)
+    members = _members(fragment_hashes(firsts, key, text, words, percent), entries)
     first = members.filter("_rep != _pivot").select(
         F.col("_pivot").alias("a"), F.col("_rep").alias("b")
     )
-    links = _linked(first.distinct(), entries, df, key, text, words, percent)
+    links = _linked(first.distinct(), entries, df, key, text, words, percent).union(
+        ties.filter("b is not null")
+    )
     settled = connected_components(links, "a", "b")
     apart = _apart(members, settled, entries, percent)
     links = links.union(_linked(apart, entries, df, key, text, words, percent))
     settled = materialize(connected_components(links, "a", "b"), "join-components")
-    classes = entries.join(settled, F.col("_rep") == F.col("vertex"), "left").select(
+    classes = classes.join(settled, F.col("_rep") == F.col("vertex"), "left").select(
         F.col("_h1").alias("_c1"), F.col("_h2").alias("_c2"),
         F.coalesce("component", "_rep").alias("_component"),
     )
@@ -359,26 +411,38 @@ def join_groups(df: DataFrame, key: str, text: str, words: int = WORDS,
     )
 
 
-def _members(entries: DataFrame) -> DataFrame:
+def _copied(rows: DataFrame) -> DataFrame:
+    """A stored table of ids, to be copied to the executors if it is short enough."""
+    return F.broadcast(rows) if rows.count() <= COPIED_IDS else rows
+
+
+def _members(hashes: DataFrame, entries: DataFrame) -> DataFrame:
     """``(_hash, _rep, _pivot)``: the entries in buckets of equal hashes, with the smallest one.
 
-    An entry leaves out the hashes that most entries have, as many as it may.
+    An entry leaves out the hashes that most entries have, as many as it may. Most hashes are
+    in no bucket; they are made again rather than stored, and where the buckets are few enough
+    to be copied only the hashes that meet in one are shuffled a second time.
     """
-    hashes = entries.select("_rep", "_h1", F.explode("_hashes").alias("_hash"))
-    counts = (
+    counts = materialize(
         hashes.groupBy("_hash")
         .agg(F.count("*").alias("_many"), F.min("_rep").alias("_low"), F.max("_rep").alias("_top"))
         .filter("_low != _top")
-        .select("_hash", "_many")
+        .select("_hash", "_many"),
+        "join-buckets",
+    )
+    shared = hashes.join(_copied(counts), "_hash")
+    # an id that has several texts leaves out no more than any of them may
+    spare = (
+        entries.select("_rep", F.explode("_spare").alias("_class", "_left_out"))
+        .groupBy("_rep", "_class")
+        .agg(F.min("_left_out").alias("_left_out"))
     )
-    shared = hashes.join(counts, "_hash")
-    spare = entries.select("_rep", "_h1", F.explode("_spare").alias("_class", "_left_out"))
     of_class = F.pmod("_hash", F.lit(CLASS_TAGS)).cast("int")
-    most = Window.partitionBy("_rep", "_h1", "_class").orderBy(F.desc("_many"), "_hash")
+    most = Window.partitionBy("_rep", "_class").orderBy(F.desc("_many"), "_hash")
     kept = (
         shared.withColumn("_class", of_class)
-        .join(spare, ["_rep", "_h1", "_class"])
-        .withColumn("_place", F.row_number().over(most))
+        .join(spare, ["_rep", "_class"])
+        .withColumn("_place", F.dense_rank().over(most))
         .filter(F.col("_place") > F.col("_left_out"))
         .select("_hash", "_rep")
         .distinct()

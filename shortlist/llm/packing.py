@@ -17,7 +17,6 @@ stretch and one document; nothing is shuffled.
 from __future__ import annotations
 
 import json
-from collections import deque
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -169,41 +168,47 @@ def best_cuts(cuts: np.ndarray, penalty: np.ndarray, window: int = WINDOW) -> li
     of ending a window at each. Returns the chosen ends. Ties go to the longer window.
     """
     b = np.concatenate([[0], cuts])
-    pairs: list[tuple[np.ndarray, np.ndarray]] = []
+    place_of = np.full(int(b[-1]) + 1, -1, dtype=np.int32)
+    place_of[b] = np.arange(len(b))
+    # all pairs of cuts that are a power of two apart
+    hits, origins = [], []
     power = 1
     while power <= window:
-        at = np.searchsorted(b, b - power)
-        at[at == len(b)] = 0
-        hit = np.flatnonzero((b[at] == b - power) & (b >= power))
-        pairs.append((hit, at[hit]))
+        first = int(np.searchsorted(b, power))
+        start = place_of[b[first:] - power]
+        found = np.flatnonzero(start >= 0)
+        hits.append(found + first)
+        origins.append(start[found])
         power *= 2
-    ends = np.concatenate([j for j, _ in pairs])
-    starts = np.concatenate([i for _, i in pairs])
+    ends, starts = np.concatenate(hits), np.concatenate(origins)
     order = np.argsort(ends, kind="stable")
     exact_end, exact_start = [*ends[order].tolist(), -1], starts[order].tolist()
-    position, cost_of = b.tolist(), [0.0, *penalty.tolist()]
+    position, cost_of = b.tolist(), [0.0, *(penalty + WINDOW_COST).tolist()]
     best = [0.0] * len(position)
     came = [0] * len(position)
-    queue: deque[tuple[float, int]] = deque([(0.0, 0)])
+    # the queue: starts whose key best + position may still be the least of a window
+    keys, starts_held = [0.0] * len(position), [0] * len(position)
+    head, tail = 0, 1
     k = 0
     for j in range(1, len(position)):
         here = position[j]
         oldest = here - window
-        while position[queue[0][1]] < oldest:
-            queue.popleft()
-        least, start = queue[0]
-        least += window - here
+        while position[starts_held[head]] < oldest:
+            head += 1
+        start = starts_held[head]
+        least = keys[head] - oldest
         while exact_end[k] == j:
             i = exact_start[k]
             if best[i] < least:
                 least, start = best[i], i
             k += 1
-        least += cost_of[j] + WINDOW_COST
+        least += cost_of[j]
         best[j], came[j] = least, start
         key = least + here
-        while queue and queue[-1][0] > key:
-            queue.pop()
-        queue.append((key, j))
+        while tail > head and keys[tail - 1] > key:
+            tail -= 1
+        keys[tail], starts_held[tail] = key, j
+        tail += 1
     chosen = []
     j = len(position) - 1
     while j:
@@ -217,26 +222,25 @@ def possible_cuts(
 ) -> tuple[np.ndarray, np.ndarray]:
     """Ends of documents and sentences in a stream, at most ``window`` apart, and penalties."""
     n = len(ids)
+    cost = np.full(n + 1, -1.0, dtype=np.float32)  # of a cut at each position; -1 is none
     follows_blank = np.append(words.blanks[ids[1:]], True)
-    sentence = np.flatnonzero(words.stops[ids] & follows_blank) + 1
-    cuts = np.unique(np.concatenate([sentence, doc_ends, [n]]))
-    gaps = np.diff(np.concatenate([[0], cuts]))
+    cost[1:][words.stops[ids] & follows_blank] = SENTENCE_PENALTY
+    cost[doc_ends] = 0.0
+    cost[n] = max(cost[n], 0.0)
+    cuts = np.flatnonzero(cost >= 0)
+    gaps = np.diff(cuts, prepend=0)
     # between words of long sentences: the last word end of each step of tokens
     spots = np.flatnonzero(follows_blank) + 1
     spots = spots[np.append(np.diff(spots // WORD_STEP) > 0, True)]
-    spots = spots[gaps[np.searchsorted(cuts, spots)] > LONG_SENTENCE]
-    between = np.setdiff1d(spots, cuts)
-    cuts = np.union1d(cuts, between)
-    gaps = np.diff(np.concatenate([[0], cuts]))
-    wide = np.flatnonzero(gaps > window)
-    forced = [np.arange(cuts[w] - gaps[w] + window, cuts[w], window) for w in wide]
-    inside = np.concatenate(forced) if forced else np.zeros(0, dtype=np.int64)
-    cuts = np.union1d(cuts, inside).astype(np.int64)
-    penalty = np.full(len(cuts), SENTENCE_PENALTY)
-    penalty[np.isin(cuts, between)] = WORD_PENALTY
-    penalty[np.isin(cuts, inside)] = FORCED_PENALTY
-    penalty[np.isin(cuts, doc_ends)] = 0.0
-    return cuts, penalty
+    in_long = np.repeat(gaps > LONG_SENTENCE, gaps)
+    spots = spots[in_long[spots - 1] & (cost[spots] < 0)]
+    cost[spots] = WORD_PENALTY
+    cuts = np.flatnonzero(cost >= 0)
+    gaps = np.diff(cuts, prepend=0)
+    for w in np.flatnonzero(gaps > window).tolist():
+        cost[cuts[w] - gaps[w] + window : cuts[w] : window] = FORCED_PENALTY
+    cuts = np.flatnonzero(cost >= 0)
+    return cuts, cost[cuts].astype(np.float64)
 
 
 class _Stream:

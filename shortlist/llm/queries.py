@@ -19,6 +19,7 @@ from . import (
     url_filter,
     warc,
 )
+from .batches import bound_batches
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -36,6 +37,8 @@ def tokenizer_path(name: str) -> str:
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A given table, in a session whose Arrow batches are bounded."""
+    bound_batches(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 

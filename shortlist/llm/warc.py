@@ -35,6 +35,8 @@ SAMPLE_BYTES, DICTIONARY_BYTES = 1_000_000, 32_768
 #: the least number of records that a dictionary can be trained on
 SAMPLE_RECORDS = 16
 LEVEL = 3
+#: keys of repeated payloads that are copied to the executors at most (some 60 bytes each)
+COPIED_KEYS = 500_000
 READ_BYTES = 1 << 20
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
@@ -140,20 +142,27 @@ def with_revisits(df: DataFrame, key: str, payload: Column, least: int = 0) -> D
     """Add ``_payload`` (bytes), ``_revisit`` and ``_refers_to`` (the largest key of an equal payload).
 
     Payloads shorter than ``least`` bytes are never revisits. Equal payloads are found by
-    SHA-1 in rows of key and digest alone; the payloads then move once, by key, so a hot
-    payload is dealt to many tasks. Rows with a null key come after all others; rows that
-    share key and payload are alike.
+    SHA-1 in rows of key and digest alone. The keys of payloads that occur again are copied to
+    the executors up to ``COPIED_KEYS``, and no payload moves; beyond that the payloads move
+    once, by key, so a hot payload is dealt to many tasks. Rows with a null key come after all
+    others; rows that share key and payload are alike.
     """
     rows = df.withColumn("_payload", F.coalesce(payload, F.lit("")).cast("binary"))
     rows = rows.withColumn("_sha1", F.sha1("_payload"))
     keys = rows.select(F.col(key).alias("_key"), "_sha1").distinct()
     firsts = keys.groupBy("_sha1").agg(F.max("_key").alias("_first"), F.count("*").alias("_n"))
     copies = firsts.filter("_n > 1").select("_sha1", "_first")
-    decided = keys.join(copies, "_sha1").select(
-        F.col("_sha1").alias("_same"), F.col("_key").alias("_whose"), "_first"
+    decided = materialize(
+        keys.join(copies, "_sha1").select(
+            F.col("_sha1").alias("_same"), F.col("_key").alias("_whose"), "_first"
+        ),
+        "page-copies",
     )
+    small = decided.count() <= COPIED_KEYS
     joined = rows.join(
-        decided, F.col(key).eqNullSafe(F.col("_whose")) & (F.col("_sha1") == F.col("_same")), "left"
+        F.broadcast(decided) if small else decided,
+        F.col(key).eqNullSafe(F.col("_whose")) & (F.col("_sha1") == F.col("_same")),
+        "left",
     )
     again = (
         F.col("_same").isNotNull()

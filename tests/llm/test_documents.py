@@ -246,6 +246,14 @@ def test_join_odd_rows(spark):
     assert ngram_join.join_groups(documents(spark, []), "doc_id", "text").count() == 0
 
 
+def test_join_of_a_key_with_several_texts(spark):
+    one = "one two three four five six seven eight nine ten eleven twelve"
+    two = "red green blue gold pink gray teal plum lime navy rose rust"
+    rows = [(3, one), (4, two), (9, one), (9, two), (10, two + " more"), (11, "alone in here")]
+    got = ngram_join.join_groups(documents(spark, rows), "doc_id", "text").collect()
+    assert {(r.doc_id, r.component_id) for r in got} == {(3, 3), (4, 3), (9, 3), (10, 3), (11, 11)}
+
+
 def test_fragments_never_miss_a_pair():
     rng = np.random.default_rng(11)
     for percent in (90, 80):
