@@ -66,12 +66,13 @@ def _joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
 
 
 def over_batches(
-    df: DataFrame, schema: str, work: Callable[[pa.RecordBatch], pa.RecordBatch], text: str
+    df: DataFrame, schema: str, work: Callable[[pa.RecordBatch], pa.RecordBatch], text: str,
+    target: int = BATCH_BYTES,
 ) -> DataFrame:
     """``df`` through ``work``, batch by batch, where the rows are; no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sized(batches, text):
+        for batch in sized(batches, text, target):
             yield work(batch)
 
     return df.mapInArrow(run, schema)

@@ -34,6 +34,8 @@ SWITCH = 9.0
 SCRIPT_SHARE = 0.01
 SMOOTHING = 0.5
 UNKNOWN = "und"
+#: bytes of text labelled at a time
+TEXT_BYTES = 3_000_000
 WORDS_KEPT = 150_000
 #: the log likelihood of a word in a language that is no candidate for it
 NO_CANDIDATE = -1e4
@@ -157,7 +159,7 @@ def fit(docs: DataFrame, text: str, language: str, key: str, rows: Column,
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[int, np.ndarray] = {}
-        for batch in sized(batches, "_text"):
+        for batch in sized(batches, "_text", TEXT_BYTES):
             langs, texts = batch.column("_lang").to_pylist(), texts_of(batch.column("_text"))
             for lang in set(langs):
                 words = [letters_of(p) for x, t in zip(langs, texts, strict=True) if x == lang
@@ -306,7 +308,7 @@ def predict(df: DataFrame, text: str, model: Model, spans: bool = True) -> DataF
             out = out.append_column("lang_spans", pa.array(runs, type=kind))
         return out
 
-    return over_batches(rest, ", ".join(fields), work, text)
+    return over_batches(rest, ", ".join(fields), work, text, TEXT_BYTES)
 
 
 def label(texts: list[str], scorer: Scorer, spans: bool) -> tuple[list[str], list[float], list]:
