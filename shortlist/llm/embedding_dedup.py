@@ -4,9 +4,16 @@ A rotation of the principal axes is learned on a bounded sample so that the sign
 rotated components are balanced and close to the vectors. Several such codes of one vector
 are cut into short substrings; each substring is the key of a table. Vectors of one group
 that agree in a whole substring, and differ in few bits in all, are compared by the exact
-cosine of the original vectors. With ``TABLES`` substrings every pair that differs in fewer
-bits than there are tables is found for sure, and of others the share that chance leaves
-apart in all tables is lost: under 1 % at cosine 0.93, and far less above.
+cosine of the original vectors. Every pair that differs in fewer bits than there are tables
+is found for sure, and of others the share that chance leaves apart in all tables is lost.
+
+Codes are taken from the mean of the sample, as that parts vectors best, but vectors with a
+large common part stand at wider angles from there than their cosine says. So what the
+tables would lose is measured: held-out vectors are paired with vectors at exactly the least
+cosine, and rotations are added until ``FOUND`` of these pairs meet in every tenth of the
+vectors by distance from the mean. If ``MOST_CODES`` do not reach that, the codes are random
+axes through the origin, where any pair at cosine 0.93 is expected to meet with 99.2 %,
+whatever the data; they part vectors with a large common part less well and so compare more.
 
 Equal vectors of a group are one entry with a count, so copies are never paired.
 """
@@ -21,15 +28,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .ann_forest import content_key, usable
-from .batches import materialize
+from .batches import lists, materialize
 from .components import connected_components
 
 #: codes of a vector (one rotation each), substrings of a code, bits of a substring
 CODES, PARTS, PART_BITS = 4, 5, 12
-TABLES = CODES * PARTS
+#: codes of a vector at most, and the share of pairs at the least cosine that must meet
+MOST_CODES, FOUND = 24, 0.98
+#: pairs that this is measured on, about
+PAIRS = 8000
 #: vectors that the rotations are learned on, at most, and the rounds of learning
 SAMPLE, ROUNDS = 8192, 30
-#: a pair is compared if at most this share of all bits differ (mean 0.12 at cosine 0.93)
+#: a pair is compared if at most this share of all bits differ (mean 0.12 at cosine 0.93), or
+#: as many as differ in any of the measured pairs
 MOST_DIFFERENT = 0.27
 SEED = 20240917
 
@@ -37,54 +48,101 @@ SEED = 20240917
 class Rotations:
     """Projections whose signs are the codes of vectors of one length."""
 
-    def __init__(self, sample: np.ndarray, dim: int) -> None:
+    def __init__(self, sample: np.ndarray, dim: int, least: float = 0.93) -> None:
+        self.rng = np.random.default_rng([SEED, dim])
+        self.mean = np.zeros(dim)
+        self.planes: list[np.ndarray] = []
+        self.most_different = MOST_DIFFERENT
+        if len(sample) < 2 * dim or not self._learn(sample, least):
+            self.mean, self.most_different = np.zeros(dim), MOST_DIFFERENT
+            bits = PARTS * PART_BITS
+            self.planes = [self.rng.standard_normal((dim, bits)) for _ in range(CODES)]
+
+    @property
+    def tables(self) -> int:
+        return len(self.planes) * PARTS
+
+    @property
+    def most(self) -> int:
+        """Bits that the codes of a compared pair differ in, at most."""
+        return int(self.most_different * self.tables * PART_BITS)
+
+    def _learn(self, sample: np.ndarray, least: float) -> bool:
+        """Learn rotations until pairs at cosine ``least`` are found; False if they are not."""
+        held = np.arange(len(sample)) % 4 == 0
+        taught = sample[~held]
+        self.mean = taught.mean(axis=0)
+        centred = taught - self.mean
         bits = PARTS * PART_BITS
-        rng = np.random.default_rng([SEED, dim])
-        self.planes = []
-        if len(sample) < 2 * dim:  # too little to learn from: random axes
-            self.mean = np.zeros(dim)
-            self.planes = [rng.standard_normal((dim, bits)) for _ in range(CODES)]
-            return
-        self.mean = sample.mean(axis=0)
-        centred = sample - self.mean
-        axes = np.linalg.svd(centred, full_matrices=False)[2][: min(bits, dim)].T
+        axes = np.linalg.svd(centred, full_matrices=False)[2][: min(bits, sample.shape[1])].T
         reduced = centred @ axes
-        for _ in range(CODES):
-            wide = rng.standard_normal((axes.shape[1], bits))
-            if axes.shape[1] == bits:
-                rotation = np.linalg.qr(wide)[0]
-                for _ in range(ROUNDS):  # nearest codes, then the rotation nearest to them
-                    codes = np.where(reduced @ rotation > 0, 1.0, -1.0)
-                    left, _, right = np.linalg.svd(codes.T @ reduced)
-                    rotation = (left @ right).T
-            else:
-                rotation = wide  # more bits than components
-            self.planes.append(axes @ rotation)
+        one, two = self._pairs(sample[held], least)
+        far = np.argsort(((one - self.mean) ** 2).sum(axis=1), kind="stable")
+        met, differ = np.zeros(len(one), dtype=bool), np.zeros(len(one), dtype=np.int64)
+        for n in range(1, MOST_CODES + 1):
+            plane = axes @ self._rotation(reduced, bits)
+            self.planes.append(plane)
+            unlike = ((one - self.mean) @ plane > 0) != ((two - self.mean) @ plane > 0)
+            met |= (~unlike).reshape(len(one), PARTS, PART_BITS).all(axis=2).any(axis=1)
+            differ += unlike.sum(axis=1)
+            if n >= CODES and min(m.mean() for m in np.array_split(met[far], 10)) >= FOUND:
+                self.most_different = max(MOST_DIFFERENT, differ.max() / (n * bits))
+                return True
+        return False
+
+    def _rotation(self, reduced: np.ndarray, bits: int) -> np.ndarray:
+        wide = self.rng.standard_normal((reduced.shape[1], bits))
+        if reduced.shape[1] != bits:
+            return wide  # more bits than components
+        rotation = np.linalg.qr(wide)[0]
+        for _ in range(ROUNDS):  # nearest codes, then the rotation nearest to them
+            codes = np.where(reduced @ rotation > 0, 1.0, -1.0)
+            left, _, right = np.linalg.svd(codes.T @ reduced)
+            rotation = (left @ right).T
+        return rotation
+
+    def _pairs(self, held: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+        """Held-out vectors and vectors at cosine ``least`` from them.
+
+        Half lie in any direction from the first, half in that from one vector to another.
+        """
+        one = held[np.arange(max(PAIRS, len(held))) % len(held)]
+        there = self.rng.standard_normal(one.shape)
+        other = self.rng.integers(0, len(held), size=(2, len(one)))
+        apart = held[other[0]] - held[other[1]]
+        like = (self.rng.random(len(one)) < 0.5) & (apart != 0).any(axis=1)
+        there[like] = apart[like]
+        there -= (there * one).sum(axis=1, keepdims=True) * one
+        norms = np.sqrt((there * there).sum(axis=1, keepdims=True))
+        there = np.divide(there, norms, out=np.zeros_like(there), where=norms > 0)
+        return one, least * one + np.sqrt(max(0.0, 1 - least * least)) * there
 
     def parts(self, vectors: np.ndarray) -> np.ndarray:
-        """The substrings of the codes of each vector: vectors x TABLES."""
+        """The substrings of the codes of each vector: vectors x tables."""
         weights = 1 << np.arange(PART_BITS - 1, -1, -1)
         centred = vectors - self.mean
         signs = np.concatenate([centred @ p > 0 for p in self.planes], axis=1)
-        return (signs.reshape(len(vectors), TABLES, PART_BITS) * weights).sum(axis=2)
+        return (signs.reshape(len(vectors), self.tables, PART_BITS) * weights).sum(axis=2)
 
 
 def _unit(vectors: np.ndarray) -> np.ndarray:
     return vectors / np.sqrt((vectors * vectors).sum(axis=1, keepdims=True))
 
 
-def with_parts(entries: DataFrame, vector: str) -> DataFrame:
+def with_parts(entries: DataFrame, vector: str, least: float) -> tuple[DataFrame, dict[int, int]]:
     """Add ``_parts``, the substrings of the codes, and drop the vector.
 
-    Learns from the ``SAMPLE`` entries with the lowest hash; vectors of another length than
-    the sample's get codes from random axes.
+    Also returns the most bits that codes of a pair may differ in, by the length of the
+    vectors; lengths that are not listed have ``CODES`` codes and ``MOST_DIFFERENT``. Learns
+    from the ``SAMPLE`` entries with the lowest hash; vectors of another length than the
+    sample's get codes from random axes.
     """
     order = entries.select(vector, F.col("_h2")).orderBy("_h2", "_h1").limit(SAMPLE)
     picked = [np.array(r[0], dtype=np.float64) for r in order.collect()]
     dims = [len(v) for v in picked]
     dim = max(set(dims), key=lambda d: (dims.count(d), d)) if dims else 0
     sample = [v for v in picked if len(v) == dim]
-    learned = Rotations(_unit(np.stack(sample)), dim) if sample else None
+    learned = Rotations(_unit(np.stack(sample)), dim, least) if sample else None
     kept = [f for f in entries.schema.fields if f.name != vector]
     names = [*[f.name for f in kept], "_parts"]
     schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in kept],
@@ -102,18 +160,24 @@ def with_parts(entries: DataFrame, vector: str) -> DataFrame:
             lengths = np.asarray(batch.column(vector).value_lengths()).astype(np.int64)
             flat = np.asarray(batch.column(vector).flatten()).astype(np.float64)
             ends = np.cumsum(lengths)
-            parts = np.zeros((batch.num_rows, TABLES), dtype=np.int32)
-            for length in np.unique(lengths).tolist():
+            present = np.unique(lengths).tolist()
+            tables = np.zeros(batch.num_rows, dtype=np.int64)
+            for length in present:
+                tables[lengths == length] = rotations(length).tables
+            starts = np.cumsum(tables) - tables
+            parts = np.zeros(int(tables.sum()), dtype=np.int32)
+            for length in present:
                 rows = np.flatnonzero(lengths == length)
                 at = (ends[rows] - length)[:, None] + np.arange(length)
-                parts[rows] = rotations(length).parts(_unit(flat[at]))
-            offsets = np.arange(batch.num_rows + 1, dtype=np.int32) * TABLES
-            column = pa.ListArray.from_arrays(pa.array(offsets), pa.array(parts.ravel()))
+                to = starts[rows][:, None] + np.arange(rotations(length).tables)
+                parts[to] = rotations(length).parts(_unit(flat[at]))
+            column = lists(parts, tables, pa.int32())
             yield pa.RecordBatch.from_arrays(
                 [*[batch.column(f.name) for f in kept], column], names
             )
 
-    return entries.mapInArrow(run, schema)
+    most = {length: r.most for length, r in known.items()}
+    return entries.mapInArrow(run, schema), most
 
 
 def _bits(a: Column, b: Column) -> Column:
@@ -121,7 +185,7 @@ def _bits(a: Column, b: Column) -> Column:
     return F.aggregate(differences, F.lit(0), lambda s, x: s + x)
 
 
-def candidate_pairs(coded: DataFrame, group: str) -> DataFrame:
+def candidate_pairs(coded: DataFrame, group: str, most: dict[int, int]) -> DataFrame:
     """Pairs of entries (``a`` < ``b``) of one group that meet in a table, each pair once.
 
     A pair that meets in several tables is taken in the first. The join on group, length and
@@ -132,11 +196,13 @@ def candidate_pairs(coded: DataFrame, group: str) -> DataFrame:
     left = rows.toDF("a", "_g", "_d", "_pa", "_t", "_s")
     right = rows.toDF("b", "_g", "_d", "_pb", "_t", "_s")
     equal = F.array_position(F.zip_with("_pa", "_pb", lambda x, y: (x == y)), True) - 1
-    most = int(MOST_DIFFERENT * TABLES * PART_BITS)
+    bound = F.lit(int(MOST_DIFFERENT * CODES * PARTS * PART_BITS))
+    for length, bits in most.items():
+        bound = F.when(F.col("_d") == length, bits).otherwise(bound)
     return (
         left.join(right, ["_g", "_d", "_t", "_s"])
         .filter((F.col("a") < F.col("b")) & (equal == F.col("_t")))
-        .filter(_bits(F.col("_pa"), F.col("_pb")) <= most)
+        .filter(_bits(F.col("_pa"), F.col("_pb")) <= bound)
         .select("a", "b")
     )
 
@@ -177,11 +243,9 @@ def near_duplicates(df: DataFrame, key: str, vector: str, group: str,
         .withColumn("_entry", F.struct("_least", "_h1"))
     )
     entries = materialize(entries, "dedup-entries")
-    coded = materialize(
-        with_parts(entries.select("_h1", "_h2", "_entry", "_group", "_dim", "_vec"), "_vec"),
-        "dedup-codes",
-    )
-    pairs = candidate_pairs(coded, "_group")
+    wanted = entries.select("_h1", "_h2", "_entry", "_group", "_dim", "_vec")
+    coded, most = with_parts(wanted, "_vec", least)
+    pairs = candidate_pairs(materialize(coded, "dedup-codes"), "_group", most)
     vectors = entries.select("_entry", "_vec", "_copies")
     compared = pairs.join(vectors.toDF("a", "_va", "_na"), "a").join(
         vectors.toDF("b", "_vb", "_nb"), "b"

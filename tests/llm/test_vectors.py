@@ -97,6 +97,26 @@ def test_codes_are_balanced_and_learned():
     assert 0.93 < cosines.mean() < 0.96 and found.mean() > 0.99
 
 
+@pytest.mark.parametrize("common", [0.0, 0.64, 0.8])
+def test_recall_with_a_common_mean(spark, common):
+    """Pairs just above the least cosine, among vectors whose mean cosine is ``common``."""
+    rng = np.random.default_rng(7)
+    unit = embedding_dedup._unit
+    own = unit(rng.standard_normal((500, 64)))
+    base = unit(np.sqrt(common) * unit(np.ones((1, 64))) + np.sqrt(1 - common) * own)
+    there = rng.standard_normal(base.shape)
+    there = unit(there - (there * base).sum(axis=1, keepdims=True) * base)
+    near = 0.935 * base + np.sqrt(1 - 0.935**2) * there
+    vectors = np.concatenate([base, near]).astype(np.float32)
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(vectors)]
+    units = unit(vectors.astype(float))
+    links = (units @ units.T >= 0.93).sum(axis=1) - 1
+    got = embedding_dedup.near_duplicates(_table(spark, rows), "vec_id", "embedding", "label")
+    found = {r.vec_id: r.n_links for r in got.collect()}
+    assert links.sum() >= 1000 and all(found[i] <= links[i] for i in found)
+    assert sum(found.values()) >= 0.97 * links.sum()
+
+
 def test_search_small(spark):
     rows = _rows(3)
     rows += [(3000 + i, [1.0] * 16, 0) for i in range(12)]  # ties: the smaller ids win
