@@ -6,9 +6,10 @@ next shorter one. A URL is judged by the difference of its log likelihoods per b
 a threshold calibrated on labelled URLs that the models were not counted on.
 
 The labels come from the rules: a URL that a rule allows is accepted, one that it blocks is
-rejected. Counts of all of them go into a hashed table of fixed size (``SLOTS``), summed by
-Spark (each count in two slots, of which the lower one is read); that table travels with the
-tasks, so its size does not depend on the data.
+rejected. The counts of all orders follow from those of the ``GRAM``, a byte with the bytes
+before it, which are kept exactly in a Spark table, however many there are. A gram's part of a
+score is the same wherever it stands, so each gram is worked out once. The most frequent ones
+travel with the tasks (``COPIED`` at most); the others are joined to the URLs that hold them.
 """
 
 from __future__ import annotations
@@ -18,15 +19,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .batches import free_name, sized, texts_of
+from .ann_forest import content_key
+from .batches import free_name, materialize, sized, texts_of
 
-#: bytes of context, slots of the count table, and weight of the shorter order
-ORDER, SLOTS, BACK_OFF = 5, 1 << 22, 4.0
-#: slots that every count is kept in; the least of them is read, so collisions seldom show
-TWINS = 2
+#: bytes of context, and weight of the shorter order
+ORDER, BACK_OFF = 5, 4.0
+#: bytes of a gram, which fit a long
+GRAM = ORDER + 1
+#: grams that travel with the tasks at most; all others are rarer than one in so many
+COPIED = 1 << 20
 #: one of this many labelled URLs is kept from the counts and calibrates the threshold
 FOLDS = 5
 #: width of the bins of the scores that calibrate, and their range (a score is a mean of logs)
@@ -74,127 +78,187 @@ def longest_rule(host: Column, path: Column, rules: Sequence[Rule]) -> tuple[Col
 # -- models ------------------------------------------------------------------------------
 
 
-def _slots(urls: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Slots of the (context, byte) pairs and of the contexts of every order, and whose they are.
+def _grams(urls: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The gram that ends at each byte, the last byte lowest, and whose it is.
 
-    Each URL is read from its first byte to an end mark; contexts reach back to before its
-    start. Both slot arrays are orders x twins x bytes.
+    Each URL is read from its first byte to an end mark; grams reach back to before its start.
     """
     encoded = [u.encode("utf-8", "surrogatepass") for u in urls]
     data = b"".join(bytes(ORDER) + e + b"\x01" for e in encoded)
-    symbols = np.frombuffer(data, dtype=np.uint8).astype(np.uint64)
+    symbols = np.frombuffer(data, dtype=np.uint8).astype(np.int64)
     lengths = np.array([len(e) + 1 for e in encoded], dtype=np.int64)
     url = np.repeat(np.arange(len(urls)), lengths)
     at = np.arange(len(url)) + ORDER * (url + 1)
-    factor = np.uint64(0x9E3779B97F4A7C15)
-
-    def slot(value: np.ndarray, kind: int) -> np.ndarray:
-        mixed = (value + np.uint64(kind)) * factor
-        mixed ^= mixed >> np.uint64(31)
-        mixed *= np.uint64(0xBF58476D1CE4E5B9)
-        return ((mixed >> np.uint64(20)) % np.uint64(SLOTS)).astype(np.int64)
-
-    pairs = np.empty((ORDER + 1, TWINS, len(at)), dtype=np.int64)
-    contexts = np.empty_like(pairs)
-    context = np.zeros(len(at), dtype=np.uint64)
-    here = symbols[at]
-    for k in range(ORDER + 1):
-        if k:
-            context = context * np.uint64(257) + symbols[at - k] + np.uint64(1)
-        for twin in range(TWINS):
-            kind = 1000 * (twin + 1) + k
-            contexts[k, twin] = slot(context, kind)
-            pairs[k, twin] = slot(context * np.uint64(263) + here, kind + 500)
-    return pairs, contexts, url
-
-
-def _counts(urls: Sequence[str]) -> np.ndarray:
-    pairs, contexts, _ = _slots(urls)
-    return np.bincount(pairs.ravel(), minlength=SLOTS) + np.bincount(
-        contexts.ravel(), minlength=SLOTS
-    )
+    grams = np.zeros(len(at), dtype=np.int64)
+    for k in range(GRAM):
+        grams |= symbols[at - k] << (8 * k)
+    return grams, url
 
 
-@dataclass
-class Judge:
-    """Counts of accepted and rejected URLs, and the least score that is allowed."""
+def _counts(df: DataFrame) -> DataFrame:
+    """Per gram of ``_url`` its number in accepted, in rejected and in all rows (by ``_ok``)."""
 
-    accepted: np.ndarray
-    rejected: np.ndarray
-    threshold: float = 0.0
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sized(batches, "_url", URL_BYTES):
+            grams, url = _grams(texts_of(batch.column("_url")))
+            labels = np.array([-1 if g is None else int(g) for g in batch.column("_ok").to_pylist()])
+            found, at = np.unique(grams, return_inverse=True)
+            sums = [np.bincount(at[labels[url] == x], minlength=len(found)) for x in (1, 0)]
+            sums.append(np.bincount(at, minlength=len(found)))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(found), *[pa.array(x) for x in sums]],
+                ["gram", "accepted", "rejected", "n"],
+            )
 
-    def scores(self, urls: Sequence[str]) -> np.ndarray:
+    return _summed(df.mapInArrow(count, "gram long, accepted long, rejected long, n long"))
+
+
+def _summed(counts: DataFrame) -> DataFrame:
+    return counts.groupBy("gram").agg(*[F.sum(c).alias(c) for c in ("accepted", "rejected", "n")])
+
+
+def _last(gram: str, n: int) -> Column:
+    return F.col(gram).bitwiseAND(F.lit((1 << 8 * n) - 1).cast("long"))
+
+
+def _ratios(counts: DataFrame) -> DataFrame:
+    """``gram``, ``n`` and ``ratio``, the difference of the two models' logs.
+
+    Grams that end alike are summed to the counts of each order. No key has more than 256
+    rows in the window, nor in the join with the next shorter order.
+    """
+    known: DataFrame | None = None
+    for k in range(GRAM):
+        sums = [F.sum(c).alias(c) for c in ("accepted", "rejected", "n")]
+        context = Window.partitionBy(F.shiftright("_g", 8))
+        here = counts.groupBy(_last("gram", k + 1).alias("_g")).agg(*sums)
+        here = here.select(
+            "*", F.sum("accepted").over(context).alias("_a"), F.sum("rejected").over(context).alias("_r")
+        )
+        if known is None:
+            here = here.withColumns({"_pa": F.lit(1 / 257), "_pr": F.lit(1 / 257)})
+        else:
+            shorter = known.select(F.col("_g").alias("_s"), "_pa", "_pr")
+            here = here.withColumn("_s", _last("_g", k)).join(shorter, "_s")
+        known = here.select("_g", "n", *[
+            ((F.col(n) + BACK_OFF * F.col(p)) / (F.col(all_n) + BACK_OFF)).alias(p)
+            for n, all_n, p in (("accepted", "_a", "_pa"), ("rejected", "_r", "_pr"))
+        ])
+    logs = [F.log(p) for p in ("_pa", "_pr")]  # never 0
+    return known.select(F.col("_g").alias("gram"), "n", (logs[0] - logs[1]).alias("ratio"))
+
+
+class Scorer:
+    """Scores of the URLs whose grams were counted, column ``_url`` of ``urls``."""
+
+    def __init__(self, counts: DataFrame, urls: DataFrame) -> None:
+        ratios = materialize(_ratios(counts), "url-ratios")
+        total = ratios.agg(F.count("*").alias("grams"), F.sum("n").alias("n")).first()
+        least = total["n"] / COPIED if total["grams"] > COPIED else 0
+        often = ratios.filter(F.col("n") >= least).select("gram", "ratio").toArrow()
+        order = np.argsort(often["gram"].to_numpy())
+        self.grams = often["gram"].to_numpy()[order]
+        self.ratios = often["ratio"].to_numpy()[order]
+        self.rest: DataFrame | None = None
+        if least:
+            rare = self._rare(urls).join(ratios.filter(F.col("n") < least), "gram")
+            sums = rare.groupBy("_h1", "_h2").agg(F.sum(F.col("_n") * F.col("ratio")).alias("_rest"))
+            self.rest = materialize(sums, "url-rest")
+
+    def __getstate__(self) -> dict:
+        return {"grams": self.grams, "ratios": self.ratios, "rest": None}
+
+    def _find(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each gram stands among the copied ones, and whether it does."""
+        if not len(self.grams):
+            return np.zeros(len(grams), dtype=np.int64), np.zeros(len(grams), dtype=bool)
+        at = np.minimum(np.searchsorted(self.grams, grams), len(self.grams) - 1)
+        return at, self.grams[at] == grams
+
+    def _rare(self, urls: DataFrame) -> DataFrame:
+        """The grams that are not copied, with their number, of each different URL."""
+        different = urls.select("_url", *content_key("_url")).dropDuplicates(["_h1", "_h2"])
+
+        def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in sized(batches, "_url", URL_BYTES):
+                grams, url = _grams(texts_of(batch.column("_url")))
+                rare = ~self._find(grams)[1]
+                pairs, n = np.unique(np.stack([url[rare], grams[rare]]), axis=1, return_counts=True)
+                keys = [batch.column(c).take(pa.array(pairs[0])) for c in ("_h1", "_h2")]
+                yield pa.RecordBatch.from_arrays(
+                    [*keys, pa.array(pairs[1]), pa.array(n)], ["_h1", "_h2", "gram", "_n"]
+                )
+
+        return different.mapInArrow(cut, "_h1 long, _h2 long, gram long, _n long")
+
+    def with_rest(self, df: DataFrame, url: str, name: str) -> DataFrame:
+        """Add what the grams that are not copied give to the sum of each row's URL."""
+        if self.rest is None:
+            return df.withColumn(name, F.lit(0.0))
+        one, two = free_name(df, "_one"), free_name(df, "_two")
+        found = self.rest.toDF(one, two, name)
+        keyed = df.select("*", *[k.alias(n) for k, n in zip(content_key(url), (one, two), strict=True)])
+        joined = keyed.join(found, [one, two], "left").drop(one, two)
+        return joined.withColumn(name, F.coalesce(name, F.lit(0.0)))
+
+    def scores(self, urls: Sequence[str], rest: np.ndarray) -> np.ndarray:
         """Difference of the log likelihoods per byte; above 0 looks accepted."""
         if not len(urls):
             return np.zeros(0)
-        pairs, contexts, url = _slots(urls)
-        logs = []
-        for counts in (self.accepted, self.rejected):
-            likely = np.full(pairs.shape[2], 1 / 257)
-            for pair, context in zip(pairs, contexts, strict=True):
-                seen, all_seen = counts[pair].min(axis=0), counts[context].min(axis=0)
-                likely = (np.minimum(seen, all_seen) + BACK_OFF * likely) / (all_seen + BACK_OFF)
-            logs.append(np.log(np.clip(likely, 1e-12, 1.0)))
-        sums = np.bincount(url, weights=logs[0] - logs[1], minlength=len(urls))
+        grams, url = _grams(urls)
+        at, known = self._find(grams)
+        values = np.zeros(len(grams))
+        values[known] = self.ratios[at[known]]
+        sums = np.bincount(url, weights=values, minlength=len(urls)) + rest
         return sums / np.bincount(url, minlength=len(urls))
 
 
-def _labelled(df: DataFrame, text: Column, verdict: Column) -> DataFrame:
-    return df.select(text.alias("_url"), (verdict == ALLOW).alias("_ok")).filter("_ok is not null")
+@dataclass
+class Judge:
+    """Counts of the grams, scores of the URLs they are of, and the least score allowed."""
+
+    counts: DataFrame
+    scorer: Scorer
+    threshold: float = 0.0
+
+    def scores(self, urls: Sequence[str]) -> np.ndarray:
+        """Scores of a few URLs, also of ones that the table does not hold."""
+        spark = self.counts.sparkSession
+        rows = spark.createDataFrame([(u, None) for u in urls], "_url string, _ok boolean")
+        scorer = Scorer(_summed(self.counts.union(_counts(rows))), rows)
+        found = {r["_url"]: r["_rest"] for r in scorer.with_rest(rows, "_url", "_rest").collect()}
+        return scorer.scores(urls, np.array([found[u] for u in urls]))
 
 
 def fit(df: DataFrame, text: Column, verdict: Column) -> Judge:
     """Count both models on labelled rows and calibrate the threshold on the rest of them.
 
     ``verdict`` is allow or block, null for rows without label. The driver receives at most
-    ``SLOTS`` sums and the counts of the score bins. Without accepted or rejected rows the
+    ``COPIED`` grams and the counts of the score bins. Without accepted or rejected rows the
     threshold is 0, and so is every score's evidence of that class.
     """
-    rows = _labelled(df, text, verdict)
-    fold = F.pmod(F.xxhash64("_url"), F.lit(FOLDS))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = {True: np.zeros(SLOTS, dtype=np.int64), False: np.zeros(SLOTS, dtype=np.int64)}
-        for batch in sized(batches, "_url", URL_BYTES):
-            urls, good = texts_of(batch.column("_url")), batch.column("_ok").to_pylist()
-            for label in (True, False):
-                own = [u for u, g in zip(urls, good, strict=True) if g is label]
-                if own:
-                    sums[label] += _counts(own)
-        at = np.flatnonzero(sums[True] + sums[False])
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(at), pa.array(sums[True][at]), pa.array(sums[False][at])],
-            ["slot", "accepted", "rejected"],
-        )
-
-    sums = (
-        rows.filter(fold != 0)
-        .mapInArrow(count, "slot long, accepted long, rejected long")
-        .groupBy("slot")
-        .agg(F.sum("accepted").alias("accepted"), F.sum("rejected").alias("rejected"))
-        .toArrow()
-    )
-    judge = Judge(np.zeros(SLOTS, dtype=np.float32), np.zeros(SLOTS, dtype=np.float32))
-    judge.accepted[sums["slot"].to_numpy()] = sums["accepted"].to_numpy()
-    judge.rejected[sums["slot"].to_numpy()] = sums["rejected"].to_numpy()
+    rows = df.select(text.alias("_url"), (verdict == ALLOW).alias("_ok"))
+    held = F.pmod(F.xxhash64("_url"), F.lit(FOLDS)) == 0
+    counts = materialize(_counts(rows.select("_url", F.when(~held, F.col("_ok")).alias("_ok"))), "url-grams")
+    scorer = Scorer(counts, rows)
 
     def bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sized(batches, "_url", URL_BYTES):
-            scores = judge.scores(texts_of(batch.column("_url")))
+            scores = scorer.scores(texts_of(batch.column("_url")), batch.column("_rest").to_numpy())
             at = np.clip(np.floor(scores / BIN), -REACH, REACH).astype(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(at), batch.column("_ok")], ["bin", "ok"]
             )
 
     counted = (
-        rows.filter(fold == 0)
+        scorer.with_rest(rows.filter(held & F.col("_ok").isNotNull()), "_url", "_rest")
         .mapInArrow(bins, "bin long, ok boolean")
         .groupBy("bin", "ok")
         .count()
         .collect()
     )
-    judge.threshold = _threshold([(r["bin"], r["ok"], r["count"]) for r in counted])
-    return judge
+    threshold = _threshold([(r["bin"], r["ok"], r["count"]) for r in counted])
+    return Judge(counts, scorer, threshold)
 
 
 def _threshold(counted: list[tuple[int, bool, int]]) -> float:
@@ -221,17 +285,20 @@ def judge_urls(df: DataFrame, url: str, rules: Sequence[Rule], score: bool = Tru
     A rule's verdict holds where one fits; all other rows get the models' verdict. Null URLs
     and those without ``://`` have an empty host and path and are judged by their empty
     text. Repeated rows get the same verdict. Columns with these names are replaced, others
-    stay. The table is read three times, its URL column only for the models; no row moves.
+    stay. The table is read three times, its URL column only for the models. Rows move only if
+    there are more than ``COPIED`` grams, to meet what their rare grams give to the score.
     """
     rest = df.drop("host", "path", "rule", "verdict", "url_score")
     kept = [f for f in rest.schema.fields]
-    host, path, fit_rule, fixed = (
-        free_name(rest, n) for n in ("_host", "_path", "_rule", "_verdict")
+    host, path, fit_rule, fixed, whole, rare = (
+        free_name(rest, n) for n in ("_host", "_path", "_rule", "_verdict", "_whole", "_rare")
     )
     text, verdict = longest_rule(F.col(host), F.col(path), rules)
     parted = rest.withColumns({host: host_of(F.col(url)), path: path_of(F.col(url))})
     model = fit(parted.select(host, path), F.concat(host, path), verdict)
-    ruled = parted.withColumns({fit_rule: text, fixed: verdict})
+    ruled = parted.withColumns({fit_rule: text, fixed: verdict, whole: F.concat(host, path)})
+    ruled = model.scorer.with_rest(ruled, whole, rare)
+    scorer, threshold = model.scorer, model.threshold
     names = [*[f.name for f in kept], "host", "path", "rule", "verdict", "url_score"]
     schema = ", ".join(
         [f"`{f.name}` {f.dataType.simpleString()}" for f in kept]
@@ -239,11 +306,10 @@ def judge_urls(df: DataFrame, url: str, rules: Sequence[Rule], score: bool = Tru
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sized(batches, path, URL_BYTES):
-            hosts, paths = texts_of(batch.column(host)), texts_of(batch.column(path))
-            scores = model.scores([h + p for h, p in zip(hosts, paths, strict=True)])
+        for batch in sized(batches, whole, URL_BYTES):
+            scores = scorer.scores(texts_of(batch.column(whole)), batch.column(rare).to_numpy())
             verdicts = [
-                v or (ALLOW if s >= model.threshold else BLOCK)
+                v or (ALLOW if s >= threshold else BLOCK)
                 for v, s in zip(batch.column(fixed).to_pylist(), scores, strict=True)
             ]
             yield pa.RecordBatch.from_arrays(

@@ -153,6 +153,26 @@ def test_scores_equal_plain_models(spark):
     assert judge.scores(asked)[0] > judge.threshold > judge.scores(asked)[1]
 
 
+def test_scores_of_many_grams(spark, monkeypatch):
+    """More grams than travel with the tasks, and than a small hashed table could hold."""
+    monkeypatch.setattr(url_filter, "COPIED", 1000, raising=False)
+    rng = np.random.default_rng(5)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz0123456789"))
+    texts = ["".join(rng.choice(letters, 100)) for _ in range(4000)]
+    rows = [(u, "allow" if i % 2 else "block") for i, u in enumerate(texts)]
+    df = spark.createDataFrame(rows + [(texts[0], None), (None, None)], "u string, v string")
+    judge = url_filter.fit(df, F.col("u"), F.col("v"))
+    train = df.filter("v is not null").filter(
+        F.pmod(F.xxhash64("u"), F.lit(url_filter.FOLDS)) != 0).collect()
+    asked = [*texts[:20], "".join(rng.choice(letters, 100)), "", texts[0]]
+    plain = _plain_scores([r.u for r in train if r.v == "allow"],
+                          [r.u for r in train if r.v == "block"], asked)
+    assert judge.scores(asked) == pytest.approx(plain, abs=1e-6)
+    pages = df.select(F.concat(F.lit("http://"), "u").alias("url"), F.lit(1).alias("_one"))
+    got = url_filter.judge_urls(pages, "url", [url_filter.Rule("none/", "allow")])
+    assert got.count() == pages.count()
+
+
 def test_threshold():
     assert url_filter._threshold([(-100, False, 5), (100, True, 5)]) == pytest.approx(0.0025, abs=0.01)
     assert url_filter._threshold([(3, True, 5)]) == 0.0
