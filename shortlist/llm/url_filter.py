@@ -283,8 +283,8 @@ def judge_urls(df: DataFrame, url: str, rules: Sequence[Rule], score: bool = Tru
     """Add ``host``, ``path``, ``rule``, ``verdict`` and (if asked) ``url_score`` to each row.
 
     A rule's verdict holds where one fits; all other rows get the models' verdict. Null URLs
-    and those without ``://`` have an empty host and path and are judged by their empty
-    text. Repeated rows get the same verdict. Columns with these names are replaced, others
+    and those without ``://`` have an empty host and path. The models read the whole URL, a
+    null as an empty text. Repeated rows get the same verdict. Columns with these names are replaced, others
     stay. The table is read three times, its URL column only for the models. Rows move only if
     there are more than ``COPIED`` grams, to meet what their rare grams give to the score.
     """
@@ -295,8 +295,9 @@ def judge_urls(df: DataFrame, url: str, rules: Sequence[Rule], score: bool = Tru
     )
     text, verdict = longest_rule(F.col(host), F.col(path), rules)
     parted = rest.withColumns({host: host_of(F.col(url)), path: path_of(F.col(url))})
-    model = fit(parted.select(host, path), F.concat(host, path), verdict)
-    ruled = parted.withColumns({fit_rule: text, fixed: verdict, whole: F.concat(host, path)})
+    full = F.coalesce(F.col(url).cast("string"), F.lit(""))
+    model = fit(parted.select(url, host, path), full, verdict)
+    ruled = parted.withColumns({fit_rule: text, fixed: verdict, whole: full})
     ruled = model.scorer.with_rest(ruled, whole, rare)
     scorer, threshold = model.scorer, model.threshold
     names = [*[f.name for f in kept], "host", "path", "rule", "verdict", "url_score"]

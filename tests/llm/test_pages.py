@@ -173,6 +173,18 @@ def test_scores_of_many_grams(spark, monkeypatch):
     assert got.count() == pages.count()
 
 
+def test_models_read_the_whole_url(spark):
+    good = [f"http://a.org/{i}?page={i}" for i in range(40)]
+    bad = [f"https://a.com/{i}#win-casino" for i in range(40)]
+    asked = ["http://b.net/7?page=1", "http://b.net/7#win-casino", "?page=22", "x#win-casino", None]
+    rules = [url_filter.Rule("org/", "allow"), url_filter.Rule("com/", "block")]
+    df = spark.createDataFrame([(u,) for u in good + bad + asked], "url string")
+    got = {r.url: r for r in url_filter.judge_urls(df, "url", rules).collect()}
+    assert all(got[u].rule is None for u in asked)
+    assert [got[u].verdict for u in asked[:4]] == ["allow", "block", "allow", "block"]
+    assert len({got[u].url_score for u in asked}) == 5
+
+
 def test_threshold():
     assert url_filter._threshold([(-100, False, 5), (100, True, 5)]) == pytest.approx(0.0025, abs=0.01)
     assert url_filter._threshold([(3, True, 5)]) == 0.0
