@@ -42,6 +42,8 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 DATE = "2024-01-01T00:00:00Z"
 NEEDED = ("WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Length")
 
+#: tasks that read archives, at most
+MOST_READERS = 10_000
 RECORD_SCHEMA = (
     "file string, offset long, record_type string, record_id string, target_uri string, "
     "refers_to string, payload_digest string, payload_bytes long, payload binary, error string"
@@ -350,6 +352,8 @@ def read_archives(spark: SparkSession, folder: str, files: DataFrame | None = No
         found = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder)
         files = found.select(F.element_at(F.split("path", "/"), -1).alias("file"))
     names = files.select("file").distinct()
+    # a stated number of partitions is not coalesced to one for names of a few bytes
+    names = names.repartition(max(1, min(names.count(), MOST_READERS)), "file")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, path = fs.FileSystem.from_uri(_uri(folder))

@@ -224,6 +224,17 @@ def test_archives_round_trip(spark, tmp_path):
     assert empty.count() == 0
 
 
+def test_archives_are_read_by_several_tasks(spark, tmp_path):
+    rows = [(i, f"u{i}", f"page {i}") for i in range(64)]
+    df = spark.createDataFrame(rows, "k long, u string, p string").repartition(16)
+    folder = f"file://{tmp_path}/many"
+    files = warc.write_archives(df, folder, "k", "u", "p")
+    records = warc.read_archives(spark, folder, files)
+    read = records.select("file", F.spark_partition_id().alias("task")).distinct().collect()
+    assert len({r.file for r in read}) == files.count() > 1
+    assert len({r.task for r in read}) > 1
+
+
 def test_least_bytes_of_a_revisit(spark, tmp_path):
     df = spark.createDataFrame([(1, "u", "ab"), (2, "u", "ab")], "k long, u string, p string")
     files = warc.write_archives(df, f"file://{tmp_path}/a", "k", "u", "p", least=3)
