@@ -18,6 +18,7 @@ from . import (
     secret_scan,
     url_filter,
     warc,
+    whitening,
 )
 from .batches import bound_batches
 
@@ -174,3 +175,10 @@ def op6_join_documents(spark: SparkSession, folder: str) -> DataFrame:
     """Groups of documents whose sets of three-word shingles overlap by 90 %."""
     docs = table(spark, folder, "documents")
     return ngram_join.join_groups(docs, "doc_id", "text")
+
+
+@register
+def op11_whiten_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    """All vectors on their eight strongest components, scaled to deviation one."""
+    found = whitening.whiten(table(spark, folder, "embeddings"), "vec_id", "embedding")
+    return found.withColumn("deviation", whitening.fits_long(F.col("deviation")))
