@@ -12,7 +12,9 @@ from . import (
     bpe,
     embedding_dedup,
     extraction,
+    filter_audit,
     langid,
+    line_dedup,
     ngram_join,
     packing,
     secret_scan,
@@ -20,7 +22,7 @@ from . import (
     warc,
     whitening,
 )
-from .batches import bound_batches
+from .batches import bound_batches, materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -182,3 +184,105 @@ def op11_whiten_vectors(spark: SparkSession, folder: str) -> DataFrame:
     """All vectors on their eight strongest components, scaled to deviation one."""
     found = whitening.whiten(table(spark, folder, "embeddings"), "vec_id", "embedding")
     return found.withColumn("deviation", whitening.fits_long(F.col("deviation")))
+
+
+@register
+def op12_drop_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents without the lines that a document of smaller id holds too."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    bitmaps = materialize(line_dedup.keep_bitmaps(docs, "doc_id", "text"), "keep-bitmaps")
+    kept = line_dedup.drop_lines(docs, "doc_id", "text", bitmaps)
+    digest = F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256")
+    return kept.select("doc_id", "n_lines", "n_dropped", digest)
+
+
+ORACLES["op12_drop_lines"] = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls
+  FROM documents
+),
+l AS (SELECT rid, doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS pos FROM d),
+k AS (
+  SELECT *, translate(
+    trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM l
+),
+owned AS (
+  SELECT key, min(doc_id) AS owner FROM k WHERE length(key) >= {line_dedup.LEAST_LENGTH}
+  GROUP BY key HAVING count(DISTINCT doc_id) > 1
+),
+m AS (SELECT k.*, coalesce(doc_id > owner, false) AS gone FROM k LEFT JOIN owned USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), ''))
+         AS kept_sha256
+FROM m GROUP BY rid, doc_id
+"""
+
+
+@register
+def op13_audit_filters(spark: SparkSession, folder: str) -> DataFrame:
+    """What five filters remove from all documents in each of their 120 orders."""
+    return filter_audit.audit(
+        table(spark, folder, "documents"), table(spark, folder, "labels"), "doc_id", "text", "lang"
+    )
+
+
+ORACLES["op13_audit_filters"] = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, coalesce(lang, '') AS part FROM documents
+),
+w AS (
+  SELECT *, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words,
+         min(doc_id) OVER (PARTITION BY t) AS first_id
+  FROM d
+),
+f AS (
+  SELECT doc_id, part, [
+    len(words) < 200,
+    100 * len(list_distinct(words)) < 50 * len(words),
+    100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t),
+    regexp_matches(t, '[#$%&*|]'),
+    coalesce(first_id < doc_id, false)] AS fails
+  FROM w
+),
+marks AS (
+  SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good,
+         max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic
+  FROM labels GROUP BY doc_id
+),
+combos AS (
+  SELECT part, fails, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic
+  FROM f LEFT JOIN marks USING (doc_id) GROUP BY ALL
+),
+letters AS (SELECT unnest([1, 2, 3, 4, 5]) AS i),
+orders AS (
+  SELECT [a.i, b.i, c.i, e.i, g.i] AS o
+  FROM letters a, letters b, letters c, letters e, letters g
+  WHERE len(list_distinct([a.i, b.i, c.i, e.i, g.i])) = 5
+),
+steps AS (
+  SELECT array_to_string(list_transform(o, lambda x: 'ABCDE'[x]), '') AS filter_order, s.i AS step,
+         o[s.i] AS filter, o[1:s.i - 1] AS before
+  FROM orders, letters s
+),
+outcome AS (
+  SELECT part, filter_order, step, filter, n, good, toxic, fails[filter] AS hit,
+         len(list_filter(before, lambda x: fails[x])) > 0 AS gone,
+         len(list_filter(fails, lambda x: x)) = 1 AS alone
+  FROM combos, steps
+),
+counted AS (
+  SELECT part, filter_order, step, filter,
+         coalesce(sum(n) FILTER (NOT gone AND NOT hit), 0)::BIGINT AS kept,
+         coalesce(sum(n) FILTER (NOT gone AND hit), 0)::BIGINT AS removed,
+         coalesce(sum(n) FILTER (gone AND hit), 0)::BIGINT AS redundant,
+         coalesce(sum(n) FILTER (hit AND alone), 0)::BIGINT AS unique_fails,
+         coalesce(sum(good) FILTER (NOT gone AND hit), 0)::BIGINT AS good_lost,
+         coalesce(sum(toxic) FILTER (NOT gone AND hit), 0)::BIGINT AS toxic_lost
+  FROM outcome GROUP BY ALL
+)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       (sum(removed) OVER (PARTITION BY part, filter))::BIGINT AS shapley
+FROM counted
+"""
