@@ -1,48 +1,49 @@
 """Similarity self-join of texts by the Jaccard index of their word n-grams.
 
-The global order of n-grams is the order of their hashes. It is cut into fragments (vertical
-partitioning), and the work on a pair is shared out over them:
-
-* Candidates. Two sets whose index is at least the threshold differ in at most ``D`` n-grams,
-  ``D`` following from their size. Cut into ``D + c`` fragments, they agree in ``c`` whole ones
-  at least, so each set emits a hash of every fragment and candidates meet in equal hashes.
-  Of its fragments a set may leave out the ``c - 1`` that most sets have: these are the ones
-  that a common passage fills. No pair is lost: empty fragments count against ``c``, and a set
-  with so many that only empty ones might agree emits those too.
-* Bound. The sizes of the fragments of a coarse cut bound a pair's overlap from above; pairs
-  that cannot reach the threshold go.
-* Overlap. What is left is counted exactly: overlaps of the coarse fragments are counted
-  apart and summed per pair.
-
-Equal sets are one entry from the start. In a bucket of equal hashes every entry is first
-compared with one pivot, so a group of near copies costs a few comparisons each and not
-all pairs; only entries that this leaves in different components are compared further.
+The global order of n-grams puts those that many sets hold last (a bounded list, the rarest of
+them first) and is that of their hashes otherwise. Vertical partitioning cuts it, and the work
+on a pair is shared out over the pieces:
+
+* Candidates. Sets of size n whose index is at least t share at least ``t n`` n-grams, so two
+  linked sets meet in one of their first ``n - ceil(t n) + 1``, whatever the order. These
+  prefixes are all that is shuffled; as common n-grams come last, a passage that many documents
+  share is in the prefix of only those that hardly hold anything else.
+* Bound. Each set has about a bit per n-gram that tells if an odd number of n-grams falls on
+  it. Two sets differ in at least as many n-grams as these bits; pairs that differ too much go.
+* Overlap. What is left is counted exactly: the hash range is cut into fragments, whose
+  overlaps are counted apart and summed per pair.
+
+Which n-grams are common is counted on a share of the documents that does not shrink with the
+data; a miscount makes more candidates but loses no pair. Equal sets are one entry from the
+start. In a bucket of equal prefix n-grams every entry is first compared with one pivot, so a
+group of near copies costs a few comparisons each and not all pairs; only entries that this
+leaves in different components are compared further.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Callable, Iterator
+from functools import lru_cache, reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .batches import lists, materialize, sized
 from .components import connected_components
 
 WORDS, PERCENT = 3, 90
-#: fragments whose sizes bound the overlap, and fragments in which it is counted
-BOUND_FRAGMENTS, COUNT_FRAGMENTS = 64, 8
-#: fragments that a pair agrees in, as a share of those it may differ in
-AGREE = 0.35
-#: classes that the low bits of a hash tell apart; a set is in a few that follow each other
-CLASS_TAGS = 64
-#: each class of set sizes reaches this much further than its beginning
-SIZE_STEP = 1.25
+#: fragments in which the overlap of a pair is counted
+COUNT_FRAGMENTS = 8
+#: words of 64 bits in the parities that pairs are formed with, and in the longest ones
+PARITY_WORDS, MOST_WORDS = 4, 1024
+#: one set in this many, by hash of its key, is counted to find common n-grams, which are those
+#: found in at least so many of them; the list goes to every task, so the longest is bounded
+COUNTED, COMMON, MOST_COMMON = 16, 4, 500_000
 #: ids or hashes copied to the executors instead of shuffling what they choose from, at most
 #: (16 bytes each)
 COPIED_IDS = 2_000_000
@@ -57,6 +58,9 @@ _FACTOR = 0x5851F42D4C957F2D
 _INVERSE = pow(_FACTOR, -1, 1 << 64)
 
 
+PARITY = tuple(f"_p{i}" for i in range(PARITY_WORDS))
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -106,7 +110,7 @@ def shingle_hashes(column: pa.Array, words: int) -> Iterator[np.ndarray]:
     word = _mix((sums[end] - sums[begin]) * inverses[begin] + (end - begin).astype(np.uint64))
     # n-grams that start at each word; those that reach into the next text are not used
     gram = np.zeros(len(word), dtype=np.uint64)
-    for k in range(words):
+    for k in range(min(words, len(word))):
         gram[: len(word) - k] = gram[: len(word) - k] * _GOLDEN + word[k:]
     gram = _mix(gram)
     first = np.searchsorted(begin, offsets)
@@ -122,74 +126,69 @@ def shingle_hashes(column: pa.Array, words: int) -> Iterator[np.ndarray]:
             yield gram[:0]
 
 
-class Schemes:
-    """Classes of set sizes; each has its own number of fragments.
-
-    Class ``c`` serves the pairs whose smaller set has a size in it.
-    """
+def grams_of(df: DataFrame, words: int) -> DataFrame:
+    """One row per distinct n-gram of every row: ``_gram``."""
 
-    def __init__(self, percent: int) -> None:
-        self.percent = percent
-        self.begins = [1]
-        self.differ: list[int] = []  # most n-grams in which a pair of the class differs
-        self.fragments: list[int] = []
-
-    def _extend(self, size: int) -> None:
-        while self.begins[-1] <= size:
-            begin = self.begins[-1]
-            end = max(begin + 1, int(begin * SIZE_STEP))
-            differ = (end - 1) * (100 - self.percent) // self.percent
-            least = differ + 3 + int(AGREE * differ)
-            spare = int(np.ceil(2 * least * np.exp(-begin / least)))
-            self.begins.append(end)
-            self.differ.append(differ)
-            self.fragments.append(least + spare)
-
-    def of(self, size: int) -> range:
-        """The classes in which a set of this size can be one of a pair."""
-        self._extend(size)
-        smallest = -(-size * self.percent // 100)
-        first = int(np.searchsorted(self.begins, smallest, side="right")) - 1
-        last = int(np.searchsorted(self.begins, size, side="right")) - 1
-        return range(first, last + 1)
-
-    def hashes(self, grams: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]]]:
-        """A hash of each fragment of a set, in every class where it can be one of a pair.
-
-        The low bits of a hash name its class. Also returns, for each class, how many
-        fragments the set may leave out. Empty fragments are not emitted unless there are so
-        many that a pair might agree in nothing else. Classes without room for a difference
-        need none: equal sets are one.
-        """
-        size = len(grams)
-        if not size:
-            return grams, []
-        mixed = _mix(grams + _GOLDEN)
-        out, spare = [], []
-        for c in self.of(size):
-            if not self.differ[c]:
-                continue
-            k = self.fragments[c]
-            at = ((grams >> np.uint64(32)) * np.uint64(k)) >> np.uint64(32)
-            starts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-            sums = np.add.reduceat(mixed, starts)
-            place = at[starts]
-            agree = k - self.differ[c] - (k - len(starts))
-            if agree <= 0:
-                empty = np.setdiff1d(np.arange(k, dtype=np.uint64), place)
-                place = np.concatenate([place, empty])
-                sums = np.concatenate([sums, np.zeros(len(empty), dtype=np.uint64)])
-                agree = 1  # the other set may not emit them, so nothing can be left out
-            tag = place + np.uint64(c << 40)
-            hashed = _mix(sums + _mix(tag + _GOLDEN))
-            out.append(hashed - hashed % np.uint64(CLASS_TAGS) + np.uint64(c % CLASS_TAGS))
-            spare.append((c % CLASS_TAGS, agree - 1))
-        return (np.concatenate(out) if out else grams[:0]), spare
-
-
-def profiles(df: DataFrame, key: str, text: str, words: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sized(batches, "_text", TEXT_BYTES):
+            found = np.concatenate(list(shingle_hashes(batch.column("_text"), words)))
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64))], ["_gram"])
+
+    return df.select("_text").mapInArrow(run, "_gram long")
+
+
+class Order:
+    """The global order: n-grams of a list last, by how common they are; others by hash."""
+
+    def __init__(self, common: np.ndarray, counts: np.ndarray) -> None:
+        place = np.argsort(common, kind="stable")
+        self.common = common[place]
+        self.rank = np.empty(len(common), dtype=np.int64)
+        self.rank[np.argsort(counts[place], kind="stable")] = np.arange(1, len(common) + 1)
+
+    def ranks(self, grams: np.ndarray) -> np.ndarray:
+        """0 for n-grams that are not common, from 1 for those that are."""
+        if not len(self.common):
+            return np.zeros(len(grams), dtype=np.int64)
+        at = np.minimum(np.searchsorted(self.common, grams), len(self.common) - 1)
+        return np.where(self.common[at] == grams, self.rank[at], 0)
+
+    def prefix(self, grams: np.ndarray, percent: int) -> np.ndarray:
+        """The first n-grams of a sorted set, as many as a linked set must meet one of."""
+        need = len(grams) + 1 - -(-len(grams) * percent // 100) if len(grams) else 0
+        ranks = self.ranks(grams)
+        rare = grams[ranks == 0]
+        if len(rare) >= need:
+            return rare[:need]
+        rest = np.flatnonzero(ranks)
+        rest = rest[np.argsort(ranks[rest], kind="stable")]
+        return np.concatenate([rare, grams[rest[: need - len(rare)]]])
+
+
+def common_order(df: DataFrame, words: int) -> Order:
+    """The order of the n-grams of ``df``, whose rows are different sets (``_key``, ``_text``)."""
+    chosen = df.filter(F.pmod(F.xxhash64(F.lit("common"), "_key"), F.lit(COUNTED)) == 0)
+    counts = materialize(
+        grams_of(chosen, words)
+        .groupBy("_gram")
+        .agg(F.count("*").alias("_n"))
+        .filter(F.col("_n") >= COMMON),
+        "join-common",
+    )
+    # the least count of which so many n-grams remain that the list keeps its bound
+    least, total = COMMON, 0
+    for row in counts.groupBy("_n").agg(F.count("*").alias("c")).orderBy(F.desc("_n")).collect():
+        total += row["c"]
+        if total > MOST_COMMON:
+            least = row["_n"] + 1
+            break
+    found = counts.filter(F.col("_n") >= least).orderBy("_gram").toArrow()
+    grams = np.asarray(found.column("_gram").combine_chunks()).astype(np.int64).view(np.uint64)
+    return Order(grams, np.asarray(found.column("_n").combine_chunks()).astype(np.int64))
+
+
+def profiles(df: DataFrame, words: int) -> DataFrame:
     """Per row: ``_key``, set size ``_n``, and content hashes ``_h1`` and ``_h2``."""
-    rows = df.select(F.col(key).cast("long").alias("_key"), F.col(text).alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sized(batches, "_text", TEXT_BYTES):
@@ -207,7 +206,7 @@ def profiles(df: DataFrame, key: str, text: str, words: int) -> DataFrame:
                 ["_key", "_n", "_h1", "_h2"],
             )
 
-    return rows.mapInArrow(run, "_key long, _n long, _h1 long, _h2 long")
+    return df.select("_key", "_text").mapInArrow(run, "_key long, _n long, _h1 long, _h2 long")
 
 
 def _digest(grams: np.ndarray) -> int:
@@ -219,53 +218,63 @@ def _halves(digests: list[int], shift: int) -> pa.Array:
     return pa.array(np.array([(d >> shift) & mask for d in digests], dtype=np.uint64).view(np.int64))
 
 
-def fragment_sizes(df: DataFrame, key: str, text: str, words: int, percent: int) -> DataFrame:
-    """Per row: ``_rep``, ``_h1``, size, coarse fragment sizes, and what may be left out."""
-    rows = df.select(F.col(key).cast("long").alias("_rep"), F.col(text).alias("_text"))
+def _parity(grams: np.ndarray) -> np.ndarray:
+    """Words of bits that tell if an odd number of n-grams falls on them, a bit per n-gram or so.
+
+    Two sets differ in at least as many n-grams as their bits do. There are a power of two of
+    words, so a longer list can be folded to half its length.
+    """
+    words = min(max(PARITY_WORDS, 1 << int(len(grams) // 64).bit_length()), MOST_WORDS)
+    place = (grams & np.uint64(64 * words - 1)).astype(np.int64)
+    odd = (np.bincount(place, minlength=64 * words) & 1).astype(np.uint8)
+    return np.packbits(odd).view(np.int64)
+
+
+def _folded(parity: np.ndarray, words: int) -> np.ndarray:
+    return np.bitwise_xor.reduce(parity.reshape(-1, words), axis=0)
+
+
+def prefixes(df: DataFrame, words: int, percent: int, order: Order) -> DataFrame:
+    """Per row: ``_rep``, ``_h1``, size, parities (short, half and whole) and the prefix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schemes = Schemes(percent)
         for batch in sized(batches, "_text", TEXT_BYTES):
-            n, digests, sizes, spares = [], [], [], []
+            digests, firsts, whole = [], [], []
             for grams in shingle_hashes(batch.column("_text"), words):
-                n.append(len(grams))
-                digests.append(_digest(grams))
-                sizes.append(np.diff(_coarse(grams, BOUND_FRAGMENTS)))
-                spares.append(schemes.hashes(grams)[1])
+                digests.append((len(grams), _digest(grams)))
+                firsts.append(order.prefix(grams, percent))
+                whole.append(_parity(grams))
+            short = np.array([_folded(p, PARITY_WORDS) for p in whole])
+            half = [_folded(p, len(p) // 2) for p in whole]
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("_rep"),
-                    _halves(digests, 64),
-                    pa.array(np.array(n, dtype=np.int64)),
-                    lists(np.concatenate(sizes), np.full(len(n), BOUND_FRAGMENTS), pa.int32()),
-                    pa.array(spares, type=pa.map_(pa.int32(), pa.int32())),
+                    batch.column("_key"),
+                    _halves([d for _, d in digests], 64),
+                    pa.array(np.array([n for n, _ in digests], dtype=np.int64)),
+                    *[pa.array(short[:, i]) for i in range(PARITY_WORDS)],
+                    _long_lists(half),
+                    _long_lists(whole),
+                    _long_lists(firsts),
                 ],
-                ["_rep", "_h1", "_n", "_sizes", "_spare"],
+                ["_rep", "_h1", "_n", *PARITY, "_half", "_whole", "_prefix"],
             )
 
-    return rows.mapInArrow(
-        run, "_rep long, _h1 long, _n long, _sizes array<int>, _spare map<int,int>"
+    return df.select("_key", "_text").mapInArrow(
+        run,
+        f"_rep long, _h1 long, _n long, {', '.join(f'{p} long' for p in PARITY)}, "
+        "_half array<long>, _whole array<long>, _prefix array<long>",
     )
 
 
-def fragment_hashes(df: DataFrame, key: str, text: str, words: int, percent: int) -> DataFrame:
-    """The fragment hashes of every row: ``_rep``, ``_hash``."""
-    rows = df.select(F.col(key).cast("long").alias("_rep"), F.col(text).alias("_text"))
+def _long_lists(parts: list[np.ndarray]) -> pa.ListArray:
+    flat = np.concatenate(parts).view(np.int64)
+    return lists(flat, np.array([len(p) for p in parts]), pa.int64())
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schemes = Schemes(percent)
-        for batch in sized(batches, "_text", TEXT_BYTES):
-            found = [schemes.hashes(g)[0] for g in shingle_hashes(batch.column("_text"), words)]
-            keys = np.asarray(batch.column("_rep"))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.repeat(keys, [len(h) for h in found])),
-                    pa.array(np.concatenate(found).view(np.int64)),
-                ],
-                ["_rep", "_hash"],
-            )
 
-    return rows.mapInArrow(run, "_rep long, _hash long")
+def _unlike(a: Column, b: Column) -> Column:
+    """Bits in which two lists of words of one length differ."""
+    each = F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    return F.aggregate(each, F.lit(0), lambda s, x: s + x)
 
 
 def _coarse(grams: np.ndarray, fragments: int) -> np.ndarray:
@@ -274,9 +283,8 @@ def _coarse(grams: np.ndarray, fragments: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(grams, bounds), [len(grams)]])
 
 
-def _segments(df: DataFrame, key: str, text: str, words: int) -> DataFrame:
+def _segments(df: DataFrame, words: int) -> DataFrame:
     """The sets cut into coarse fragments: ``_key``, ``_h1``, ``_f``, ``_grams``."""
-    rows = df.select(F.col(key).cast("long").alias("_key"), F.col(text).alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sized(batches, "_text", TEXT_BYTES):
@@ -300,23 +308,54 @@ def _segments(df: DataFrame, key: str, text: str, words: int) -> DataFrame:
                 ["_key", "_h1", "_f", "_grams"],
             )
 
-    return rows.mapInArrow(run, "_key long, _h1 long, _f int, _grams array<long>")
+    return df.select("_key", "_text").mapInArrow(
+        run, "_key long, _h1 long, _f int, _grams array<long>"
+    )
 
 
 def _reaches(overlap: Column, a: Column, b: Column, percent: int) -> Column:
     return 100 * overlap >= percent * (a + b - overlap)
 
 
-def _linked(pairs: DataFrame, entries: DataFrame, df: DataFrame, key: str, text: str,
-            words: int, percent: int) -> DataFrame:
+def _near(a: Column, b: Column, percent: int) -> Column:
+    """Sets of these sizes can reach the threshold."""
+    return (100 * a >= percent * b) & (100 * b >= percent * a)
+
+
+def _may_differ(least: Column, a: Column, b: Column, percent: int) -> Column:
+    """Sets that differ in ``least`` n-grams or more can reach the threshold."""
+    return least * (100 + percent) <= (100 - percent) * (a + b)
+
+
+def _once(df: DataFrame, repeated: DataFrame, make: Callable[[DataFrame], DataFrame],
+          names: list[str]) -> DataFrame:
+    """``make(df)`` without duplicates in ``names``, which only rows of ``repeated`` keys have."""
+    if repeated.isEmpty():
+        return make(df)
+    keys, same = _copied(repeated), F.col("_key") == F.col("_again")
+    single, several = df.join(keys, same, "left_anti"), df.join(keys, same, "left_semi")
+    return make(single).unionByName(make(several).dropDuplicates(names))
+
+
+def _linked(pairs: DataFrame, entries: DataFrame, df: DataFrame, repeated: DataFrame, words: int,
+            percent: int) -> DataFrame:
     """Of pairs of keys (``a``, ``b``), those whose sets reach the threshold."""
-    facts = entries.select("_rep", "_h1", "_n", "_sizes")
-    left = facts.toDF("a", "_ha", "_na", "_sa")
-    right = facts.toDF("b", "_hb", "_nb", "_sb")
-    both = pairs.join(left, "a").join(right, "b")
-    common = _common_at_most(F.col("_sa"), F.col("_sb"))
+    facts = entries.select("_rep", "_h1", "_n", "_half", "_whole")
+    left = facts.toDF("a", "_ha", "_na", "_a2", "_a1")
+    right = facts.toDF("b", "_hb", "_nb", "_b2", "_b1")
+    both = pairs.join(left, "a").join(right, "b").filter(
+        _near(F.col("_na"), F.col("_nb"), percent)
+    )
+    # lists of one length; sets so different in size that there are none link only below 50 %
+    wider, same = F.size("_a1") - F.size("_b1"), F.size("_a1") == F.size("_b1")
+    unlike = (
+        F.when(same, _unlike(F.col("_a1"), F.col("_b1")))
+        .when((wider > 0) & (F.size("_a2") == F.size("_b1")), _unlike(F.col("_a2"), F.col("_b1")))
+        .when((wider < 0) & (F.size("_a1") == F.size("_b2")), _unlike(F.col("_a1"), F.col("_b2")))
+        .otherwise(F.lit(0))
+    )
     possible = materialize(
-        both.filter(_reaches(common, F.col("_na"), F.col("_nb"), percent)).select(
+        both.filter(_may_differ(unlike, F.col("_na"), F.col("_nb"), percent)).select(
             "a", "_ha", "_na", "b", "_hb", "_nb"
         ),
         "join-pairs",
@@ -325,9 +364,9 @@ def _linked(pairs: DataFrame, entries: DataFrame, df: DataFrame, key: str, text:
         possible.select(F.col("a").alias("_w")).union(possible.select("b")).distinct(),
         "join-wanted",
     )
-    picked = df.join(_copied(wanted), F.col(key) == F.col("_w"), "left_semi")
+    picked = df.join(_copied(wanted), F.col("_key") == F.col("_w"), "left_semi")
     segments = materialize(
-        _segments(picked, key, text, words).dropDuplicates(["_key", "_h1", "_f"]),
+        _once(picked, repeated, lambda rows: _segments(rows, words), ["_key", "_h1", "_f"]),
         "join-segments",
     )
     met = possible.join(segments.toDF("a", "_ha", "_f", "_ga"), ["a", "_ha"]).join(
@@ -358,7 +397,8 @@ def join_groups(df: DataFrame, key: str, text: str, words: int = WORDS,
     read. Rows with a null key link with nothing and have a null component; rows that
     repeat a key count as one vertex. Other columns are dropped.
     """
-    found = materialize(profiles(df, key, text, words), "join-profiles")
+    df = df.select(F.col(key).cast("long").alias("_key"), F.col(text).alias("_text"))
+    found = materialize(profiles(df, words), "join-profiles")
     able = (F.col("_n") > 0) & F.col("_key").isNotNull()
     classes = materialize(
         found.filter(able).groupBy("_h1", "_h2").agg(F.min("_key").alias("_rep")), "join-classes"
@@ -369,32 +409,35 @@ def join_groups(df: DataFrame, key: str, text: str, words: int = WORDS,
         placed.groupBy("_key").agg(
             F.max(F.coalesce(F.col("_key") == F.col("_rep"), F.lit(False))).alias("_first"),
             F.coalesce(F.min("_rep") != F.max("_rep"), F.lit(False)).alias("_several"),
+            F.count("*").alias("_rows"),
         ),
         "join-keys",
     )
+    repeated = keys.filter("_rows > 1").select(F.col("_key").alias("_again"))
     idle = keys.filter("not _first").select(F.col("_key").alias("_idle"))
     # a key with several texts ties their sets together
     ties = placed.join(keys.filter("_several").select("_key"), "_key").select(
         F.col("_key").alias("a"), F.col("_rep").alias("b")
     )
-    firsts = df.select(key, text).filter(F.col(key).isNotNull())
-    firsts = firsts.join(_copied(idle), F.col(key) == F.col("_idle"), "left_anti")
+    firsts = df.filter(F.col("_key").isNotNull())
+    firsts = firsts.join(_copied(idle), F.col("_key") == F.col("_idle"), "left_anti")
+    order = common_order(firsts, words)
     entries = materialize(
-        fragment_sizes(firsts, key, text, words, percent).filter("_n > 0").dropDuplicates(
-            ["_rep", "_h1"]
-        ),
+        _once(
+            firsts, repeated, lambda rows: prefixes(rows, words, percent, order), ["_rep", "_h1"]
+        ).filter("_n > 0"),
         "join-entries",
     )
-    members = _members(fragment_hashes(firsts, key, text, words, percent), entries)
+    members = _members(entries)
     first = members.filter("_rep != _pivot").select(
         F.col("_pivot").alias("a"), F.col("_rep").alias("b")
     )
-    links = _linked(first.distinct(), entries, df, key, text, words, percent).union(
+    links = _linked(first.distinct(), entries, df, repeated, words, percent).union(
         ties.filter("b is not null")
     )
     settled = connected_components(links, "a", "b")
     apart = _apart(members, settled, entries, percent)
-    links = links.union(_linked(apart, entries, df, key, text, words, percent))
+    links = links.union(_linked(apart, entries, df, repeated, words, percent))
     settled = materialize(connected_components(links, "a", "b"), "join-components")
     classes = classes.join(settled, F.col("_rep") == F.col("vertex"), "left").select(
         F.col("_h1").alias("_c1"), F.col("_h2").alias("_c2"),
@@ -416,96 +459,68 @@ def _copied(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= COPIED_IDS else rows
 
 
-def _members(hashes: DataFrame, entries: DataFrame) -> DataFrame:
-    """``(_hash, _rep, _pivot)``: the entries in buckets of equal hashes, with the smallest one.
+def _members(entries: DataFrame) -> DataFrame:
+    """``(_hash, _rep, _pivot)``: the entries whose prefixes meet in an n-gram, with the smallest.
 
-    An entry leaves out the hashes that most entries have, as many as it may. Most hashes are
-    in no bucket; they are made again rather than stored, and where the buckets are few enough
-    to be copied only the hashes that meet in one are shuffled a second time.
+    Most n-grams are in no other prefix; the smallest and largest entry of each are found
+    where the prefixes are read before anything is shuffled.
     """
-    counts = materialize(
+    hashes = entries.select("_rep", F.explode("_prefix").alias("_hash"))
+    pivots = materialize(
         hashes.groupBy("_hash")
-        .agg(F.count("*").alias("_many"), F.min("_rep").alias("_low"), F.max("_rep").alias("_top"))
-        .filter("_low != _top")
-        .select("_hash", "_many"),
-        "join-buckets",
-    )
-    shared = hashes.join(_copied(counts), "_hash")
-    # an id that has several texts leaves out no more than any of them may
-    spare = (
-        entries.select("_rep", F.explode("_spare").alias("_class", "_left_out"))
-        .groupBy("_rep", "_class")
-        .agg(F.min("_left_out").alias("_left_out"))
-    )
-    of_class = F.pmod("_hash", F.lit(CLASS_TAGS)).cast("int")
-    most = Window.partitionBy("_rep", "_class").orderBy(F.desc("_many"), "_hash")
-    kept = (
-        shared.withColumn("_class", of_class)
-        .join(spare, ["_rep", "_class"])
-        .withColumn("_place", F.dense_rank().over(most))
-        .filter(F.col("_place") > F.col("_left_out"))
-        .select("_hash", "_rep")
-        .distinct()
-    )
-    kept = materialize(kept, "join-kept")
-    pivots = (
-        kept.groupBy("_hash")
         .agg(F.min("_rep").alias("_pivot"), F.max("_rep").alias("_top"))
         .filter("_pivot != _top")
-        .select("_hash", "_pivot")
+        .select("_hash", "_pivot"),
+        "join-pivots",
     )
-    return materialize(kept.join(pivots, "_hash"), "join-members")
-
-
-def _common_at_most(a: Column, b: Column) -> Column:
-    """The overlap that two sets can have at most, from the sizes of their coarse fragments."""
-    least = F.zip_with(a, b, lambda x, y: F.least(x, y).cast("long"))
-    return F.aggregate(least, F.lit(0).cast("long"), lambda s, x: s + x)
+    # most of the prefixes' n-grams are dropped here; the list of those that stay grows with them
+    return materialize(hashes.join(pivots.hint("merge"), "_hash"), "join-members")
 
 
 def _apart(members: DataFrame, settled: DataFrame, entries: DataFrame,
            percent: int) -> DataFrame:
     """Pairs of a bucket that are in different components and were not compared yet.
 
-    Of such a pair one at least is outside the component of the bucket's pivot, so only the
-    outsiders look for partners, in bands of sizes that can reach the threshold, and a pair
-    that its fragment sizes rule out is not formed.
+    Every entry was compared with the pivot, so only buckets whose other entries are in
+    different components are open. Entries look for partners in bands of sizes that can reach
+    the threshold, and a pair whose parity bits differ too often is not formed.
     """
     group = settled.select(F.col("vertex").alias("_rep"), F.col("component").alias("_group"))
     pivot = settled.select(F.col("vertex").alias("_pivot"), F.col("component").alias("_pivots"))
     placed = (
-        members.join(group, "_rep", "left")
-        .join(pivot, "_pivot", "left")
+        members.filter("_rep != _pivot")
+        .join(group, "_rep", "left")
         .withColumn("_group", F.coalesce("_group", "_rep"))
-        .withColumn("_outside", F.col("_group") != F.coalesce("_pivots", "_pivot"))
     )
-    open_buckets = placed.filter("_outside").select("_hash").distinct()
-    # short numbers; a set with larger fragments is not bounded by them
-    short = F.when(F.array_max("_sizes") < 32768, F.col("_sizes").cast("array<smallint>"))
+    open_buckets = materialize(
+        placed.groupBy("_hash")
+        .agg(F.min("_group").alias("_low"), F.max("_group").alias("_top"))
+        .filter("_low != _top")
+        .select("_hash"),
+        "join-open-buckets",
+    )
     band = F.floor(F.log(F.col("_n")) / (math.log(100 / percent) * 1.0001)).cast("int")
-    sizes = entries.select("_rep", "_n", short.alias("_parts"), band.alias("_band"))
+    facts = entries.select("_rep", "_n", band.alias("_band"), *PARITY)
     placed = materialize(
-        placed.join(open_buckets, "_hash", "left_semi")
-        .join(sizes, "_rep")
-        .select("_hash", "_rep", "_pivot", "_group", "_outside", "_n", "_parts", "_band"),
+        placed.join(_copied(open_buckets), "_hash", "left_semi")
+        .join(pivot, "_pivot", "left")
+        .withColumn("_outside", F.col("_group") != F.coalesce("_pivots", "_pivot"))
+        .select("_hash", "_rep", "_group", "_outside")
+        .join(facts, "_rep"),
         "join-open",
     )
     nearby = F.explode(F.sequence(F.col("_band") - 1, F.col("_band") + 1))
+    # of a pair in different components one at least is not in that of the pivot
     outside = placed.filter("_outside").select(
         "_hash", nearby.alias("_band"), F.col("_rep").alias("_x"), F.col("_group").alias("_gx"),
-        F.col("_n").alias("_nx"), F.col("_parts").alias("_px"),
+        F.col("_n").alias("_nx"), *[F.col(p).alias(f"{p}x") for p in PARITY],
     )
-    others = placed.filter("_rep != _pivot")
-    near = (100 * F.col("_n") >= percent * F.col("_nx")) & (
-        100 * F.col("_nx") >= percent * F.col("_n")
-    )
-    possible = _reaches(
-        _common_at_most(F.col("_px"), F.col("_parts")), F.col("_nx"), F.col("_n"), percent
-    )
+    near = _near(F.col("_n"), F.col("_nx"), percent)
+    unlike = reduce(add, [F.bit_count(F.col(p).bitwiseXOR(F.col(f"{p}x"))) for p in PARITY])
+    possible = _may_differ(unlike, F.col("_n"), F.col("_nx"), percent)
     return (
-        outside.join(others, ["_hash", "_band"])
-        .filter((F.col("_gx") != F.col("_group")) & near)
-        .filter(F.coalesce(possible, F.lit(True)))
+        outside.join(placed, ["_hash", "_band"])
+        .filter((F.col("_gx") != F.col("_group")) & near & possible)
         .select(F.least("_x", "_rep").alias("a"), F.greatest("_x", "_rep").alias("b"))
         .distinct()
     )

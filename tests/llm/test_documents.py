@@ -254,24 +254,51 @@ def test_join_of_a_key_with_several_texts(spark):
     assert {(r.doc_id, r.component_id) for r in got} == {(3, 3), (4, 3), (9, 3), (10, 3), (11, 11)}
 
 
-def test_fragments_never_miss_a_pair():
+def test_prefixes_never_miss_a_pair():
     rng = np.random.default_rng(11)
     for percent in (90, 80):
-        schemes = ngram_join.Schemes(percent)
-        for _ in range(400):
-            size = int(rng.integers(9, 300))
+        for trial in range(400):
+            size = int(rng.integers(1, 300))
             base = np.unique(rng.integers(0, 2**63, size=size, dtype=np.uint64))
             gone = int(rng.integers(0, size // 6 + 1))
             more = rng.integers(0, 2**63, size=int(rng.integers(0, 4)), dtype=np.uint64)
             other = np.unique(np.concatenate([base[gone:], more]))
+            listed = base[rng.random(len(base)) < rng.choice([0.0, 0.3, 0.9, 1.0])]
+            order = ngram_join.Order(listed, rng.integers(1, 5, size=len(listed)))
             common = len(np.intersect1d(base, other))
-            if 100 * common >= percent * (len(base) + len(other) - common) and common < len(base):
-                (one, spare), (two, spare_2) = schemes.hashes(base), schemes.hashes(other)
-                common = np.intersect1d(one, two)
-                tags, least = common % ngram_join.CLASS_TAGS, dict(spare) | dict(spare_2)
-                # in one class at least they share more than either may leave out
-                assert any((tags == c).sum() > max(dict(spare)[c], dict(spare_2)[c])
-                           for c in least if c in dict(spare) and c in dict(spare_2))
+            if 100 * common >= percent * (len(base) + len(other) - common):
+                one, two = order.prefix(base, percent), order.prefix(other, percent)
+                assert len(one) == len(base) - -(-len(base) * percent // 100) + 1, trial
+                assert len(np.intersect1d(one, two))
+
+
+def test_common_passage_makes_no_pairs(spark):
+    rng = random.Random(3)
+    passage = words(rng, 40)
+    texts = [(i, " ".join(passage + [f"own{i}-{j}" for j in range(30)])) for i in range(900)]
+    texts += [(1000 + i, " ".join(f"alone{i}-{j}" for j in range(60))) for i in range(600)]
+    df = documents(spark, texts).selectExpr("doc_id as _key", "text as _text")
+    order = ngram_join.common_order(df, 5)
+    assert len(order.common) >= 36
+    entries = ngram_join.prefixes(df, 5, 80, order)
+    assert ngram_join._members(entries).count() == 0
+    # where nearly the whole text is the passage, the prefix has to reach into it
+    short = [(i, " ".join([*passage, f"own{i}"])) for i in range(300)]
+    got = ngram_join.join_groups(documents(spark, short), "doc_id", "text", 5, 80)
+    assert {r.component_id for r in got.collect()} == {0}
+
+
+def test_join_with_clashing_names(spark):
+    text = "one two three four five six seven eight nine ten eleven twelve"
+    names = ("_w _idle _rep _h1 _h2 _n _sizes _prefix _hash _pivot _top _f _grams _first _several "
+             "_c1 _c2 _component vertex component a b _ha _hb _overlap n_shingles component_id "
+             "_gram _row _odd _gone _mark row_idx").split()
+    rows = [(5, text), (7, text.upper()), (8, text + " more"), (9, "others in here")]
+    df = documents(spark, rows, ", ".join(f"{n} string" for n in ["_key", "_text", *names]))
+    got = ngram_join.join_groups(df, "doc_id", "text").collect()
+    assert {(r.doc_id, r.component_id) for r in got} == {(5, 5), (7, 5), (8, 5), (9, 9)}
+    left = stages.drop_near_duplicates(spark, df, SMALL)
+    assert left.columns == df.columns and {r.doc_id for r in left.collect()} == {5, 9}
 
 
 # -- pipeline ------------------------------------------------------------------------------
@@ -303,6 +330,22 @@ def test_stages_keep_the_columns(spark):
         assert stage(spark, docs.limit(0), SMALL).count() == 0
 
 
+def test_near_duplicates_of_null_and_repeated_ids(spark):
+    text = "one two three four five six seven eight nine ten eleven twelve"
+    near = text + " thirteen"
+    rows = [(None, text), (None, text), (5, text), (5, text)]
+    left = stages.drop_near_duplicates(spark, documents(spark, rows), SMALL).collect()
+    assert [(r.doc_id, r.text) for r in left] == [(5, text)]
+    rows = [(None, text), (None, near), (None, "other words here"), (None, None), (None, None),
+            (7, "a b c"), (7, "d e f"), (7, "d e f"), (8, "d e f"), (9, ""), (9, "")]
+    left = stages.drop_near_duplicates(spark, documents(spark, rows), SMALL).collect()
+    shown = [(r.doc_id, r.text) for r in left]
+    assert len([x for x in shown if x[1] in (text, near)]) == 1
+    assert len([x for x in shown if x[1] == "d e f"]) == 1
+    assert (7, "a b c") in shown and (None, "other words here") in shown
+    assert shown.count((9, "")) == 1 and shown.count((None, None)) == 1 and len(shown) == 6
+
+
 def test_pipeline_equals_brute_force(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet").collect()
     sets = _sets([(d.doc_id, d.text) for d in docs], 5)
