@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -29,6 +32,31 @@ def texts_of(column: pa.Array | pa.ChunkedArray) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 
 
+def release() -> None:
+    """Give memory that a task no longer uses back to the system.
+
+    Python workers live on for later tasks, also of other stages, and would keep it.
+    """
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # only where the C library can
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def in_arrow(
+    df: DataFrame, schema: str, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+) -> DataFrame:
+    """``df.mapInArrow(run)`` whose tasks give their memory back when they end."""
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return df.mapInArrow(tidy, schema)
+
+
 def sized(
     batches: Iterable[pa.RecordBatch], column: str, target: int = BATCH_BYTES
 ) -> Iterator[pa.RecordBatch]:
@@ -75,7 +103,7 @@ def over_batches(
         for batch in sized(batches, text, target):
             yield work(batch)
 
-    return df.mapInArrow(run, schema)
+    return in_arrow(df, schema, run)
 
 
 def lists(flat: np.ndarray, lengths: np.ndarray, kind: pa.DataType) -> pa.ListArray:
@@ -116,9 +144,11 @@ __all__ = [
     "bound_batches",
     "free_name",
     "gather",
+    "in_arrow",
     "lists",
     "materialize",
     "over_batches",
+    "release",
     "row_key",
     "shared_folder",
     "sized",

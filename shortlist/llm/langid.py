@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .batches import over_batches, sized, texts_of
+from .batches import in_arrow, over_batches, sized, texts_of
 
 BUCKETS = 1 << 16
 #: rows of each language that the model is fitted on (as a hash of the keys deals them out)
@@ -176,7 +176,7 @@ def fit(docs: DataFrame, text: str, language: str, key: str, rows: Column,
                 ["lang", "slot", "n"],
             )
 
-    counted = sample.select("_lang", "_text").mapInArrow(count, "lang long, slot long, n long")
+    counted = in_arrow(sample.select("_lang", "_text"), "lang long, slot long, n long", count)
     rows_of = counted.groupBy("lang", "slot").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros((len(languages), size))
     counts[rows_of["lang"].to_numpy(), rows_of["slot"].to_numpy()] = rows_of["n"].to_numpy()

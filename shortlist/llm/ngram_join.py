@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .batches import lists, materialize, sized
+from .batches import in_arrow, lists, materialize, sized
 from .components import connected_components
 
 WORDS, PERCENT = 3, 90
@@ -47,7 +47,7 @@ COUNTED, COMMON, MOST_COMMON = 16, 4, 500_000
 #: ids or hashes copied to the executors instead of shuffling what they choose from, at most
 #: (16 bytes each)
 COPIED_IDS = 2_000_000
-TEXT_BYTES = 1_000_000
+TEXT_BYTES = 400_000
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -67,7 +67,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     out = []
     for base in (_FACTOR, _INVERSE):
@@ -134,7 +134,7 @@ def grams_of(df: DataFrame, words: int) -> DataFrame:
             found = np.concatenate(list(shingle_hashes(batch.column("_text"), words)))
             yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64))], ["_gram"])
 
-    return df.select("_text").mapInArrow(run, "_gram long")
+    return in_arrow(df.select("_text"), "_gram long", run)
 
 
 class Order:
@@ -206,7 +206,7 @@ def profiles(df: DataFrame, words: int) -> DataFrame:
                 ["_key", "_n", "_h1", "_h2"],
             )
 
-    return df.select("_key", "_text").mapInArrow(run, "_key long, _n long, _h1 long, _h2 long")
+    return in_arrow(df.select("_key", "_text"), "_key long, _n long, _h1 long, _h2 long", run)
 
 
 def _digest(grams: np.ndarray) -> int:
@@ -259,10 +259,11 @@ def prefixes(df: DataFrame, words: int, percent: int, order: Order) -> DataFrame
                 ["_rep", "_h1", "_n", *PARITY, "_half", "_whole", "_prefix"],
             )
 
-    return df.select("_key", "_text").mapInArrow(
-        run,
+    return in_arrow(
+        df.select("_key", "_text"),
         f"_rep long, _h1 long, _n long, {', '.join(f'{p} long' for p in PARITY)}, "
         "_half array<long>, _whole array<long>, _prefix array<long>",
+        run,
     )
 
 
@@ -308,8 +309,8 @@ def _segments(df: DataFrame, words: int) -> DataFrame:
                 ["_key", "_h1", "_f", "_grams"],
             )
 
-    return df.select("_key", "_text").mapInArrow(
-        run, "_key long, _h1 long, _f int, _grams array<long>"
+    return in_arrow(
+        df.select("_key", "_text"), "_key long, _h1 long, _f int, _grams array<long>", run
     )
 
 

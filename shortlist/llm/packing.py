@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .batches import gather, sized, texts_of
+from .batches import gather, in_arrow, sized, texts_of
 from .bpe import byte_symbols
 
 WINDOW = 1024
@@ -89,6 +89,11 @@ class ByteBpe:
         self.known: dict[str, int] = {}
         self._clear()
 
+    def forget(self) -> None:
+        """Drop the remembered pieces; the vocabulary stays."""
+        self.known = {}
+        self._clear()
+
     def _clear(self) -> None:
         self.known.clear()
         self.starts = self.lengths = np.zeros(0, dtype=np.int64)
@@ -354,5 +359,6 @@ def pack(
                 if stream.held >= STRETCH:
                     yield from stream.settle(last=False)
         yield from stream.settle(last=True)
+        words.forget()
 
-    return rest.mapInArrow(run, schema)
+    return in_arrow(rest, schema, run)
