@@ -27,6 +27,7 @@ STORED = [
     "queries",
     "postings",
     "doc_stats",
+    "blocks",
     "vocabulary",
     "word_vectors",
     "index",

@@ -291,8 +291,11 @@ def bm25_top_n(
     lowest ids and score 0. Those are always among the ``n`` lowest ids of all papers.
     """
     top = rank_top(scores, n)
-    if not fill:
-        return top
+    return fill_lists(top, n, queries, papers) if fill else top
+
+
+def fill_lists(top: DataFrame, n: int, queries: DataFrame, papers: DataFrame) -> DataFrame:
+    """Lists shorter than ``n`` completed with the lowest ids of ``papers``, at score 0."""
     lowest = papers.select("paper_id").distinct().orderBy("paper_id").limit(n)
     filler = lowest.agg(F.array_sort(F.collect_list("paper_id")).alias("ids")).scalar()
     found = top.groupBy("query_id").agg(F.count("*").alias("_found"))

@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 
 from .. import defaults as D
 from ..functions import vectors
+from ..operators.block_index import search_blocks
 from ..operators.candidates import query_document
 from ..operators.encode import Encoder, embed_documents
-from ..operators.knn import knn
-from ..operators.lexical import bm25_scores, bm25_top_n, corpus_stats, query_terms
+from ..operators.knn import knn, rank_top
+from ..operators.lexical import bm25_scores, corpus_stats, fill_lists, query_terms
 from ..operators.quantize import quantize
 from ..storage import materialize
 
@@ -59,13 +60,22 @@ def lexical_retriever(
     lemmas: DataFrame | None = None,
     pretokenized: bool = False,
     fill: bool = False,
+    index: DataFrame | None = None,
 ) -> Retriever:
-    """Best papers by BM25."""
+    """Best papers by BM25.
+
+    With ``index``, the block-max index of the same postings (``block_index``), documents that
+    cannot be among the best are not scored and sums stay in their task.
+    """
 
     def retrieve(queries: DataFrame, n: int) -> DataFrame:
         asked = query_terms(queries, text(queries), stopwords, lemmas, pretokenized)
         terms = materialize(asked, "query-terms")
-        scores = bm25_scores(terms, postings, corpus_stats(doc_stats), k, b)
-        return bm25_top_n(scores, n, queries, doc_stats, fill)
+        stats = corpus_stats(doc_stats)
+        if index is None:
+            top = rank_top(bm25_scores(terms, postings, stats, k, b), n)
+        else:
+            top = search_blocks(terms, index, stats, n, k, b)
+        return fill_lists(top, n, queries, doc_stats) if fill else top
 
     return retrieve

@@ -93,3 +93,8 @@ def read_postings(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
         _table(spark, f"{path}/postings", schemas.POSTINGS, "parquet"),
         _table(spark, f"{path}/doc_stats", schemas.DOC_STATS, "parquet"),
     )
+
+
+def read_block_index(spark: SparkSession, path: str) -> DataFrame:
+    """The block-max index of a lexical index."""
+    return _table(spark, path, schemas.BLOCK_INDEX, "parquet")

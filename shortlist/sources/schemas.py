@@ -11,3 +11,7 @@ POSTINGS = "term string, paper_id string, tf int, doc_len int"
 DOC_STATS = "paper_id string, doc_len int"
 CANDIDATES = "query_id string, paper_id string, rank int, score double"
 QUERIES = "query_id string, citing_title string, citing_abstract string, local_context string"
+BLOCK_INDEX = (
+    "part int, term string, docs array<int>, tfs array<int>, blocks array<int>, "
+    "ends array<int>, most_tf array<int>, least_len array<int>, ids array<string>, lens array<int>"
+)

@@ -31,6 +31,11 @@ def write_postings(
     doc_stats.write.mode(mode).parquet(f"{path}/doc_stats")
 
 
+def write_block_index(index: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """Store a block-max index. A file holds whole parts, sorted so that readers skip terms."""
+    index.sortWithinPartitions("term", "part").write.mode(mode).parquet(path)
+
+
 def write_candidates(candidates: DataFrame, path: str, mode: str = "errorifexists") -> None:
     candidates.write.mode(mode).parquet(path)
 

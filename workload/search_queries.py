@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from shortlist.operators import candidates as C
 from shortlist.operators import evaluate as E
 from shortlist.operators import lexical, rerank
+from shortlist.operators.block_index import build_block_index, search_blocks
 from shortlist.operators.numbering import dense_index, ordered_index, sample_rows
 from shortlist.plans import jobs
 
@@ -67,7 +68,37 @@ def bm25_scores_shuffled(t: Tables):
 
 @register("bm25_search", sql.query(_LIST, best=sql.ranked("bm25", 100)))
 def bm25_search(t: Tables):
-    return _list_columns(jobs.bm25_search(t.queries, t.postings, t.doc_stats, 100))
+    found = jobs.bm25_search(t.queries, t.postings, t.doc_stats, 100, index=t.blocks)
+    return _list_columns(found)
+
+
+@register("bm25_search_turns", sql.query(
+    _LIST,
+    qterms=f"""
+        SELECT query_id, term, count(*) AS qtf
+        FROM (SELECT concat_ws('-', conv_id, turn) AS query_id,
+                     unnest({sql.tokens("text")}) AS term FROM conversations) GROUP BY ALL""",
+    best=sql.ranked("bm25", 20),
+))
+def bm25_search_turns(t: Tables):
+    """All turns of all conversations, in several query blocks."""
+    asked = lexical.query_terms(t.turns, F.col("local_context"))
+    terms = t.stored("turn-terms", lambda: asked)
+    return _list_columns(search_blocks(terms, t.blocks, t.stats, 20, block_terms=10_000))
+
+
+@register("build_block_index", sql.query("""
+    SELECT term, count(*) AS df, max(tf) AS most_tf, min(doc_len) AS least_len, sum(tf) AS occurrences
+    FROM postings JOIN doc_stats USING (paper_id) GROUP BY term"""))
+def build_block_index_(t: Tables):
+    """The block-max index, its blocks put together for each term."""
+    rows = build_block_index(t.postings).filter("term is not null")
+    return rows.groupBy("term").agg(
+        F.sum(F.size("docs")).alias("df"),
+        F.max(F.array_max("most_tf")).alias("most_tf"),
+        F.min(F.array_min("least_len")).alias("least_len"),
+        F.sum(F.aggregate("tfs", F.lit(0).cast("long"), lambda s, x: s + x)).alias("occurrences"),
+    )
 
 
 def _with_lemmas(terms: str, weight: str) -> str:

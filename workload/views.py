@@ -18,6 +18,7 @@ from shortlist import defaults as D
 from shortlist.functions import text as T
 from shortlist.functions import vectors
 from shortlist.operators import lexical
+from shortlist.operators.block_index import build_block_index
 from shortlist.operators.candidates import context_queries
 from shortlist.operators.encode import hierarchical_encoder
 from shortlist.operators.numbering import dense_index
@@ -213,9 +214,14 @@ class Tables:
         )
         return materialize(unit, "index")
 
+    @cached_property
+    def blocks(self) -> DataFrame:
+        """The block-max index of the postings."""
+        return materialize(build_block_index(self.postings), "block-index")
+
     @property
     def bm25(self) -> Retriever:
-        return lexical_retriever(self.postings, self.doc_stats)
+        return lexical_retriever(self.postings, self.doc_stats, index=self.blocks)
 
     @property
     def dense(self) -> Retriever:
