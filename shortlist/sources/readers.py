@@ -1,9 +1,9 @@
 """Readers. Schemas are always given, never inferred.
 
 A format is one of ``parquet``, ``jsonl`` (one record per line) or ``json``. The last
-is how such data is usually published: one JSON object keyed by id, or one JSON array.
-Such a file cannot be split, so convert it to Parquet once (see ``writers.write_table``)
-and read that from then on; a folder of such files is read file by file in parallel.
+is how such data is usually published: one JSON object keyed by id, or one JSON array. Such a file is
+read in blocks in parallel (``json_parts``), which takes a pass of its own when the reader is
+called, so convert it to Parquet (see ``writers.write_table``) if it is read often.
 Malformed JSON fails the read.
 """
 
@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import schemas
+from .json_parts import read_values
 from ..functions import vectors
 from ..operators.quantize import quantize
 
@@ -23,9 +24,16 @@ STRICT = {"mode": "FAILFAST"}
 
 def _keyed_objects(spark: SparkSession, path: str, value_schema: str) -> DataFrame:
     """Rows ``(key, value)`` of files holding one JSON object keyed by id."""
-    whole = spark.read.text(path, wholetext=True)
-    entries = F.from_json("value", f"map<string,{value_schema}>", STRICT)
-    return whole.select(F.explode(entries).alias("key", "value"))
+    some = F.concat(F.lit("{"), "value", F.lit("}"))
+    entries = F.from_json(some, f"map<string,{value_schema}>", STRICT)
+    return read_values(spark, path).select(F.explode(entries).alias("key", "value"))
+
+
+def _objects(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Rows of files holding one JSON array of objects."""
+    some = F.concat(F.lit("["), "value", F.lit("]"))
+    rows = F.from_json(some, f"array<struct<{schema}>>", STRICT)
+    return read_values(spark, path).select(F.inline(rows))
 
 
 def _table(spark: SparkSession, path: str, schema: str, fmt: str) -> DataFrame:
@@ -60,7 +68,7 @@ def read_corpus(
     """One split: query contexts and their positives, optionally with candidate lists."""
     schema = schemas.CORPUS_WITH_CANDIDATES if candidates else schemas.CORPUS
     if fmt == "json":
-        return spark.read.schema(schema).options(**STRICT).json(path, multiLine=True)
+        return _objects(spark, path, schema)
     return _table(spark, path, schema, fmt)
 
 
