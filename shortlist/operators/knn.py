@@ -25,8 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from ..functions import vectors
 from ..storage import materialize
+from .restricted import best_allowed
 
 SCORE_DIGITS = 9
 #: documents scored in one matrix product
@@ -198,27 +198,22 @@ def rank_top(scored: DataFrame, n: int) -> DataFrame:
     )
 
 
-def _pair_score(a, b, precision: str, dim: int):
-    if precision == "bool":
-        return vectors.hamming_similarity(a, b, dim)
-    return vectors.dot(a, b)
+def _allowed_best(
+    queries: DataFrame, docs: DataFrame, allowed: DataFrame, n: int, precision: str, dim: int,
+    part_rows: int, min_parts: int,
+) -> DataFrame:
+    """The best allowed pairs of each grid cell."""
 
+    def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+        return _matrix(column, precision, dim)
 
-def _allowed_pairs(
-    queries: DataFrame, docs: DataFrame, allowed: DataFrame, precision: str, dim: int
-) -> DataFrame:
-    pairs = allowed.select(
-        F.col("query_id").cast("string"), F.col("paper_id").cast("string")
-    ).distinct()
-    return (
-        pairs.join(docs.select(F.col("id").alias("paper_id"), F.col("vec").alias("_d")), "paper_id")
-        .join(queries.select(F.col("id").alias("query_id"), F.col("vec").alias("_q")), "query_id")
-        .select(
-            "query_id",
-            "paper_id",
-            _pair_score(F.col("_q"), F.col("_d"), precision, dim).alias("score"),
-        )
-        .filter(~F.isnan("score") & (F.abs("score") < float("inf")))
+    def score(queries: np.ndarray, docs: np.ndarray) -> np.ndarray:
+        with np.errstate(invalid="ignore", over="ignore"):
+            product = (queries * docs).sum(axis=1)
+        return (product + dim) / 2.0 if precision == "bool" else product
+
+    return best_allowed(
+        queries, docs, allowed, n, matrix, score, SCORE_DIGITS, part_rows, min_parts
     )
 
 
@@ -243,8 +238,11 @@ def knn(
     always takes the grid.
     """
     q, d = _keyed(queries, "query_id", "vec"), _keyed(docs, "paper_id", "vec")
+    if min_parts is None:
+        min_parts = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     if allowed is not None and "query_id" in allowed.columns:
-        return rank_top(_allowed_pairs(q, d, allowed, precision, dim), n)
+        best = _allowed_best(q, d, allowed, n, precision, dim, part_rows, min_parts)
+        return rank_top(best, n)
     if allowed is not None:
         only = allowed.select(F.col("paper_id").cast("string").alias("id"))
         d = d.join(only, "id", "left_semi")
@@ -254,8 +252,6 @@ def knn(
         head = q.limit(limit + 1).toArrow()
         if head.num_rows <= limit:
             return rank_top(_by_broadcast(head, d, n, precision, dim), n)
-    if min_parts is None:
-        min_parts = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     query_rows = max(1, min(4096, (BROADCAST_STATE >> 2) // n))
     q = materialize(q, "query-vectors")
     return rank_top(_by_grid(q, d, n, precision, dim, part_rows, query_rows, min_parts), n)
