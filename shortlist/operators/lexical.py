@@ -9,11 +9,12 @@ the best ``n`` rows per query and task travel.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
@@ -95,36 +96,80 @@ NOUN_ENDINGS = (
 )
 
 
-def build_lemmas(tokens: DataFrame, dictionary: DataFrame | None = None) -> DataFrame:
+# Common nouns with an irregular plural.
+IRREGULAR_NOUNS = (
+    ("analyses", "analysis"), ("appendices", "appendix"), ("axes", "axis"), ("bases", "basis"),
+    ("children", "child"), ("crises", "crisis"), ("criteria", "criterion"), ("feet", "foot"),
+    ("geese", "goose"), ("halves", "half"), ("hypotheses", "hypothesis"), ("indices", "index"),
+    ("knives", "knife"), ("lice", "louse"), ("lives", "life"), ("matrices", "matrix"),
+    ("men", "man"), ("mice", "mouse"), ("oases", "oasis"), ("oxen", "ox"),
+    ("parentheses", "parenthesis"), ("phenomena", "phenomenon"), ("syntheses", "synthesis"),
+    ("teeth", "tooth"), ("theses", "thesis"), ("vertices", "vertex"), ("wives", "wife"),
+    ("women", "woman"),
+)
+
+
+def noun_exceptions(spark: SparkSession) -> DataFrame:
+    """:data:`IRREGULAR_NOUNS` as a table ``(token, lemma)``."""
+    return spark.createDataFrame(list(IRREGULAR_NOUNS), "token string, lemma string")
+
+
+def _without_endings(forms: DataFrame) -> DataFrame:
+    """Every form with one of its noun endings replaced; ``path`` is the order of preference."""
+    rules = [
+        F.when(
+            F.col("form").endswith(old),
+            F.struct(
+                F.concat(F.expr(f"left(form, length(form) - {len(old)})"), F.lit(new)).alias("form"),
+                F.concat("path", F.lit(f"{i:02}")).alias("path"),
+            ),
+        )
+        for i, (old, new) in enumerate(NOUN_ENDINGS, start=1)
+    ]
+    made = forms.select("token", F.explode(F.array_compact(F.array(*rules))).alias("made"))
+    return made.select("token", "made.form", "made.path")
+
+
+def build_lemmas(
+    tokens: DataFrame, dictionary: DataFrame | None = None, exceptions: DataFrame | None = None
+) -> DataFrame:
     """``(token, lemma)`` for the distinct tokens whose lemma differs from them.
 
-    A lemma is the shortest dictionary word among the token itself and the token with
-    one noun ending replaced. The default dictionary is the set of tokens itself.
+    A lemma is the shortest dictionary word among the token and what may stand for it; of
+    equally short ones the token itself comes first, then the earlier rule. For a token in
+    ``exceptions(token, lemma)`` (by default :func:`noun_exceptions`) that is its exceptions and
+    nothing else. Otherwise noun endings are replaced once, and again while no form of the
+    token is a dictionary word. The default dictionary is the set of tokens itself.
     """
-    distinct = tokens.select("token").distinct()
-    words = (dictionary.select("token") if dictionary is not None else distinct).distinct()
-    candidates = F.array_compact(
-        F.array(
-            F.col("token"),
-            *[
-                F.when(
-                    F.col("token").endswith(old),
-                    F.concat(F.expr(f"left(token, length(token) - {len(old)})"), F.lit(new)),
-                )
-                for old, new in NOUN_ENDINGS
-            ],
-        )
+    spark = tokens.sparkSession
+    distinct = tokens.select("token").filter("token is not null").distinct()
+    words = distinct if dictionary is None else dictionary.select("token").distinct()
+    words = words.select(F.col("token").alias("form"))
+    odd = (noun_exceptions(spark) if exceptions is None else exceptions).select("token", "lemma")
+    given = odd.join(distinct, "token", "left_semi").select(
+        "token", F.col("lemma").alias("form"), F.concat(F.lit("01"), "lemma").alias("path")
     )
     endings = "|".join(sorted({old for old, _ in NOUN_ENDINGS}))
-    return (
-        distinct.filter(F.col("token").rlike(f"({endings})$"))
-        .select("token", F.explode(candidates).alias("lemma"))
-        .join(words.withColumnRenamed("token", "lemma"), "lemma", "left_semi")
-        .groupBy("token")
-        .agg(F.min(F.struct(F.length("lemma").alias("n"), "lemma")).alias("best"))
-        .select("token", F.col("best.lemma").alias("lemma"))
-        .filter(F.col("lemma") != F.col("token"))
-    )
+    plain = distinct.filter(F.col("token").rlike(f"({endings})$")).join(odd, "token", "left_anti")
+    itself = plain.select("token", F.col("token").alias("form"), F.lit("").alias("path"))
+    own = given.select("token").distinct().select("token", F.col("token").alias("form"), F.lit("").alias("path"))
+
+    def best(forms: DataFrame) -> DataFrame:
+        order = F.struct(F.length("form").alias("n"), "path", "form")
+        found = forms.join(words, "form", "left_semi").groupBy("token")
+        return found.agg(F.min(order).alias("best")).select("token", "best.form")
+
+    forms = materialize(_without_endings(itself), "lemma-forms")
+    found = [best(given.unionByName(own)), materialize(best(forms.unionByName(itself)), "lemmas")]
+    if dictionary is not None:  # else every token is a word itself
+        while True:
+            rest = forms.join(found[-1].select("token"), "token", "left_anti")
+            forms = materialize(_without_endings(rest), "lemma-forms")
+            if forms.isEmpty():
+                break
+            found.append(materialize(best(forms), "lemmas"))
+    every = reduce(DataFrame.unionByName, found)
+    return every.select("token", F.col("form").alias("lemma")).filter("token <> lemma")
 
 
 def apply_lemmas(df: DataFrame, lemmas: DataFrame, token: str = "token") -> DataFrame:

@@ -97,10 +97,11 @@ def test_statistics_count_documents_without_terms(spark):
     assert (stats["n_docs"], stats["avg_len"]) == (2, 1.0)
 
 
-def lemmas(spark, words, dictionary=None):
+def lemmas(spark, words, dictionary=None, odd=None):
     tokens = spark.createDataFrame([(w,) for w in words], "token string")
     known = dictionary and spark.createDataFrame([(w,) for w in dictionary], "token string")
-    return {r["token"]: r["lemma"] for r in L.build_lemmas(tokens, known).collect()}
+    table = odd and spark.createDataFrame(odd, "token string, lemma string")
+    return {r["token"]: r["lemma"] for r in L.build_lemmas(tokens, known, table).collect()}
 
 
 def test_lemmas_need_a_dictionary_word(spark):
@@ -111,6 +112,26 @@ def test_lemmas_need_a_dictionary_word(spark):
     }
 
 
+def test_lemmas_of_irregular_nouns(spark):
+    known = ["child", "mouse", "goose", "index", "axis", "axe", "ax", "man", "men", "datum", "news"]
+    assert lemmas(spark, ["children", "mice", "geese", "indices", "axes", "men", "news"], known) == {
+        "children": "child", "mice": "mouse", "geese": "goose", "indices": "index", "axes": "axis",
+    }  # men is a word itself and as short; axes has an exception, so axe and ax do not count
+    odd = [("axes", "ax"), ("axes", "axis"), ("data", "datum"), ("news", "new")]
+    assert lemmas(spark, ["axes", "data", "children", "news", "gnus"], known, odd) == {
+        "axes": "ax", "data": "datum",
+    }
+
+
+def test_lemmas_prefer_the_shortest_then_the_earlier_rule(spark):
+    assert lemmas(spark, ["women", "masses", "boxes"], ["women", "woman", "masses", "masse", "mass",
+                                                        "boxe", "box"]) == {"masses": "mass", "boxes": "box"}
+    # no form is a word after one replacement: endings are replaced again
+    assert lemmas(spark, ["glasses", "abcss", "zzz", "s"], ["glas", "abc"]) == {
+        "glasses": "glas", "abcss": "abc",
+    }
+
+
 def test_lemmas_merge_counts(spark):
     docs = papers(spark, [("a", "cat cats dog")])
     table = spark.createDataFrame([("cats", "cat")], "token string, lemma string")

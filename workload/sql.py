@@ -2,13 +2,15 @@
 
 ``query(body, *ctes)`` puts the named fragments, and what they build on, before
 ``body``. The fragments state the semantics directly over the given tables and share
-nothing with the Spark code.
+nothing with the Spark code but a table of fixed values.
 """
 
 from __future__ import annotations
 
 import re
 
+from shortlist.operators.lexical import IRREGULAR_NOUNS
+
 WORD = r"'[\p{L}\p{N}_]+'"
 NON_SPACE = r"'[^\s\x0B\x1C-\x1F\x{85}\p{Z}]+'"
 STOPWORDS = ["the", "and", "of", "in", "is", "to", "le", "la", "de", "der", "die", "el"]
@@ -62,23 +64,26 @@ def norm(vec: str) -> str:
 
 #: noun endings and their replacements, as the lemmas use them
 _LEMMA_RULES = " UNION ALL ".join(
-    f"SELECT token, left(token, length(token) - {len(old)}) || '{new}' AS lemma "
-    f"FROM all_tokens WHERE ends_with(token, '{old}')"
-    for old, new in [
+    f"SELECT token, left(token, length(token) - {len(old)}) || '{new}' AS lemma, {i} AS place "
+    f"FROM all_tokens WHERE ends_with(token, '{old}') AND token NOT IN (SELECT token FROM odd_nouns)"
+    for i, (old, new) in enumerate([
         ("s", ""), ("ses", "s"), ("ves", "f"), ("xes", "x"), ("zes", "z"),
         ("ches", "ch"), ("shes", "sh"), ("men", "man"), ("ies", "y"),
-    ]
+    ], start=1)
 )
+_ODD_NOUNS = ", ".join(f"('{token}', '{lemma}')" for token, lemma in IRREGULAR_NOUNS)
 
 CTES = {
     "all_tokens": "SELECT DISTINCT term AS token FROM raw_postings",
     "raw_postings": "SELECT DISTINCT term FROM paper_terms",
+    "odd_nouns": f"SELECT * FROM (VALUES {_ODD_NOUNS}) AS odd(token, lemma)",
     "lemmas": f"""
         SELECT token, lemma FROM (
-            SELECT token, lemma FROM (SELECT token, token AS lemma FROM all_tokens
+            SELECT token, lemma FROM (SELECT token, token AS lemma, 0 AS place FROM all_tokens
+                                      UNION ALL SELECT token, lemma, 1 FROM odd_nouns
                                       UNION ALL {_LEMMA_RULES})
-            WHERE lemma IN (SELECT token FROM all_tokens)
-            QUALIFY row_number() OVER (PARTITION BY token ORDER BY length(lemma), lemma) = 1)
+            WHERE lemma IN (SELECT token FROM all_tokens) AND token IN (SELECT token FROM all_tokens)
+            QUALIFY row_number() OVER (PARTITION BY token ORDER BY length(lemma), place, lemma) = 1)
         WHERE lemma <> token""",
     "papers": """
         SELECT CAST(doc_id AS VARCHAR) AS paper_id, split_part(text, chr(10), 1) AS title,
