@@ -122,3 +122,18 @@ def test_one_call_may_ask_nothing(spark, world):
     queries = C.context_queries(corpus.filter("false"), contexts, papers)
     assert jobs.prefetch(queries, lexical_retriever(*index), 5).count() == 0
     assert jobs.prefetch(queries, dense_retriever(encoder, jobs.embed_papers(papers, encoder), 30), 5).count() == 0
+
+
+def test_short_passages_in_any_number(spark, tmp_path, monkeypatch):
+    """Passages of one or two words beyond one block are matched too."""
+    from workload import views
+
+    monkeypatch.setattr(views, "SHORT_PASSAGES", 40)
+    docs = [(i, f"word{i} pair{i} end") for i in range(130)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    passages = [(i, f"word{i}" if i % 2 else f"word{i} pair{i}") for i in range(100, 230)]
+    passages += [(500, "pair7 end"), (501, "word8 pair8 end")]
+    spark.createDataFrame(passages, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = views.Tables(spark, str(tmp_path)).positives.collect()
+    want = {(f"b{i}", str(d)) for i, p in passages for d, text in docs if p in text}
+    assert {(r["context_id"], r["paper_id"]) for r in rows} == want and len(want) > 30

@@ -33,11 +33,18 @@ WORD_DIM = 16
 TYPE_WEIGHTS = {D.TITLE_LABEL: 2.0, D.ABSTRACT_LABEL: 1.0, D.CONTEXT_LABEL: 3.0}
 WEIGHTS = {"bm25": 0.02, "cosine": 1.0, "jaccard": 3.0, "inverse_rank": 0.5}
 BIAS = -2.0
-#: passages of one or two words that are compared with every document at once
-MOST_SHORT_PASSAGES = 10_000
+#: passages of one or two words that are compared with every document at once, about
+SHORT_PASSAGES = 10_000
 STOPWORDS = ["the", "and", "of", "in", "is", "to", "le", "la", "de", "der", "die", "el"]
 
 
+def blocks_of(rows: DataFrame, key: str, size: int) -> list[DataFrame]:
+    """``rows`` in blocks of about ``size`` rows, dealt by a hash of ``key``."""
+    n = -(-rows.count() // size)
+    block = F.pmod(F.xxhash64(key), F.lit(n))
+    return [rows.filter(block == i) for i in range(n)]
+
+
 class Tables:
     """Views and stored indexes of one data folder. Indexes are written once."""
 
@@ -68,8 +75,8 @@ class Tables:
 
         Such a document contains every inner word of the passage, so the rarest of them finds
         the documents worth reading by an equality join. Passages without an inner word are
-        compared with every document; as they are part of a given list of queries, they are
-        copied to the executors if there are few, and a join on nothing otherwise fails.
+        compared with every document, a block of about ``SHORT_PASSAGES`` at a time, as they
+        are part of a given list of queries.
         """
         documents = self.base("documents").select("doc_id", "text")
         words = F.array_distinct(T.split_words(F.col("text")))
@@ -94,12 +101,11 @@ class Tables:
         )
         found = listed.join(rarest, "word").select("doc_id", "item_id")
         pairs = found.join(documents, "doc_id").join(passages, "item_id")
-        short = passages.filter(F.size(inner) == 0)
-        if short.count() > MOST_SHORT_PASSAGES:
-            raise ValueError("too many passages without an inner word")
         matched = pairs.filter(F.contains("text", "passage")).select("item_id", "doc_id")
-        direct = documents.join(F.broadcast(short), F.contains("text", "passage"))
-        every = matched.unionByName(direct.select("item_id", "doc_id")).select(
+        for block in blocks_of(passages.filter(F.size(inner) == 0), "item_id", SHORT_PASSAGES):
+            direct = documents.join(F.broadcast(block), F.contains("text", "passage"))
+            matched = matched.unionByName(direct.select("item_id", "doc_id"))
+        every = matched.select(
             F.concat(F.lit("b"), "item_id").alias("context_id"),
             F.col("doc_id").cast("string").alias("paper_id"),
         )
