@@ -39,7 +39,7 @@ LONG_SENTENCE, WORD_STEP = 32, 24
 #: cost of a window, so that equal padding prefers fewer windows
 WINDOW_COST = 1.0
 #: tokens solved at a time, and the tail of them that is solved again
-STRETCH, TAIL = 1 << 20, 1 << 13
+STRETCH, TAIL = 1 << 19, 1 << 13
 #: pieces between blanks remembered by a task before its memory starts anew
 PIECES_KEPT = 500_000
 #: sequence ids count from the partition number times this
@@ -348,7 +348,7 @@ def pack(
             )
 
         stream = _Stream(words, window, emit, first)
-        for batch in sized(batches, text, 2_000_000):
+        for batch in sized(batches, text, 1_000_000):
             key_type[:] = [batch.schema.field(key).type]
             flat, lengths = words.encode(texts_of(batch.column(text)))
             ends = np.cumsum(lengths).tolist()
