@@ -34,10 +34,14 @@ VOID = frozenset(
     "area base br col embed hr img input link meta param source track wbr keygen frame".split()
 )
 #: elements whose content is not markup and not article text
-RAW = frozenset(
-    "script style noscript template textarea title iframe noembed noframes xmp svg math "
-    "select button object canvas audio video datalist".split()
+RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
+#: elements with markup inside that are left out up to their end tag or that of an element
+#: around them; without any later end tag they are empty
+SKIPPED = frozenset(
+    "noscript template svg math select button object canvas audio video datalist".split()
 )
+#: block ancestors that a paragraph passes points to
+LEVELS = 5
 LEFT_OUT = frozenset("nav footer aside form menu dialog search head fieldset".split())
 ROLES = frozenset(
     "navigation banner contentinfo complementary search dialog alertdialog alert form menu "
@@ -92,10 +96,18 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECAS
 class Node:
     """An element: its place in the tree, its text, and what is known of its text."""
 
-    __slots__ = ("tag", "parent", "kids", "left_out", "chars", "linked", "score", "leaf", "order")
+    __slots__ = (
+        "tag", "parent", "kids", "left_out", "chars", "linked", "score", "leaf", "order",
+        "block", "in_link", "in_article", "foreign",
+    )
 
     def __init__(self, tag: str, parent: Node | None, order: int, left_out: bool) -> None:
         self.tag, self.parent, self.order, self.left_out = tag, parent, order, left_out
+        # the nearest block, itself included, and what it is inside of
+        self.block: Node = self if parent is None or tag in BLOCKS else parent.block
+        self.in_link = tag == "a" or (parent is not None and parent.in_link)
+        self.in_article = tag in ("article", "main") or (parent is not None and parent.in_article)
+        self.foreign = tag in ("svg", "math") or (parent is not None and parent.foreign)
         self.kids: list[Node | str] = []
         self.chars = self.linked = 0
         self.score: float | None = None
@@ -103,9 +115,9 @@ class Node:
 
 
 def _left_out(tag: str, attributes: str, parent: Node) -> bool:
-    if tag in LEFT_OUT:
+    if tag in LEFT_OUT or tag in SKIPPED:
         return True
-    if tag == "header" and not _within(parent, ("article", "main")):
+    if tag == "header" and not parent.in_article:
         return True
     if not attributes or attributes.isspace() or tag in ("html", "body"):
         return False
@@ -124,24 +136,67 @@ def _left_out(tag: str, attributes: str, parent: Node) -> bool:
     return not words.isdisjoint(MARKS) and words.isdisjoint(KEEPS)
 
 
-def _within(node: Node | None, tags: tuple[str, ...]) -> bool:
-    while node is not None:
-        if node.tag in tags:
-            return True
-        node = node.parent
-    return False
+class _Open:
+    """The element that is open, and how many of each tag are around it."""
+
+    def __init__(self, root: Node) -> None:
+        self.node = root
+        self.tags: dict[str, int] = {}
+
+    def enter(self, child: Node) -> None:
+        self.node = child
+        self.tags[child.tag] = self.tags.get(child.tag, 0) + 1
+
+    def leave(self, upto: Node) -> None:
+        """Close elements up to and with ``upto``."""
+        while True:
+            here = self.node
+            self.tags[here.tag] -= 1
+            self.node = here.parent
+            if here is upto:
+                return
+
+    def end_tag(self, tag: str) -> None:
+        if not self.tags.get(tag):
+            return
+        above = self.node
+        while above.tag != tag:
+            if tag not in BLOCKS and above.tag in BLOCKS:
+                return  # an inline end tag does not close the block it is in
+            above = above.parent
+        self.leave(above)
+
+    def make_room(self, tag: str) -> None:
+        """Close what a block's start tag ends: an open paragraph, or the item before it."""
+        closes, stops = CLOSES.get(tag, (None, None))
+        if closes is None:
+            above = self.node.block
+            if above.tag == "p" or (above.tag in HEADINGS and tag in HEADINGS):
+                if above.parent is not None:
+                    self.leave(above)
+            return
+        if not any(self.tags.get(t) for t in closes):
+            return
+        found, above = None, self.node
+        while above.parent is not None and above.tag not in stops:
+            if above.tag in closes:
+                found = above
+            above = above.parent
+        if found is not None:
+            self.leave(found)
 
 
 def parse(html: str) -> list[Node]:
     """The elements of a page in page order; the first is the root. Broken markup is mended."""
     root = Node("html", None, 0, False)
-    nodes, node, at = [root], root, 0
+    nodes, now, at = [root], _Open(root), 0
     lowered: str | None = None
+    last_end: dict[str, int] = {}
     while True:
         match = _MARKUP.search(html, at)
         text = html[at : match.start() if match else len(html)]
-        if text and not node.left_out:
-            node.kids.append(text)
+        if text and not now.node.left_out:
+            now.node.kids.append(text)
         if match is None:
             return nodes
         at = match.end()
@@ -150,22 +205,28 @@ def parse(html: str) -> list[Node]:
             continue  # a comment, a declaration, or a tag that the page breaks off in
         tag = name.lower()
         if match["close"] or match["close2"]:
-            node = _close(node, tag)
+            now.end_tag(tag)
             continue
         if tag in ("html", "body"):
             continue  # everything is inside one root
         rest = match["rest"] or match["rest2"] or ""
-        if tag in RAW:
-            if not rest.endswith("/"):
-                lowered = html.lower() if lowered is None else lowered
+        if tag in RAW or tag in SKIPPED:
+            if lowered is None:
+                lowered = html.lower()
                 if len(lowered) != len(html):  # lower case may change lengths
                     lowered = "".join(c.lower() if c < "\x80" else c for c in html)
+            if tag in RAW and not now.node.foreign:
                 ending = lowered.find(f"</{tag}", at)
                 close = html.find(">", ending) if ending >= 0 else -1
                 at = close + 1 if close >= 0 else len(html)
-            continue
+                continue
+            if tag not in last_end:
+                last_end[tag] = lowered.rfind(f"</{tag}")
+            if last_end[tag] < at:
+                continue  # never closed: nothing is inside
         if tag in BLOCKS:
-            node = _make_room(node, tag)
+            now.make_room(tag)
+        node = now.node
         child = Node(tag, node, len(nodes), node.left_out or _left_out(tag, rest, node))
         nodes.append(child)
         if not child.left_out:
@@ -174,81 +235,49 @@ def parse(html: str) -> list[Node]:
                 outer: Node | None = node
                 while outer is not None and outer.leaf:
                     outer.leaf, outer = False, outer.parent
-        if tag not in VOID:
-            node = child
-
-
-def _make_room(node: Node, tag: str) -> Node:
-    """Close what a block's start tag ends: an open paragraph, or the item before it."""
-    closes, stops = CLOSES.get(tag, (None, None))
-    found, above = None, node
-    while above.parent is not None:
-        if closes is not None:
-            if above.tag in closes:
-                found = above
-            elif above.tag in stops:
-                break
-        elif above.tag == "p" or (above.tag in HEADINGS and tag in HEADINGS):
-            found = above
-            break
-        elif above.tag in BLOCKS:
-            break
-        above = above.parent
-    return found.parent if found is not None and found.parent is not None else node
-
-
-def _close(node: Node, tag: str) -> Node:
-    above: Node | None = node
-    while above is not None and above.parent is not None:
-        if above.tag == tag:
-            return above.parent
-        if tag not in BLOCKS and above.tag in BLOCKS:
-            break  # an inline end tag does not close the block it is in
-        above = above.parent
-    return node
-
-
-def _block(node: Node) -> Node:
-    while node.tag not in BLOCKS and node.parent is not None:
-        node = node.parent
-    return node
+        if tag not in VOID and not (child.foreign and rest.endswith("/")):
+            now.enter(child)
 
 
 def score(nodes: list[Node]) -> None:
-    """Give containers the points of the paragraphs inside."""
+    """Give containers the points of the paragraphs inside.
+
+    A paragraph passes its points to the nearest ``LEVELS`` blocks around it: all of them to
+    the first, half to the second and 1/3 of 1/level to farther ones.
+    """
     own: dict[int, list] = {}  # of a block: its node, text length, commas, linked text
     for node in nodes:
         if node.left_out:
             continue
         texts = [k for k in node.kids if isinstance(k, str)]
-        if not texts:
-            continue
-        text = " ".join("".join(texts).split())
+        text = " ".join("".join(texts).split()) if texts else ""
         if not text:
             continue
-        linked = len(text) if _within(node, ("a",)) else 0
-        block = _block(node)
-        found = own.setdefault(block.order, [block, 0, 0, 0])
+        linked = len(text) if node.in_link else 0
+        found = own.setdefault(node.block.order, [node.block, 0, 0, 0])
         found[1] += len(text)
         found[2] += sum(text.count(c) for c in ",，、،")
         found[3] += linked
-        above: Node | None = node
-        while above is not None:
-            above.chars += len(text)
-            above.linked += linked
-            above = above.parent
+        node.chars += len(text)
+        node.linked += linked
+    for node in reversed(nodes):  # an element comes after the one it is in
+        if node.parent is not None and not node.left_out:
+            node.parent.chars += node.chars
+            node.parent.linked += node.linked
     for block, chars, commas, linked in own.values():
         points = 1 + commas + min(chars / CHARS_PER_POINT, MOST_LENGTH_POINTS)
         points *= 1 - linked / chars
-        container = block.parent if block.leaf and block.parent is not None else block
-        level = 0
-        while container is not None:
+        container = block
+        if block.leaf and block.parent is not None:
+            container = block.parent.block
+        for level in range(LEVELS):
             if container.tag in BLOCKS:
                 if container.score is None:
                     container.score = BEGIN.get(container.tag, 0.0)
                 container.score += points / (1, 2, 3 * level)[min(level, 2)]
-                level += 1
-            container = container.parent
+            if container.parent is None:
+                break
+            container = container.parent.block
 
 
 def _points(node: Node) -> float:

@@ -5,8 +5,10 @@ from __future__ import annotations
 import base64
 import hashlib
 import io
+import random
 import re
 import struct
+import time
 
 import numpy as np
 import pytest
@@ -278,3 +280,99 @@ def test_broken_records():
     }
     for data, error in cases.items():
         assert warc.parse_record(data) == {"error": error}
+
+
+# -- extraction: broken markup and depth ---------------------------------------------------
+
+
+@pytest.mark.parametrize("tag", sorted(extraction.SKIPPED))
+def test_unclosed_elements_do_not_swallow_the_page(tag):
+    assert extraction.main_text(f"<p>A one.</p><{tag} src=x><p>B two.</p>") == "A one.\nB two."
+    closed = f"<div><p>A one.</p><{tag}>gone<b>gone</b></{tag}><p>B two.</p></div>"
+    assert extraction.main_text(closed) == "A one.\nB two."
+    # closed by the element around it, though another one is closed later
+    around = f"<article><div><{tag}>gone</div><p>A one.</p><p>B two.</p><{tag}>gone</{tag}></article>"
+    assert extraction.main_text(around) == "A one.\nB two."
+
+
+@pytest.mark.parametrize("tag", sorted(extraction.RAW))
+def test_a_slash_does_not_close_raw_elements(tag):
+    page = f"<p>A one.</p><{tag} src='a.js'/>var x = '<p>no</p>';</{tag}><p>B two.</p>"
+    assert extraction.main_text(page) == "A one.\nB two."
+
+
+def test_foreign_elements_may_close_themselves():
+    page = "<p>A one.</p><svg><path d='x'/><title>no</title><g/></svg><p>B two.</p><svg/><p>C.</p>"
+    assert extraction.main_text(page) == "A one.\nB two.\nC."
+
+
+def test_deep_pages_take_linear_time():
+    started = time.perf_counter()
+    shown = extraction.main_text("<div>word, " * 100_000)
+    extraction.main_text("<b>word, " * 100_000)
+    extraction.main_text("<div><li>word</li></i></span>" * 50_000)
+    assert shown and time.perf_counter() - started < 10
+
+
+def test_scores_equal_a_plain_recursion():
+    rng = random.Random(6)
+    tags = ["div", "p", "b", "a", "section", "ul", "li", "article", "span", "td", "h2"]
+    for _ in range(200):
+        page = "".join(
+            rng.choice([f"<{rng.choice(tags)}>", f"</{rng.choice(tags)}>", "some words, here ", "x" * 150])
+            for _ in range(rng.randrange(1, 60))
+        )
+        nodes = extraction.parse(page)
+        extraction.score(nodes)
+        chars, linked, points = {}, {}, {}
+
+        def texts_in(node):
+            return " ".join("".join(k for k in node.kids if isinstance(k, str)).split())
+
+        def walk(node, link):
+            link = link or node.tag == "a"
+            own = len(texts_in(node))
+            total, inside = own, own if link else 0
+            for kid in node.kids:
+                if not isinstance(kid, str):
+                    t, i = walk(kid, link)
+                    total, inside = total + t, inside + i
+            chars[node.order], linked[node.order] = total, inside
+            return total, inside
+
+        def up(node):
+            while node.tag not in extraction.BLOCKS and node.parent is not None:
+                node = node.parent
+            return node
+
+        def own_of(block, node, link):
+            """Text, commas and linked text that belong to a block itself."""
+            link = link or node.tag == "a"
+            text = texts_in(node)
+            out = [len(text), text.count(","), len(text) if link else 0]
+            for kid in node.kids:
+                if not isinstance(kid, str) and kid.tag not in extraction.BLOCKS:
+                    out = [a + b for a, b in zip(out, own_of(block, kid, link), strict=True)]
+            return out
+
+        def linked_above(node):
+            return node is not None and (node.tag == "a" or linked_above(node.parent))
+
+        walk(nodes[0], False)
+        for block in nodes:
+            if block.tag not in extraction.BLOCKS and block.parent is not None:
+                continue
+            n, commas, links = own_of(block, block, linked_above(block.parent))
+            if not n:
+                continue
+            value = (1 + commas + min(n / 100, 3)) * (1 - links / n)
+            at = up(block.parent) if block.leaf and block.parent is not None else block
+            for share in (1, 2, 6, 9, 12):
+                if at.tag in extraction.BLOCKS:
+                    points[at.order] = points.get(at.order, extraction.BEGIN.get(at.tag, 0.0)) + value / share
+                if at.parent is None:
+                    break
+                at = up(at.parent)
+        for node in nodes:
+            assert (node.chars, node.linked) == (chars[node.order], linked[node.order])
+            assert node.score == pytest.approx(points.get(node.order))
