@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -116,3 +117,28 @@ def test_learning_lowers_the_loss(spark):
 
     assert loss(weights) < loss({"good": 0.0, "noise": 0.0})
     assert lists.select(F.max("level")).first()[0] == 1
+
+
+def test_learned_weights_equal_a_plain_solution(spark):
+    """Newton's method on the logistic loss of all pairs, written out."""
+    rng = np.random.default_rng(12)
+    rows = []
+    for q in range(40):
+        for i in range(8):
+            level = 0 if i < 2 else 1
+            rows.append((f"q{q}", level, float(rng.normal() + (level == 0)), float(rng.normal() * 3),
+                         float(rng.normal() - 0.5 * (level == 0))))
+    lists = spark.createDataFrame(rows, "query_id string, level int, one double, two double, three double")
+    got = R.fit_pairwise_ranker(lists, ("one", "two", "three"), reg=0.05, max_iter=200)
+    apart = [np.subtract(a[2:], b[2:]) for a in rows for b in rows
+             if a[0] == b[0] and a[1] == 0 and b[1] != 0]
+    x = np.concatenate([apart, np.negative(apart)])
+    y = np.repeat([1.0, 0.0], len(apart))
+    scale = x.std(axis=0, ddof=1)  # the penalty is on weights of scaled features
+    w = np.zeros(3)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-x @ w))
+        slope = x.T @ (p - y) / len(x) + 0.05 * scale**2 * w
+        bend = (x * (p * (1 - p))[:, None]).T @ x / len(x) + np.diag(0.05 * scale**2)
+        w -= np.linalg.solve(bend, slope)
+    assert [got[n] for n in ("one", "two", "three")] == pytest.approx(w.tolist(), rel=1e-3, abs=1e-4)
