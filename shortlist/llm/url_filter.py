@@ -66,7 +66,7 @@ def path_of(url: Column) -> Column:
 
 
 def longest_rule(host: Column, path: Column, rules: Sequence[Rule]) -> tuple[Column, Column]:
-    """Text and verdict of the longest fitting rule (the first of equal ones); null without."""
+    """Text and verdict of the longest fitting rule (the last of equally long ones); null without."""
     text = verdict = F.lit(None).cast("string")
     for rule in sorted(rules, key=lambda r: len(r.text)):
         fits = rule.fits(host, path)
