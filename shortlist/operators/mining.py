@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -19,6 +21,9 @@ from ..functions import vectors
 from .lexical import term_counts
 from .numbering import dense_index
 
+#: anchors of a batch whose similarities are held at a time
+ANCHOR_ROWS = 256
+
 SAMPLE_COLUMNS = ["query_id", "paper_id", "level", "role", "draw"]
 
 
@@ -278,6 +283,62 @@ def build_triplets(
     )
 
 
+def _similarities(anchors: np.ndarray, rows: np.ndarray, kind: str) -> np.ndarray:
+    """Similarity of every anchor to every row, as :func:`vectors.pair_similarity` defines it."""
+    if kind == "cosine":
+        sizes = [np.sqrt((m * m).sum(axis=1)) + D.EPSILON for m in (anchors, rows)]
+        return (anchors / sizes[0][:, None]) @ (rows / sizes[1][:, None]).T
+    # differences, not the expanded square: rows that nearly agree must not cancel
+    out = np.empty((len(anchors), len(rows)))
+    for i, anchor in enumerate(anchors):
+        out[i] = -np.sqrt(((rows - anchor) ** 2).sum(axis=1))
+    return out
+
+
+def _hinges(values: np.ndarray, floors: np.ndarray) -> float:
+    """The sum of ``max(0, value - floor)`` over all pairs, by running sums of sorted values."""
+    ordered = np.sort(values)
+    # the sum from a position on; taken from the middle, so that it stays small and exact
+    middle = ordered.mean() if len(ordered) else 0.0
+    tails = np.append(np.cumsum((ordered - middle)[::-1])[::-1], 0.0)
+    first = np.searchsorted(ordered, floors, side="right")
+    return float((tails[first] - (len(ordered) - first) * (floors - middle)).sum())
+
+
+def _batch_loss(
+    rows: pa.Table, positive_levels: Sequence[int], base_margin: float, similarity: str
+) -> float | None:
+    """The loss of one batch; None if no anchor has a positive."""
+    ids, groups = (
+        np.unique(rows[c].to_numpy(), return_inverse=True)[1] for c in ("row_id", "query_id")
+    )
+    level = rows["level"].to_numpy().astype(np.int64)
+    vec = rows["vec"].combine_chunks()
+    matrix = vec.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    matrix = matrix.reshape(len(ids), -1)
+    total, seen = 0.0, False
+    anchors = np.flatnonzero(level == 0)
+    for at in range(0, len(anchors), ANCHOR_ROWS):
+        some = anchors[at : at + ANCHOR_ROWS]
+        for anchor, sim in zip(some, _similarities(matrix[some], matrix, similarity), strict=True):
+            same = groups == groups[anchor]
+            other = ids != ids[anchor]
+            positive = np.flatnonzero(other & same & np.isin(level, list(positive_levels)))
+            if not len(positive) or not (other & (level != 0)).any():
+                continue
+            seen = True
+            floor = sim[positive] + base_margin * level[positive]
+            far = ~same & (level != 0)
+            total += _hinges(sim[far] + base_margin * D.OTHER_QUERY_LEVEL, floor)
+            near = np.flatnonzero(other & same & (level != 0))
+            gaps = (sim[near] + base_margin * level[near])[None, :] - floor[:, None]
+            valid = (level[near][None, :] > level[positive][:, None]) & (
+                ids[near][None, :] != ids[positive][:, None]
+            )
+            total += float(np.maximum(gaps, 0.0)[valid].sum())
+    return total if seen else None
+
+
 def triplet_loss(
     samples: DataFrame,
     positive_levels: Sequence[int] = D.POSITIVE_LEVELS,
@@ -286,38 +347,27 @@ def triplet_loss(
 ) -> DataFrame:
     """``(batch_id, loss)`` for samples with a vector in column ``vec``.
 
-    Each anchor meets the rows of its batch once; the few positives of an anchor are
-    kept beside it, so that triplets are summed without being listed.
+    A batch, which its budget bounds, is one matrix of similarities of its anchors to its
+    rows. The rows of other queries are sorted once per anchor, and running sums give what
+    all triplets of a positive add up to, so no triplet and no pair is ever a row, and
+    samples are exchanged once. Batches without an anchor that has a positive are left out,
+    as are samples without a batch, a level, a query or a vector. The vectors of a batch must
+    be equally long.
     """
-    anchors = samples.filter(F.col("level") == 0).select(
-        "batch_id",
-        F.col("row_id").alias("anchor"),
-        F.col("query_id").alias("anchor_class"),
-        F.col("vec").alias("_a"),
-    )
-    others = samples.select(
-        "batch_id", "row_id", "level", F.col("query_id").alias("row_class"), F.col("vec").alias("_x")
-    )
-    near = (
-        anchors.join(others, "batch_id")
-        .filter(F.col("row_id") != F.col("anchor"))
-        .withColumn("sim", vectors.pair_similarity(F.col("_a"), F.col("_x"), similarity))
-        .withColumn("same", F.col("row_class") == F.col("anchor_class"))
-        .drop("_a", "_x")
-    )
-    is_positive = F.col("same") & F.col("level").isin(list(positive_levels))
-    positives = (
-        near.filter(is_positive)
-        .groupBy("batch_id", "anchor")
-        .agg(F.collect_list(F.struct("row_id", "level", "sim")).alias("_positives"))
-    )
-    level = F.when(F.col("same"), F.col("level")).otherwise(F.lit(D.OTHER_QUERY_LEVEL))
-
-    def one(total: Column, p: Column) -> Column:
-        valid = (p["row_id"] != F.col("row_id")) & (~F.col("same") | (F.col("level") > p["level"]))
-        gap = F.col("sim") - p["sim"] + F.lit(base_margin) * (level - p["level"])
-        return total + F.when(valid, F.greatest(gap, F.lit(0.0))).otherwise(F.lit(0.0))
+    if similarity not in ("cosine", "euclidean"):
+        raise ValueError(f"unknown similarity {similarity!r}: use 'cosine' or 'euclidean'")
+    used = ["batch_id", "row_id", "query_id", "level", "vec"]
+    batch_type = samples.schema["batch_id"].dataType.simpleString()
+
+    def losses(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        loss = _batch_loss(rows, positive_levels, base_margin, similarity)
+        found = [] if loss is None else [loss]
+        return pa.table(
+            {
+                "batch_id": pa.array([key[0].as_py()] * len(found), rows["batch_id"].type),
+                "loss": pa.array(found, pa.float64()),
+            }
+        )
 
-    row_loss = F.aggregate("_positives", F.lit(0.0), one)
-    losses = near.filter(F.col("level") != 0).join(positives, ["batch_id", "anchor"])
-    return losses.groupBy("batch_id").agg(F.sum(row_loss).alias("loss"))
+    whole = samples.select(*used[:-1], vectors.as_double(F.col("vec")).alias("vec")).dropna()
+    return whole.groupBy("batch_id").applyInArrow(losses, f"batch_id {batch_type}, loss double")

@@ -189,6 +189,23 @@ def test_triplet_loss_equals_its_definition(spark, similarity):
     assert got == pytest.approx(want)
 
 
+def test_triplet_loss_is_one_exchange(spark, monkeypatch):
+    samples = batch(spark, GOLDEN)
+    both = samples.union(samples.withColumn("batch_id", F.lit("c")))
+    alone = samples.filter("level > 0").withColumn("batch_id", F.lit("no anchor"))
+    broken = samples.withColumn("vec", F.lit(None).cast("array<double>"))
+    losses = M.triplet_loss(both.union(alone).union(broken))
+    plan = losses._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+    found = {r.batch_id: r.loss for r in losses.collect()}
+    assert found == {"b": pytest.approx(0.15), "c": pytest.approx(0.15)}
+    monkeypatch.setattr(M, "ANCHOR_ROWS", 1)
+    assert M.triplet_loss(samples).first()["loss"] == pytest.approx(0.15)
+    assert M.triplet_loss(samples.limit(0)).count() == 0
+    with pytest.raises(ValueError, match="unknown similarity"):
+        M.triplet_loss(samples, similarity="dot")
+
+
 def scored(spark, lists):
     rows = [(q, f"p{i}", s, v) for q, xs in lists.items() for i, (s, v) in enumerate(xs)]
     return spark.createDataFrame(rows, "query_id string, paper_id string, score double, level int")
