@@ -117,6 +117,58 @@ def test_recall_with_a_common_mean(spark, common):
     assert sum(found.values()) >= 0.97 * links.sum()
 
 
+def test_near_copies_are_not_paired(spark, monkeypatch):
+    """Groups of near copies of several widths: exact link counts, rows in proportion to members."""
+    rng = np.random.default_rng(11)
+    unit = embedding_dedup._unit
+
+    def copies(n, spread):
+        base = unit(rng.standard_normal((1, 64)))
+        return unit(base + spread * unit(rng.standard_normal((n, 64))))
+
+    tight = np.concatenate([copies(900, 0.08), copies(300, 0.1)])
+    wide = copies(60, 0.3)  # cosines on both sides of the bound
+    vectors = np.concatenate([tight, wide, unit(rng.standard_normal((300, 64)))])
+    vectors = vectors.astype(np.float32)
+    units = unit(vectors.astype(float))
+    links = (units @ units.T >= 0.93).sum(axis=1) - 1
+    stored, write = {}, embedding_dedup.materialize
+
+    def counted(df, name):
+        done = write(df, name)
+        stored[name] = done.count()
+        return done
+
+    monkeypatch.setattr(embedding_dedup, "materialize", counted)
+    df = _table(spark, [(i, v.tolist(), 0) for i, v in enumerate(vectors)])
+    got = embedding_dedup.near_duplicates(df, "vec_id", "embedding", "label").collect()
+    found = {r.vec_id: r.n_links for r in got}
+    assert [found[i] for i in range(1200)] == links[:1200].tolist()
+    assert all(found[i] <= links[i] for i in found)
+    assert sum(found[i] for i in range(1200, 1260)) >= 0.97 * links[1200:1260].sum() > 0
+    component = {r.vec_id: r.component_id for r in got}
+    assert {component[i] for i in range(900)} == {0} and component[1199] == 900
+    made = sum(stored[f"dedup-{k}"] for k in ("near", "met", "judged", "border", "single"))
+    assert made < 12 * len(vectors)
+
+
+@pytest.mark.parametrize("bits", [12, 15, 20])
+def test_longer_substrings_find_as_many(bits):
+    rng = np.random.default_rng(12)
+    unit = embedding_dedup._unit
+    sample = unit(rng.standard_normal((4000, 64)))
+    there = rng.standard_normal(sample.shape)
+    there = unit(there - (there * sample).sum(axis=1, keepdims=True) * sample)
+    near = 0.93 * sample + np.sqrt(1 - 0.93**2) * there
+    for taught in (sample, sample[:0]):
+        rotations = embedding_dedup.Rotations(taught, 64, 0.93, bits)
+        one, two = rotations.parts(sample), rotations.parts(near)
+        assert (one == two).any(axis=1).mean() > 0.97
+        strangers = (one == np.roll(one, 1, axis=0)).sum() / len(one)
+        assert strangers < 3 * rotations.tables / (1 << bits) + 0.01
+    assert [embedding_dedup.part_bits(n) for n in (0, 1 << 14, 1 << 15, 1 << 22)] == [12, 12, 15, 20]
+
+
 def test_search_small(spark):
     rows = _rows(3)
     rows += [(3000 + i, [1.0] * 16, 0) for i in range(12)]  # ties: the smaller ids win
