@@ -31,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .ann_forest import content_key, usable
@@ -279,13 +279,16 @@ def near_classes(entries: DataFrame, coded: DataFrame, least: float) -> DataFram
     followed = near.union(near.select("_first", "_first")).groupBy("_entry")
     follows = followed.agg(F.min("_first").alias("_first")).join(vectors, "_entry")
     follows = materialize(follows, "dedup-followed")
-    order = Window.partitionBy("_first").orderBy("_entry")
+    # one member by each remainder, so that a large class is no group of one task
+    dealt = F.pmod(F.xxhash64("_entry"), F.lit(CENTRE_OF)).alias("_deal")
     centres = (
-        follows.withColumn("_row", F.row_number().over(order))
-        .filter(F.col("_row") <= CENTRE_OF)
+        follows.groupBy("_first", dealt)
+        .agg(F.min(F.struct("_entry", "_vec")).alias("_one"))
         .groupBy("_first")
-        .agg(_mean(F.array_sort(F.collect_list("_vec"))).alias("_centre"))
-    )
+        .agg(_mean(F.transform(F.array_sort(F.collect_list("_one")), lambda m: m["_vec"])).alias(
+            "_centre"
+        ))
+    )
     inside = (
         follows.join(centres, "_first")
         .withColumn("_angle", angle(F.col("_vec"), F.col("_centre")))
