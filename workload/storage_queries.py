@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from shortlist.functions import vectors as V
 from shortlist.operators import candidates as C
 from shortlist.plans import jobs
-from shortlist.sources import readers, writers
+from shortlist.sources import readers, snapshots, writers
 from shortlist.storage import scratch_dir
 
 from . import sql
@@ -176,6 +176,26 @@ def read_index_sorted(t: Tables):
     return wrong.agg(F.count("*").alias("n_rows"), unsorted.alias("n_unsorted"))
 
 
+@register(
+    "refresh_index",
+    sql.query(
+        """SELECT id AS paper_id, CASE WHEN id IN (SELECT paper_id FROM positives) THEN 1
+           ELSE len(vec) END AS n, len(vec) AS n_before
+           FROM unit_vectors WHERE kind = 'p'"""
+    ),
+)
+def refresh_index(t: Tables):
+    """New vectors for all cited papers, written to their buckets; both versions are read."""
+    path = _folder(t, "snapshots")
+    first = snapshots.write_snapshot(t.index, path, PARTS)
+    cited = t.positives.select("paper_id").distinct()
+    snapshots.refresh_snapshot(path, cited.withColumn("vec", F.array(F.lit(1.0))))
+    before = snapshots.read_snapshot(t.spark, path, first)
+    sizes = before.select("paper_id", F.size("vec").alias("n_before"))
+    after = snapshots.read_snapshot(t.spark, path)
+    return after.select("paper_id", F.size("vec").alias("n")).join(sizes, "paper_id")
+
+
 @register("read_postings", sql.query(
     "SELECT term, paper_id, tf, doc_len FROM postings JOIN doc_stats USING (paper_id)"))
 def read_postings(t: Tables):
