@@ -18,7 +18,7 @@ from ..operators import rerank as R
 from ..operators.encode import Encoder, embed_documents
 from ..operators.lexical import bm25_pairs, corpus_stats, query_terms
 from ..operators.numbering import sample_rows
-from ..sources import writers
+from ..sources import snapshots, writers
 from ..storage import materialize
 from .retrievers import Retriever, embed_queries, lexical_retriever
 
@@ -40,6 +40,22 @@ def build_index(
     writers.write_index(embed_papers(chosen, encoder), path, mode=mode)
 
 
+def refresh_index(
+    papers: DataFrame, encoder: Encoder, path: str, removed: DataFrame | None = None,
+    n_buckets: int = 1024,
+) -> int:
+    """Embed new or changed papers into the versioned index at ``path``; returns its version.
+
+    Where there is none yet, ``papers`` are the whole index, in ``n_buckets`` buckets. A round
+    of mining that re-embeds a subset writes the buckets of that subset only; read the result
+    with :func:`snapshots.read_snapshot`.
+    """
+    embedded = embed_papers(papers, encoder)
+    if not snapshots.versions(papers.sparkSession, path):
+        return snapshots.write_snapshot(embedded, path, n_buckets)
+    return snapshots.refresh_snapshot(path, embedded, removed)
+
+
 def bm25_search(
     queries: DataFrame, postings: DataFrame, doc_stats: DataFrame, n: int, **options
 ) -> DataFrame:

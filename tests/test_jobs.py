@@ -6,7 +6,7 @@ from shortlist.operators import lexical as L
 from shortlist.operators.encode import hierarchical_encoder
 from shortlist.plans import jobs
 from shortlist.plans.retrievers import dense_retriever, lexical_retriever
-from shortlist.sources import readers
+from shortlist.sources import readers, snapshots
 from shortlist.storage import materialize
 
 WORDS = [f"w{i}" for i in range(30)]
@@ -48,6 +48,18 @@ def lists(df):
     return out
 
 
+def test_index_is_refreshed(spark, world, tmp_path):
+    (papers, _, _, encoder, _), path = world, f"{tmp_path}/versions"
+    assert jobs.refresh_index(papers, encoder, path, n_buckets=8) == 1
+    retitled = papers.withColumn("title", F.lit("w0 w0 w0"))
+    changed = retitled.filter("paper_id < 'p03'")
+    assert jobs.refresh_index(changed, encoder, path) == 2
+    jobs.build_index(changed.union(papers.filter("paper_id >= 'p03'")), encoder, f"{tmp_path}/all")
+    whole = spark.read.parquet(f"{tmp_path}/all").select("paper_id", "vec")
+    found = snapshots.read_snapshot(spark, path)
+    assert sorted(found.collect()) == sorted(whole.collect())
+
+
 def test_index_is_reproducible(spark, world, tmp_path):
     papers, _, _, encoder, _ = world
     jobs.build_index(papers, encoder, f"{tmp_path}/a")
