@@ -20,9 +20,10 @@ from .skew import lookup
 
 Encoder = Callable[[DataFrame], DataFrame]
 
-#: largest vocabulary (in words) and word-vector table copied to the executors
-BROADCAST_WORDS = 4_000_000
-BROADCAST_VECTOR_BYTES = 512 << 20
+#: largest vocabulary (in words) and word-vector table copied to the executors; both pass the
+#: driver, which holds a copy several times as long as the bare words or numbers
+BROADCAST_WORDS = 250_000
+BROADCAST_VECTOR_BYTES = 32 << 20
 
 
 # --- sequences --------------------------------------------------------------------------

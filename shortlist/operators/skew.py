@@ -43,16 +43,33 @@ def lookup(rows: DataFrame, table: DataFrame, key: str, max_rows: int) -> DataFr
     """Left join of many rows with a table of one row per key.
 
     A table of at most ``max_rows`` rows is copied to the executors, so ``rows`` stay
-    where they are. Beyond that, only the entries of the ``max_rows`` most frequent keys
-    are copied; the other keys have few rows each and meet their entries in a shuffle.
+    where they are, and so are its entries for the keys of ``rows`` if these are as few. Beyond
+    that, only the entries of the most frequent keys are copied, ``max_rows`` at most; the
+    other keys have few rows each and meet their entries in a shuffle. What is copied passes the
+    driver, so ``max_rows`` should not follow the size of the data.
     """
     if fits_broadcast(table.select(key), max_rows):
         return rows.join(F.broadcast(table), key, "left")
     rows = materialize(rows, "lookup")
-    counts = rows.groupBy(key).agg(F.count("*").alias("_n"))
-    frequent = counts.orderBy(F.desc("_n")).limit(max(max_rows, SHARES)).select(key)
-    head = frequent.join(table, key, "left").withColumn("_head", F.lit(True))
-    met = rows.join(F.broadcast(head), key, "left")
-    done = met.filter(F.col("_head").isNotNull()).drop("_head")
-    rest = met.filter(F.col("_head").isNull()).select(*rows.columns).join(table, key, "left")
+    counts = rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
+    counts = materialize(counts, "lookup-counts")
+    # how many keys have 1, 2 to 3, 4 to 7, .. rows: a few short rows
+    sizes = counts.groupBy((F.length(F.bin("_n")) - 1).alias("size")).agg(F.count("*").alias("n"))
+    found = sorted((r["size"], r["n"]) for r in sizes.collect())
+    if sum(n for _, n in found) <= max_rows:
+        asked = table.join(F.broadcast(counts.select(key)), key, "left_semi")
+        return rows.join(F.broadcast(asked), key, "left")
+    total, least = 0, None
+    for size, n in reversed(found):
+        total += n
+        if total > max(max_rows, SHARES):
+            break
+        least = 2**size
+    if least is None:  # no key has more than its share
+        return rows.join(table, key, "left")
+    frequent = F.broadcast(counts.filter(F.col("_n") >= least).select(key))
+    head = F.broadcast(table.join(frequent, key, "left_semi"))
+    marked = rows.join(frequent.withColumn("_head", F.lit(True)), key, "left")
+    done = marked.filter("_head").drop("_head").join(head, key, "left")
+    rest = marked.filter("_head is null").drop("_head").join(table, key, "left")
     return done.unionByName(rest)

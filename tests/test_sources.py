@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shortlist import storage
+from shortlist.operators.encode import BROADCAST_VECTOR_BYTES, BROADCAST_WORDS
 from shortlist.operators.skew import SLICE, lookup, spread_heavy
 from shortlist.sources import readers, writers
 
@@ -139,3 +140,23 @@ def test_lookup(spark, max_rows):
     table = big.select("key").distinct().filter("key != 'k5'").withColumn("value", F.length("key"))
     got = lookup(big, table, "key", max_rows).select("row", "key", "value")
     assert rows(got, "row") == rows(big.join(table, "key", "left").select("row", "key", "value"), "row")
+
+
+def test_what_lookup_copies_does_not_follow_the_table(spark):
+    """Of 6,000 keys only the hot ones are copied; a few asked keys are copied alone."""
+    big = hot_rows(spark).unionByName(
+        spark.range(5000).select(
+            F.concat(F.lit("r"), "id").alias("row"), F.concat(F.lit("rare"), "id").alias("key")
+        )
+    )
+    table = big.select("key").distinct().withColumn("value", F.length("key"))
+    want = rows(big.join(table, "key", "left").select("row", "key", "value"), "row")
+    got = lookup(big, table, "key", 1500).select("row", "key", "value")
+    assert rows(got, "row") == want
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "_n#" in plan and ">= 4" in plan  # keys of at least so many rows
+    few = lookup(hot_rows(spark).limit(50), table, "key", 1500)
+    assert few.count() == 50
+    assert "LeftSemi" in few._jdf.queryExecution().optimizedPlan().toString()
+    # a million word vectors of 16 numbers are never copied whole
+    assert BROADCAST_VECTOR_BYTES // (4 * 16 + 64) < 300_000 and BROADCAST_WORDS < 300_000
