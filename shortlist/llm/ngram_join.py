@@ -13,8 +13,9 @@ on a pair is shared out over the pieces:
 * Overlap. What is left is counted exactly: the hash range is cut into fragments, whose
   overlaps are counted apart and summed per pair.
 
-Which n-grams are common is counted on a share of the documents that does not shrink with the
-data; a miscount makes more candidates but loses no pair. Equal sets are one entry from the
+Which n-grams are common is counted over the prefixes of all sets, as no others make candidates:
+first in hash order, then what comes into them once those found so far are last. No order loses
+a pair. Equal sets are one entry from the
 start. In a bucket of equal prefix n-grams every entry is first compared with one pivot, so a
 group of near copies costs a few comparisons each and not all pairs; only entries that this
 leaves in different components are compared further.
@@ -41,9 +42,9 @@ WORDS, PERCENT = 3, 90
 COUNT_FRAGMENTS = 8
 #: words of 64 bits in the parities that pairs are formed with, and in the longest ones
 PARITY_WORDS, MOST_WORDS = 4, 1024
-#: one set in this many, by hash of its key, is counted to find common n-grams, which are those
-#: found in at least so many of them; the list goes to every task, so the longest is bounded
-COUNTED, COMMON, MOST_COMMON = 16, 4, 500_000
+#: an n-gram in the prefixes of at least so many sets is common; the list goes to every task, so
+#: the longest is bounded; what takes the place of common ones is counted in rounds, so many at most
+COMMON, MOST_COMMON, ROUNDS = 64, 500_000, 6
 #: ids or hashes copied to the executors instead of shuffling what they choose from, at most
 #: (16 bytes each)
 COPIED_IDS = 2_000_000
@@ -126,23 +127,12 @@ def shingle_hashes(column: pa.Array, words: int) -> Iterator[np.ndarray]:
             yield gram[:0]
 
 
-def grams_of(df: DataFrame, words: int) -> DataFrame:
-    """One row per distinct n-gram of every row: ``_gram``."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sized(batches, "_text", TEXT_BYTES):
-            found = np.concatenate(list(shingle_hashes(batch.column("_text"), words)))
-            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64))], ["_gram"])
-
-    return in_arrow(df.select("_text"), "_gram long", run)
-
-
 class Order:
     """The global order: n-grams of a list last, by how common they are; others by hash."""
 
     def __init__(self, common: np.ndarray, counts: np.ndarray) -> None:
         place = np.argsort(common, kind="stable")
-        self.common = common[place]
+        self.common, self.counts = common[place], counts[place]
         self.rank = np.empty(len(common), dtype=np.int64)
         self.rank[np.argsort(counts[place], kind="stable")] = np.arange(1, len(common) + 1)
 
@@ -165,26 +155,57 @@ class Order:
         return np.concatenate([rare, grams[rest[: need - len(rare)]]])
 
 
-def common_order(df: DataFrame, words: int) -> Order:
-    """The order of the n-grams of ``df``, whose rows are different sets (``_key``, ``_text``)."""
-    chosen = df.filter(F.pmod(F.xxhash64(F.lit("common"), "_key"), F.lit(COUNTED)) == 0)
-    counts = materialize(
-        grams_of(chosen, words)
-        .groupBy("_gram")
-        .agg(F.count("*").alias("_n"))
-        .filter(F.col("_n") >= COMMON),
-        "join-common",
-    )
-    # the least count of which so many n-grams remain that the list keeps its bound
-    least, total = COMMON, 0
-    for row in counts.groupBy("_n").agg(F.count("*").alias("c")).orderBy(F.desc("_n")).collect():
-        total += row["c"]
-        if total > MOST_COMMON:
-            least = row["_n"] + 1
+def prefix_grams(df: DataFrame, words: int, percent: int, order: Order,
+                 before: Order | None) -> DataFrame:
+    """One row per n-gram in the prefix of every row, unless it was ``before``: ``_gram``."""
+
+    def new(grams: np.ndarray) -> np.ndarray:
+        found = order.prefix(grams, percent)
+        return found if before is None else np.setdiff1d(found, before.prefix(grams, percent))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sized(batches, "_text", TEXT_BYTES):
+            sets = shingle_hashes(batch.column("_text"), words)
+            found = np.concatenate([new(grams) for grams in sets])
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64))], ["_gram"])
+
+    return in_arrow(df.select("_text"), "_gram long", run)
+
+
+def common_order(df: DataFrame, words: int, percent: int = 0) -> Order:
+    """The order of the n-grams of ``df``, whose rows are different sets (``_text``).
+
+    All sets are counted: what is in their prefixes at ``percent``, or with 0 all of them. Once
+    common n-grams are last, others take their places; they are counted in the next round.
+    """
+    before, order = None, Order(np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64))
+    for _ in range(ROUNDS):
+        counts = materialize(
+            prefix_grams(df, words, percent, order, before)
+            .groupBy("_gram")
+            .agg(F.count("*").alias("_n"))
+            .filter(F.col("_n") >= COMMON),
+            "join-common",
+        )
+        # the least count of which so many n-grams remain that the list keeps its bound
+        least, total = COMMON, len(order.common)
+        for row in counts.groupBy("_n").agg(F.count("*").alias("c")).orderBy(F.desc("_n")).collect():
+            total += row["c"]
+            if total > MOST_COMMON:
+                least = row["_n"] + 1
+                break
+        found = counts.filter(F.col("_n") >= least).orderBy("_gram").toArrow()
+        grams = np.asarray(found.column("_gram").combine_chunks()).astype(np.int64).view(np.uint64)
+        times = np.asarray(found.column("_n").combine_chunks()).astype(np.int64)
+        new = ~np.isin(grams, order.common)
+        if not new.any():
+            break
+        before, order = order, Order(
+            np.concatenate([order.common, grams[new]]), np.concatenate([order.counts, times[new]])
+        )
+        if percent == 0:
             break
-    found = counts.filter(F.col("_n") >= least).orderBy("_gram").toArrow()
-    grams = np.asarray(found.column("_gram").combine_chunks()).astype(np.int64).view(np.uint64)
-    return Order(grams, np.asarray(found.column("_n").combine_chunks()).astype(np.int64))
+    return order
 
 
 def profiles(df: DataFrame, words: int) -> DataFrame:
@@ -422,7 +443,7 @@ def join_groups(df: DataFrame, key: str, text: str, words: int = WORDS,
     )
     firsts = df.filter(F.col("_key").isNotNull())
     firsts = firsts.join(_copied(idle), F.col("_key") == F.col("_idle"), "left_anti")
-    order = common_order(firsts, words)
+    order = common_order(firsts, words, percent)
     entries = materialize(
         _once(
             firsts, repeated, lambda rows: prefixes(rows, words, percent, order), ["_rep", "_h1"]

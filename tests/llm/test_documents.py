@@ -7,6 +7,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tests.llm.frames import ODD_TEXTS, documents, words
@@ -288,6 +289,24 @@ def test_common_passage_makes_no_pairs(spark):
     assert {r.component_id for r in got.collect()} == {0}
 
 
+def test_every_document_counts_for_the_common_ngrams(spark):
+    """A passage in few more documents than the bound is found whichever documents hold it."""
+    passage = [f"p{i}" for i in range(60)]
+    n = ngram_join.COMMON + 40
+    texts = [" ".join([*passage, *(f"own{i}x{j}" for j in range(6))]) for i in range(n)]
+    texts += [" ".join(f"other{i}x{j}" for j in range(60)) for i in range(200)]
+    df = documents(spark, list(enumerate(texts))).selectExpr("doc_id as _key", "text as _text")
+    order = ngram_join.common_order(df, 3, 80)
+    held = next(ngram_join.shingle_hashes(pa.array([" ".join(passage)]), 3))
+    # the prefix of 80 % takes a fifth; those of the passage are all last when it is formed
+    for text in (texts[0], texts[n - 1]):
+        grams = next(ngram_join.shingle_hashes(pa.array([text]), 3))
+        own = np.setdiff1d(grams, held)
+        assert np.isin(own, order.prefix(grams, 80)).all()
+    assert np.isin(order.common, held).all() and len(order.common) >= 6
+    assert order.counts.max() <= n
+
+
 def test_join_with_clashing_names(spark):
     text = "one two three four five six seven eight nine ten eleven twelve"
     names = ("_w _idle _rep _h1 _h2 _n _sizes _prefix _hash _pivot _top _f _grams _first _several "
