@@ -6,7 +6,8 @@ decides what moves:
 * few queries (a checked bound): the query matrix is copied to the executors and the
   documents are scored where they are scanned, without a shuffle;
 * many queries: both sides are cut into blocks on a grid, each cell receives one query
-  block and one document part, and tasks stream the documents past the query block.
+  block and one document part, and tasks stream the documents past the query block. How
+  many parts and blocks there are follows from the bytes that their copies take.
 
 Either way a task emits only rows that can still be among its best ``n`` per query, and
 a window with ``row_number() <= n`` merges tasks (Spark prunes that before the shuffle).
@@ -26,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..storage import materialize
+from .grid import grid_shape
 from .restricted import best_allowed
 
 SCORE_DIGITS = 9
@@ -36,12 +38,22 @@ QUERY_ROWS = 1024
 #: largest query table copied to every executor, and its largest running state (rows * n)
 BROADCAST_QUERIES = 16_384
 BROADCAST_STATE = 1 << 24
-#: documents per grid part
-PART_ROWS = 1_000_000
+#: documents per grid part and queries per grid block, at most
+PART_ROWS, BLOCK_ROWS = 1_000_000, 32_768
+#: bytes of a number of a vector and of a row of the result on the way, about
+VALUE_BYTES, RESULT_BYTES = 8, 40
+#: largest whole number up to which sums of single precision are exact
+EXACT_FLOAT = 1 << 24
 
 RESULT = "query_id string, paper_id string, score double"
 
 
+def _codes_type(precision: str, dim: int) -> type:
+    """Single precision where inner products of codes are small whole numbers."""
+    largest = {"bool": 1, "int4": 8**2, "int8": 128**2}.get(precision)
+    return np.float32 if largest and largest * dim <= EXACT_FLOAT else np.float64
+
+
 def _matrix(column: pa.ChunkedArray | pa.Array, precision: str, dim: int) -> np.ndarray:
     """Rows of ``dim`` numbers. Sign bits become -1 and 1."""
     array = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
@@ -52,8 +64,8 @@ def _matrix(column: pa.ChunkedArray | pa.Array, precision: str, dim: int) -> np.
     if precision == "bool":
         chunks = rows.astype("<u4").view(np.uint8).reshape(len(array), -1)
         bits = np.unpackbits(chunks, axis=1, bitorder="little")[:, :dim]
-        return bits * 2.0 - 1.0
-    return rows.astype(np.float64)
+        return bits.astype(_codes_type(precision, dim)) * 2 - 1
+    return rows.astype(_codes_type(precision, dim))
 
 
 def _scores(queries: np.ndarray, docs: np.ndarray, precision: str) -> np.ndarray:
@@ -80,8 +92,9 @@ class _Scan:
 
     def __init__(self, ids: pa.Array, matrix: np.ndarray, n: int, precision: str):
         self.ids, self.matrix, self.n, self.precision = ids, matrix, n, precision
-        # best scores so far per query; the last column is the score to reach
+        # best scores so far per query, and the least of them: the score to reach
         self.best = np.full((len(ids), n), -np.inf)
+        self.floor = np.full(len(ids), -np.inf)
 
     def add(self, ids: pa.Array, vecs: pa.Array) -> Iterator[pa.RecordBatch]:
         for at in range(0, len(ids), CHUNK_ROWS):
@@ -97,21 +110,58 @@ class _Scan:
     def _score(self, rows: slice, ids: pa.Array, docs: np.ndarray) -> pa.RecordBatch:
         with np.errstate(invalid="ignore", over="ignore"):
             exact = _scores(self.matrix[rows], docs, self.precision)
-        scores = np.where(np.isfinite(exact), np.round(exact, SCORE_DIGITS), -np.inf)
-        best = self.best[rows]
-        keep = _best_mask(scores, self.n) & (scores >= best.min(axis=1, keepdims=True))
-        keep &= scores > -np.inf
-        seen = np.concatenate([best, np.where(keep, scores, -np.inf)], axis=1)
-        self.best[rows] = np.partition(seen, seen.shape[1] - self.n, axis=1)[:, -self.n :]
-        query_at, doc_at = np.nonzero(keep)
+        floor = self.floor[rows]
+        if np.isinf(floor).any():
+            query_at, doc_at = self._first(rows, exact)
+        else:
+            query_at, doc_at = self._later(rows, exact, floor)
         return pa.record_batch(
             {
                 "query_id": self.ids.slice(rows.start).take(pa.array(query_at)),
                 "paper_id": ids.take(pa.array(doc_at)),
-                "score": pa.array(exact[query_at, doc_at]),
+                "score": pa.array(exact[query_at, doc_at].astype(np.float64)),
             }
         )
 
+    def _first(self, rows: slice, exact: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What is kept while lists are not full yet: the best of every row."""
+        with np.errstate(invalid="ignore"):
+            rounded = np.round(exact.astype(np.float64), SCORE_DIGITS)
+        scores = np.where(np.isfinite(exact), rounded, -np.inf)
+        best = self.best[rows]
+        keep = _best_mask(scores, self.n) & (scores >= best.min(axis=1, keepdims=True))
+        keep &= scores > -np.inf
+        seen = np.concatenate([best, np.where(keep, scores, -np.inf)], axis=1)
+        self.best[rows] = np.partition(seen, seen.shape[1] - self.n, axis=1)[:, -self.n :]
+        self.floor[rows] = self.best[rows].min(axis=1)
+        return np.nonzero(keep)
+
+    def _later(
+        self, rows: slice, exact: np.ndarray, floor: np.ndarray
+    ) -> tuple[np.ndarray, np.ndarray]:
+        """The same for full lists: only the few scores that reach them are looked at."""
+        least = np.nextafter((floor - 10.0**-SCORE_DIGITS).astype(exact.dtype), -np.inf)
+        found = np.flatnonzero(exact >= least[:, None])
+        query_at, doc_at = np.divmod(found, exact.shape[1])
+        scores = np.round(exact[query_at, doc_at].astype(np.float64), SCORE_DIGITS)
+        able = np.flatnonzero(np.isfinite(scores) & (scores >= floor[query_at]))
+        query_at, doc_at, scores = query_at[able], doc_at[able], scores[able]
+        if not len(able):
+            return query_at, doc_at
+        order = np.lexsort((doc_at, -scores, query_at))
+        query_at, doc_at, scores = query_at[order], doc_at[order], scores[order]
+        place = np.arange(len(query_at)) - np.searchsorted(query_at, query_at)
+        kept = place < self.n
+        query_at, doc_at, scores, place = (x[kept] for x in (query_at, doc_at, scores, place))
+        hit, line = np.unique(query_at, return_inverse=True)
+        added = np.full((len(hit), place.max() + 1), -np.inf)
+        added[line, place] = scores
+        at = hit + rows.start
+        seen = np.concatenate([self.best[at], added], axis=1)
+        self.best[at] = np.partition(seen, seen.shape[1] - self.n, axis=1)[:, -self.n :]
+        self.floor[at] = self.best[at].min(axis=1)
+        return query_at, doc_at
+
 
 def _keyed(df: DataFrame, key: str, vec: str) -> DataFrame:
     return df.select(F.col(key).cast("string").alias("id"), F.col(vec).alias("vec"))
@@ -134,8 +184,14 @@ def _by_grid(
     queries: DataFrame, docs: DataFrame, n: int, precision: str, dim: int,
     part_rows: int, query_rows: int, min_parts: int,
 ) -> DataFrame:
-    n_parts = max(min_parts, math.ceil(docs.count() / part_rows))
-    n_blocks = max(1, math.ceil(queries.count() / query_rows))
+    n_docs, n_queries = docs.count(), queries.count()
+    n_parts, n_blocks = grid_shape(
+        min_parts,
+        n_docs * dim * VALUE_BYTES,
+        n_queries * (dim * VALUE_BYTES + n * RESULT_BYTES),
+        (math.ceil(n_docs / part_rows), math.ceil(n_queries / query_rows)),
+        (min_parts, n_queries),
+    )
 
     def bucket(n_buckets: int):
         return F.pmod(F.xxhash64("id"), F.lit(n_buckets)).cast("int")
@@ -252,6 +308,6 @@ def knn(
         head = q.limit(limit + 1).toArrow()
         if head.num_rows <= limit:
             return rank_top(_by_broadcast(head, d, n, precision, dim), n)
-    query_rows = max(1, min(4096, (BROADCAST_STATE >> 2) // n))
+    query_rows = max(1, min(BLOCK_ROWS, (BROADCAST_STATE >> 2) // n))
     q = materialize(q, "query-vectors")
     return rank_top(_by_grid(q, d, n, precision, dim, part_rows, query_rows, min_parts), n)

@@ -140,3 +140,45 @@ def test_broadcast_plan_does_not_shuffle_documents(spark):
     below = found._jdf.queryExecution().executedPlan().toString().split("MapInArrow")[1]
     assert "Exchange" not in below
     assert found.filter(F.col("rank") == 1).count() == len(q)
+
+
+@pytest.mark.parametrize("precision,high", [("float32", 0), ("int8", 128), ("int4", 8)])
+def test_later_chunks_keep_what_the_first_ones_do(precision, high):
+    """Full lists look at few scores only; ties, NaN and infinity are treated as before."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    q, d = rng.normal(size=(9, 5)), rng.normal(size=(700, 5))
+    if high:
+        q, d = (np.clip(np.round(x * high / 2), -high, high) for x in (q, d))
+    else:
+        d[50], d[60, 2] = np.nan, np.inf
+    d[100:400] = d[7]
+    ids = pa.array([f"{i:04}" for i in range(len(d))])
+    scan = K._Scan(pa.array([str(i) for i in range(9)]), q, 6, precision)
+    kept, calls = [], []
+    for at in range(0, len(d), 35):
+        calls.append(np.isinf(scan.floor).any())
+        out = scan._score(slice(0, 9), ids.slice(at, 35), d[at : at + 35]).to_pylist()
+        kept += [(r["query_id"], -round(r["score"], 9), r["paper_id"]) for r in out]
+        assert all(sum(r["query_id"] == str(i) for r in out) <= 6 for i in range(9))
+    assert calls.count(True) == 1
+    finite = np.where(np.isfinite(q @ d.T), q @ d.T, -np.inf)
+    for i in range(9):
+        best = sorted((s, p) for query, s, p in kept if query == str(i))[:6]
+        order = np.lexsort((np.arange(len(d)), -np.round(finite[i], 9)))[:6]
+        assert [p for _, p in best] == [f"{j:04}" for j in order]
+
+
+def test_codes_are_multiplied_in_single_precision_only_where_that_is_exact():
+    assert K._codes_type("int8", 1024) is np.float32 and K._codes_type("int8", 1025) is np.float64
+    assert K._codes_type("bool", 64) is np.float32 and K._codes_type("float32", 2) is np.float64
+
+
+def test_grid_copies_follow_the_sizes_of_the_sides():
+    """100,000 queries once went to each of 200 parts, and 20 rows of each came back from it."""
+    value = 64 * K.VALUE_BYTES
+    parts, blocks = K.grid_shape(
+        200, 100_000 * value, 100_000 * (value + 20 * K.RESULT_BYTES), (1, 4), (200, 100_000)
+    )
+    assert parts <= 10 and blocks <= 25 and parts * blocks >= 190
