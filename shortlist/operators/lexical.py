@@ -25,6 +25,10 @@ from .knn import rank_top
 from .skew import SLICE, lookup, spread_heavy
 
 
+#: tokens that are counted at a time
+PIECE_TOKENS = 250_000
+
+
 def term_counts(
     df: DataFrame,
     key: str,
@@ -42,7 +46,7 @@ def term_counts(
     kind = rows.schema["key"].dataType.simpleString()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             keys, lists = batch.column(0), batch.column(1)
             lengths = np.asarray(pc.fill_null(pc.list_value_length(lists), 0)).astype(np.int64)
             coded = pc.dictionary_encode(lists.flatten())
@@ -68,6 +72,19 @@ def term_counts(
     )
 
 
+def pieces(batches: Iterable[pa.RecordBatch], most: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that the lists of their second column hold ``most`` values (a row at least)."""
+    most = PIECE_TOKENS if most is None else most
+    for batch in batches:
+        ends = np.cumsum(np.asarray(pc.fill_null(pc.list_value_length(batch.column(1)), 0)))
+        at = 0
+        while at < batch.num_rows:
+            before = int(ends[at - 1]) if at else 0
+            last = max(int(np.searchsorted(ends, before + most, side="right")), at + 1)
+            yield batch.slice(at, last - at)
+            at = last
+
+
 def _counted(keys: pa.Array, row, terms: pa.Array, lengths, times) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [

@@ -18,6 +18,7 @@ SETTINGS = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "8192",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "8000000",
 }
 
 #: Largest table (in rows and bytes) we are willing to copy to every executor.

@@ -1,4 +1,5 @@
 import pytest
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from shortlist.operators import lexical as L
@@ -146,3 +147,12 @@ def test_scoring_keeps_documents_in_place(spark, small):
     found = L.bm25_scores(terms, postings, L.corpus_stats(doc_stats))
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(query_id" not in plan.split("BroadcastExchange")[0]
+
+
+def test_tokens_are_counted_in_pieces():
+    """A batch of long texts is cut; a text longer than a piece is a piece of its own."""
+    lists = [["a"] * 5, [], None, ["b", "c"], ["a"] * 30, ["d"]]
+    batch = pa.record_batch({"key": pa.array(range(6)), "tokens": pa.array(lists)})
+    cut = list(L.pieces([batch], 8))
+    assert [p.num_rows for p in cut] == [4, 1, 1]
+    assert pa.Table.from_batches(cut).to_pylist() == pa.Table.from_batches([batch]).to_pylist()
