@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shortlist import storage
+from workload.storage_queries import _order_report
 from shortlist.operators.encode import BROADCAST_VECTOR_BYTES, BROADCAST_WORDS
 from shortlist.operators.skew import SLICE, lookup, spread_heavy
 from shortlist.sources import readers, writers
@@ -160,3 +161,16 @@ def test_what_lookup_copies_does_not_follow_the_table(spark):
     assert "LeftSemi" in few._jdf.queryExecution().optimizedPlan().toString()
     # a million word vectors of 16 numbers are never copied whole
     assert BROADCAST_VECTOR_BYTES // (4 * 16 + 64) < 300_000 and BROADCAST_WORDS < 300_000
+
+
+def test_order_of_files_is_checked_in_runs(spark):
+    placed = spark.createDataFrame(
+        [("f", i, f"{k:02}") for i, k in enumerate([1, 2, 3, 2, 5, 4, 4, 9, 1])]
+        + [("g", i, f"{i:02}") for i in range(7)],
+        "file_path string, row_index long, paper_id string",
+    )
+    for run_rows in (1, 2, 3, 100):
+        row = _order_report(placed, run_rows).first()
+        assert (row["n_rows"], row["n_unsorted"]) == (16, 3)
+    plan = _order_report(placed)._jdf.queryExecution().optimizedPlan().toString()
+    assert "[file_path#" in plan and "run#" in plan.split("windowspecdefinition(")[-1]

@@ -20,6 +20,8 @@ from .vector_queries import _listed, _listed_sql
 from .views import Tables
 
 
+#: rows of a file whose order is checked together
+RUN_ROWS = 20_000
 #: files that the papers are dealt to where each file is one object
 PARTS = 64
 
@@ -170,10 +172,31 @@ def read_index_sorted(t: Tables):
 
     # the row index says where a row stands in its file
     placed = read.select("paper_id", "_metadata.file_path", "_metadata.row_index")
-    ahead = Window.partitionBy("file_path").orderBy("row_index")
-    wrong = placed.withColumn("_before", F.lag("paper_id").over(ahead))
-    unsorted = F.sum(F.when(F.col("_before") > F.col("paper_id"), 1).otherwise(0))
-    return wrong.agg(F.count("*").alias("n_rows"), unsorted.alias("n_unsorted"))
+    return _order_report(placed)
+
+
+def _order_report(placed: DataFrame, run_rows: int = RUN_ROWS) -> DataFrame:
+    """Rows, and rows behind a larger id in their file; a file is checked in runs of rows."""
+    run = F.floor(F.col("row_index") / run_rows).alias("run")
+    rows = placed.select("file_path", run, "row_index", "paper_id")
+    ahead = Window.partitionBy("file_path", "run").orderBy("row_index")
+    behind = F.lag("paper_id").over(ahead) > F.col("paper_id")
+    runs = (
+        rows.withColumn("_behind", behind.cast("int"))
+        .groupBy("file_path", "run")
+        .agg(
+            F.count("*").alias("n"),
+            F.sum(F.coalesce("_behind", F.lit(0))).alias("unsorted"),
+            F.min_by("paper_id", "row_index").alias("first"),
+            F.max_by("paper_id", "row_index").alias("last"),
+        )
+    )
+    # one short row per run: the first row of a run stands behind the last of the run before
+    between = F.lag("last").over(Window.partitionBy("file_path").orderBy("run")) > F.col("first")
+    unsorted = F.col("unsorted") + F.coalesce(between.cast("int"), F.lit(0))
+    return runs.select("n", unsorted.alias("unsorted")).agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"), F.sum("unsorted").alias("n_unsorted")
+    )
 
 
 @register(
