@@ -14,8 +14,8 @@ on a pair is shared out over the pieces:
   overlaps are counted apart and summed per pair.
 
 Which n-grams are common is counted over the prefixes of all sets, as no others make candidates:
-first in hash order, then what comes into them once those found so far are last. No order loses
-a pair. Equal sets are one entry from the
+first in hash order, then those that change once the common ones found so far are last. No order
+loses a pair. Equal sets are one entry from the
 start. In a bucket of equal prefix n-grams every entry is first compared with one pivot, so a
 group of near copies costs a few comparisons each and not all pairs; only entries that this
 leaves in different components are compared further.
@@ -43,7 +43,7 @@ COUNT_FRAGMENTS = 8
 #: words of 64 bits in the parities that pairs are formed with, and in the longest ones
 PARITY_WORDS, MOST_WORDS = 4, 1024
 #: an n-gram in the prefixes of at least so many sets is common; the list goes to every task, so
-#: the longest is bounded; what takes the place of common ones is counted in rounds, so many at most
+#: the longest is bounded; prefixes are counted again once common ones are last, so often at most
 COMMON, MOST_COMMON, ROUNDS = 64, 500_000, 6
 #: ids or hashes copied to the executors instead of shuffling what they choose from, at most
 #: (16 bytes each)
@@ -157,11 +157,12 @@ class Order:
 
 def prefix_grams(df: DataFrame, words: int, percent: int, order: Order,
                  before: Order | None) -> DataFrame:
-    """One row per n-gram in the prefix of every row, unless it was ``before``: ``_gram``."""
+    """One row per n-gram in the prefix of every row whose prefix is not that of ``before``: ``_gram``."""
 
     def new(grams: np.ndarray) -> np.ndarray:
         found = order.prefix(grams, percent)
-        return found if before is None else np.setdiff1d(found, before.prefix(grams, percent))
+        same = before is not None and np.array_equal(found, before.prefix(grams, percent))
+        return found[:0] if same else found
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sized(batches, "_text", TEXT_BYTES):
@@ -176,7 +177,8 @@ def common_order(df: DataFrame, words: int, percent: int = 0) -> Order:
     """The order of the n-grams of ``df``, whose rows are different sets (``_text``).
 
     All sets are counted: what is in their prefixes at ``percent``, or with 0 all of them. Once
-    common n-grams are last, others take their places; they are counted in the next round.
+    common n-grams are last, others take their places; the prefixes that this changes are counted
+    in the next round.
     """
     before, order = None, Order(np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64))
     for _ in range(ROUNDS):
