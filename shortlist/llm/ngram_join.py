@@ -44,7 +44,7 @@ COUNT_FRAGMENTS = 8
 PARITY_WORDS, MOST_WORDS = 4, 1024
 #: an n-gram in the prefixes of at least so many sets is common; the list goes to every task, so
 #: the longest is bounded; prefixes are counted again once common ones are last, so often at most
-COMMON, MOST_COMMON, ROUNDS = 64, 500_000, 6
+COMMON, MOST_COMMON, ROUNDS = 64, 500_000, 3
 #: ids or hashes copied to the executors instead of shuffling what they choose from, at most
 #: (16 bytes each)
 COPIED_IDS = 2_000_000
