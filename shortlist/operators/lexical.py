@@ -47,15 +47,9 @@ def term_counts(
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
-            keys, lists = batch.column(0), batch.column(1)
-            lengths = np.asarray(pc.fill_null(pc.list_value_length(lists), 0)).astype(np.int64)
-            coded = pc.dictionary_encode(lists.flatten())
-            width = max(len(coded.dictionary), 1)
-            codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-            pairs = np.repeat(np.arange(len(lengths)), lengths) * width + codes
-            found, times = np.unique(pairs, return_counts=True)
-            row, code = found // width, found % width
-            yield _counted(keys, row, coded.dictionary.take(pa.array(code)), lengths, times)
+            keys = batch.column(0)
+            lengths, row, terms, times = _distinct_tokens(batch.column(1))
+            yield _counted(keys, row, terms, lengths, times)
             if keep_empty:
                 bare = np.flatnonzero(lengths == 0)
                 none = pa.nulls(len(bare), pa.string())
@@ -72,6 +66,43 @@ def term_counts(
     )
 
 
+def term_lists(df: DataFrame, key: str, tokens: Column) -> DataFrame:
+    """``(key, doc_len, terms, tfs)``: what :func:`term_counts` gives, in one row per row of ``df``.
+
+    A tenth of the work to store, shuffle or hand on, as lists move in whole.
+    """
+    rows = df.select(F.col(key).alias("key"), tokens.alias("tokens"))
+    kind = rows.schema["key"].dataType.simpleString()
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            lengths, row, terms, times = _distinct_tokens(batch.column(1))
+            ends = np.cumsum(np.bincount(row, minlength=len(lengths)))
+            offsets = pa.array(np.append(0, ends).astype(np.int32))
+            columns = [
+                batch.column(0),
+                pa.array(lengths.astype(np.int32)),
+                pa.ListArray.from_arrays(offsets, terms.cast(pa.string())),
+                pa.ListArray.from_arrays(offsets, pa.array(times.astype(np.int32))),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "doc_len", "terms", "tfs"])
+
+    schema = f"key {kind}, doc_len int, terms array<string>, tfs array<int>"
+    return rows.mapInArrow(count, schema).withColumnRenamed("key", key)
+
+
+def _distinct_tokens(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray]:
+    """The length of each list, and its distinct tokens: list number, token, how often."""
+    lengths = np.asarray(pc.fill_null(pc.list_value_length(lists), 0)).astype(np.int64)
+    coded = pc.dictionary_encode(lists.flatten())
+    width = max(len(coded.dictionary), 1)
+    codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    pairs = np.repeat(np.arange(len(lengths)), lengths) * width + codes
+    found, times = np.unique(pairs, return_counts=True)
+    row, code = found // width, found % width
+    return lengths, row, coded.dictionary.take(pa.array(code)), times
+
+
 def pieces(batches: Iterable[pa.RecordBatch], most: int | None = None) -> Iterator[pa.RecordBatch]:
     """Batches cut so that the lists of their second column hold ``most`` values (a row at least)."""
     most = PIECE_TOKENS if most is None else most
@@ -209,16 +240,40 @@ def paper_tokens(
     )
 
 
+def build_term_lists(papers: DataFrame, stopwords: Iterable[str] | None = None) -> DataFrame:
+    """``(paper_id, doc_len, terms, tfs)``: the postings of each paper in one row.
+
+    Papers without a term are rows too. Store this where postings, lengths and a block index
+    are wanted, as texts are then read once.
+    """
+    return term_lists(papers, "paper_id", paper_tokens(papers, stopwords))
+
+
+def list_postings(lists: DataFrame) -> DataFrame:
+    """The rows of :func:`build_postings` from those of :func:`build_term_lists`."""
+    each = F.explode(F.arrays_zip("terms", "tfs")).alias("t")
+    return lists.select("paper_id", "doc_len", each).select(
+        F.col("t.terms").alias("term"), "paper_id", F.col("t.tfs").alias("tf"), "doc_len"
+    )
+
+
 def build_postings(
     papers: DataFrame, stopwords: Iterable[str] | None = None, lemmas: DataFrame | None = None
 ) -> DataFrame:
     """``(term, paper_id, tf, doc_len)`` of title and abstract."""
+    if lemmas is None:
+        return list_postings(build_term_lists(papers, stopwords))
     counts = term_counts(papers, "paper_id", paper_tokens(papers, stopwords), lemmas)
     return counts.select("term", "paper_id", "tf", "doc_len")
 
 
 def build_doc_stats(papers: DataFrame, stopwords: Iterable[str] | None = None) -> DataFrame:
-    """``(paper_id, doc_len)`` for all papers, those without any term included."""
+    """``(paper_id, doc_len)`` for all papers, those without any term included.
+
+    ``papers`` may be the rows of :func:`build_term_lists`, whose lengths are known.
+    """
+    if "terms" in papers.columns:
+        return papers.select("paper_id", "doc_len")
     return papers.select("paper_id", F.size(paper_tokens(papers, stopwords)).alias("doc_len"))
 
 

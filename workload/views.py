@@ -167,12 +167,16 @@ class Tables:
         return known.select(F.col("context_id").alias("query_id"), "refid")
 
     @cached_property
+    def term_lists(self) -> DataFrame:
+        return materialize(lexical.build_term_lists(self.papers), "term-lists")
+
+    @property
     def postings(self) -> DataFrame:
-        return materialize(lexical.build_postings(self.papers), "postings")
+        return lexical.list_postings(self.term_lists)
 
     @cached_property
     def doc_stats(self) -> DataFrame:
-        return materialize(lexical.build_doc_stats(self.papers), "doc-stats")
+        return materialize(lexical.build_doc_stats(self.term_lists), "doc-stats")
 
     @property
     def stats(self) -> DataFrame:
@@ -223,7 +227,7 @@ class Tables:
     @cached_property
     def blocks(self) -> DataFrame:
         """The block-max index of the postings."""
-        return materialize(build_block_index(self.postings), "block-index")
+        return materialize(build_block_index(self.term_lists), "block-index")
 
     @property
     def bm25(self) -> Retriever:
