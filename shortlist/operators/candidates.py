@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..functions import text as T
+from .skew import needed
 
 EXCLUDE = ("never", "always", "unless_positive")
 
@@ -32,7 +33,7 @@ def resolve_papers(df: DataFrame, papers: DataFrame, key: str) -> DataFrame:
     """Add ``title`` and ``abstract`` of the paper in column ``key``; "" if missing."""
     info = papers.select(F.col("paper_id").alias(key), "title", "abstract")
     return (
-        df.join(info, key, "left")
+        df.join(needed(info, df, key), key, "left")
         .withColumn("title", T.or_empty(F.col("title")))
         .withColumn("abstract", T.or_empty(F.col("abstract")))
     )

@@ -15,7 +15,7 @@ from pyspark.sql import types
 
 from .. import defaults as D
 from ..functions import text as T
-from .lexical import apply_lemmas
+from .lexical import apply_lemmas, term_lists
 from .skew import lookup
 
 Encoder = Callable[[DataFrame], DataFrame]
@@ -138,17 +138,17 @@ def _paragraph_means(
 ) -> DataFrame:
     """Mean word vector of each ``(doc_id, at, ptype, is_empty, text)``.
 
-    Rows of a document are in one task when they come in, and stay there. Words are
-    counted before they meet their vectors, and sums are plain columns, so vectors are
-    added up on the map side and never travel per word.
+    Words are counted in their row, before they meet their vectors, so no text is shuffled
+    and no task keeps the words of many rows. Sums are plain columns, so vectors are added
+    up on the map side and never travel per word.
     """
     group = ["doc_id", "at", "ptype", "is_empty"]
     max_words = vector_bytes // (4 * dim + 64)
-    tokens = documents.select(*group, T.tokenize(F.col("text"), stopwords).alias("_tokens"))
+    rows = documents.select(F.struct(*group).alias("_row"), "text")
     counts = (
-        tokens.select(*group, F.explode_outer("_tokens").alias("word"))
-        .groupBy(*group, "word")
-        .agg(F.count("*").alias("tf"))
+        term_lists(rows, "_row", T.tokenize(F.col("text"), stopwords))
+        .select("_row.*", F.explode_outer(F.arrays_zip("terms", "tfs")).alias("_t"))
+        .select(*group, F.col("_t.terms").alias("word"), F.col("_t.tfs").alias("tf"))
     )
     if lemmas is not None:
         counts = apply_lemmas(counts, lemmas, "word")
@@ -175,7 +175,7 @@ def mean_vector_encoder(
     """Mean of the vectors of a document's known words; all zeros if it has none."""
 
     def encode(documents: DataFrame) -> DataFrame:
-        whole = documents.repartition("doc_id").select(
+        whole = documents.select(
             "doc_id",
             F.lit(0).alias("at"),
             F.lit(0).alias("ptype"),
@@ -205,10 +205,8 @@ def hierarchical_encoder(
 
     def encode(documents: DataFrame) -> DataFrame:
         padded = T.pad_paragraphs(F.col("document"), max_doc_len)
-        paragraphs = (
-            documents.repartition("doc_id")
-            .select("doc_id", F.posexplode(padded).alias("at", "p"))
-            .select("doc_id", "at", "p.ptype", "p.is_empty", "p.text")
+        paragraphs = documents.select("doc_id", F.posexplode(padded).alias("at", "p")).select(
+            "doc_id", "at", "p.ptype", "p.is_empty", "p.text"
         )
         weight = F.lit(1.0)
         for label, value in (type_weights or {}).items():

@@ -22,7 +22,7 @@ from .. import defaults as D
 from ..functions import text as T
 from ..storage import BROADCAST_ROWS, fits_broadcast, materialize
 from .knn import rank_top
-from .skew import SLICE, lookup, spread_heavy
+from .skew import SLICE, lookup, needed, spread_heavy
 
 
 #: tokens that are counted at a time
@@ -381,9 +381,7 @@ def bm25_pairs(
     hits = postings.join(known, "term", "left_semi")
     weights = _term_weights(terms, document_frequency(hits) if df is None else df, stats)
     gain = _gain(F.col("tf"), F.col("doc_len"), stats.select("avg_len").scalar(), k, b)
-    relevant = hits.select("paper_id", "term", gain.alias("_gain")).join(
-        wanted.select("paper_id").distinct(), "paper_id", "left_semi"
-    )
+    relevant = needed(hits.select("paper_id", "term", gain.alias("_gain")), wanted)
     scored = (
         wanted.join(weights, "query_id")
         .join(relevant, ["paper_id", "term"])

@@ -20,6 +20,7 @@ from ..functions import text as T
 from ..functions import vectors
 from .lexical import term_counts
 from .numbering import dense_index
+from .skew import needed
 
 #: anchors of a batch whose similarities are held at a time
 ANCHOR_ROWS = 256
@@ -56,15 +57,6 @@ def jaccard(a: Column, b: Column) -> Column:
     return common / (F.size(a) + F.size(b) - common + F.lit(D.EPSILON))
 
 
-def needed(side: DataFrame, pairs: DataFrame, key: str = "paper_id") -> DataFrame:
-    """The rows of ``side`` that ``pairs`` refer to.
-
-    Spark moves this below the projections of ``side``, so texts that no pair asks for
-    are neither tokenized nor shuffled.
-    """
-    return side.join(pairs.select(key).distinct(), key, "left_semi")
-
-
 def jaccard_pairs(pairs: DataFrame, query_sets: DataFrame, paper_sets: DataFrame) -> DataFrame:
     """Add ``jaccard`` to given ``(query_id, paper_id)`` rows; unknown papers are empty."""
     left = query_sets.select("query_id", F.col("tokens").alias("_a"))

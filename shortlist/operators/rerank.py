@@ -16,7 +16,8 @@ from ..functions import hashing
 from ..functions import text as T
 from ..functions import vectors
 from ..storage import materialize
-from .mining import exclusions, jaccard_pairs, needed, pick_positives
+from .mining import exclusions, jaccard_pairs, pick_positives
+from .skew import needed
 
 FEATURES = ("bm25", "cosine", "jaccard", "inverse_rank")
 
@@ -137,7 +138,7 @@ def pair_texts(
         F.col("citing_title"), F.col("citing_abstract"), F.col("local_context"),
         max_input_length, mask,
     )
-    texts = papers.select(
+    texts = needed(papers, candidates).select(
         "paper_id", T.candidate_text(F.col("title"), F.col("abstract")).alias("candidate_text")
     )
     return (
@@ -160,7 +161,8 @@ def pair_features(
     Each side table has one row per key, so the joins never multiply candidates, and is
     first cut down to the papers that are candidates.
     """
-    paper_sets, paper_vectors = (needed(side, candidates) for side in (paper_sets, paper_vectors))
+    listed = materialize(candidates.select("paper_id").distinct(), "pair-papers")
+    paper_sets, paper_vectors = (needed(side, listed) for side in (paper_sets, paper_vectors))
     lexical = bm25.select("query_id", "paper_id", F.col("score").alias("bm25"))
     q = query_vectors.select("query_id", F.col("vec").alias("_q"))
     d = paper_vectors.select("paper_id", F.col("vec").alias("_d"))

@@ -39,6 +39,18 @@ def spread_heavy(
     )
 
 
+def needed(side: DataFrame, pairs: DataFrame, key: str = "paper_id") -> DataFrame:
+    """The rows of ``side`` that ``pairs`` refer to.
+
+    Keys that are few are copied, so that no text is shuffled to meet them; ``pairs`` should
+    be stored, as they are read for this. Cut texts down before they are tokenized.
+    """
+    keys = pairs.select(key).distinct()
+    if fits_broadcast(keys):
+        keys = F.broadcast(keys)
+    return side.join(keys, key, "left_semi")
+
+
 def lookup(rows: DataFrame, table: DataFrame, key: str, max_rows: int) -> DataFrame:
     """Left join of many rows with a table of one row per key.
 

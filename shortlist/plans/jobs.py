@@ -18,6 +18,7 @@ from ..operators import rerank as R
 from ..operators.encode import Encoder, embed_documents
 from ..operators.lexical import bm25_pairs, corpus_stats, query_terms
 from ..operators.numbering import sample_rows
+from ..operators.skew import needed
 from ..sources import snapshots, writers
 from ..storage import materialize
 from .retrievers import Retriever, embed_queries, lexical_retriever
@@ -254,17 +255,20 @@ class FeatureTables:
     query_vectors: DataFrame
     paper_vectors: DataFrame
     query_sets: DataFrame
-    paper_sets: DataFrame
+    #: token sets of the papers that the given rows refer to
+    paper_sets: Callable[[DataFrame], DataFrame]
 
     def features(self, candidates: DataFrame) -> DataFrame:
         # each side table is cut down to the listed papers, so lists are read many times;
         # a pair is few bytes but much work, so tasks are not sized by bytes, and pairs of
         # a hot query or paper are dealt to all of them
         n_tasks = int(candidates.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        candidates = materialize(candidates, "pairs").repartition(n_tasks, "query_id", "paper_id")
+        pairs = materialize(candidates, "pairs")
+        candidates = pairs.repartition(n_tasks, "query_id", "paper_id")
         bm25 = bm25_pairs(candidates, self.terms, self.postings, self.stats)
         return R.pair_features(
-            candidates, bm25, self.query_vectors, self.paper_vectors, self.query_sets, self.paper_sets
+            candidates, bm25, self.query_vectors, self.paper_vectors, self.query_sets,
+            self.paper_sets(pairs),
         )
 
 
@@ -277,7 +281,12 @@ def feature_tables(
     paper_vectors: DataFrame,
     stopwords: Iterable[str] | None = None,
 ) -> FeatureTables:
-    query_sets, paper_sets = text_sets(queries, papers, stopwords)
+    query_sets, _ = text_sets(queries, papers, stopwords)
+
+    def paper_sets(pairs: DataFrame) -> DataFrame:
+        # cut down here: Spark moves no semi join below the exchange of the texts
+        return text_sets(queries, needed(papers, pairs), stopwords)[1]
+
     return FeatureTables(
         queries,
         materialize(query_terms(queries, queries["local_context"]), "query-terms"),

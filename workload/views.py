@@ -26,7 +26,7 @@ from shortlist.operators.rerank import score_pairs
 from shortlist.plans.jobs import FeatureTables, embed_papers, feature_tables, prefetch
 from shortlist.plans.retrievers import Retriever, dense_retriever, lexical_retriever
 from shortlist.shipping import ship_package
-from shortlist.storage import apply_settings, materialize
+from shortlist.storage import apply_settings, fits_broadcast, materialize
 
 VECTOR_DIM = 64
 WORD_DIM = 16
@@ -100,7 +100,10 @@ class Tables:
             .select("item_id", "_r.word")
         )
         found = listed.join(rarest, "word").select("doc_id", "item_id")
-        pairs = found.join(documents, "doc_id").join(passages, "item_id")
+        found = materialize(found, "passage-documents")
+        few = fits_broadcast(found)  # then texts stay where they are
+        pairs = documents.join(F.broadcast(found) if few else found, "doc_id")
+        pairs = pairs.join(passages, "item_id")
         matched = pairs.filter(F.contains("text", "passage")).select("item_id", "doc_id")
         for block in blocks_of(passages.filter(F.size(inner) == 0), "item_id", SHORT_PASSAGES):
             direct = documents.join(F.broadcast(block), F.contains("text", "passage"))
