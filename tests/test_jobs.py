@@ -149,3 +149,19 @@ def test_short_passages_in_any_number(spark, tmp_path, monkeypatch):
     rows = views.Tables(spark, str(tmp_path)).positives.collect()
     want = {(f"b{i}", str(d)) for i, p in passages for d, text in docs if p in text}
     assert {(r["context_id"], r["paper_id"]) for r in rows} == want and len(want) > 30
+
+
+def test_token_sets_are_made_for_listed_papers_only(spark, world):
+    papers, contexts, corpus, encoder, (postings, doc_stats) = world
+    queries = jobs.stored_queries(corpus, contexts, papers)
+    index = jobs.embed_papers(papers, encoder)
+    tables = jobs.feature_tables(queries, papers, postings, doc_stats, encoder, index)
+    pairs = spark.createDataFrame([("c0", "p01"), ("c1", "p01")], "query_id string, paper_id string")
+    found = {r["paper_id"]: set(r["tokens"]) for r in tables.paper_sets(pairs).collect()}
+    assert found == {"p01": {"w1", "w2", "w3", "study", "common"}}
+
+
+def test_encoder_moves_no_text(spark, world):
+    papers, encoder = world[0], world[3]
+    plan = jobs.embed_papers(papers, encoder)._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY" not in plan

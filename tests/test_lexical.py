@@ -156,3 +156,11 @@ def test_tokens_are_counted_in_pieces():
     cut = list(L.pieces([batch], 8))
     assert [p.num_rows for p in cut] == [4, 1, 1]
     assert pa.Table.from_batches(cut).to_pylist() == pa.Table.from_batches([batch]).to_pylist()
+
+
+def test_term_lists_hold_the_postings_and_lengths(spark, small):
+    docs = papers(spark, [("a", "x y y"), ("b", "x z"), ("c", "w w w z"), ("d", "..."), ("e", None)])
+    lists = L.build_term_lists(docs)
+    assert sorted(map(tuple, L.list_postings(lists).collect())) == sorted(map(tuple, small[0].collect()))
+    lengths = dict(map(tuple, L.build_doc_stats(lists).collect()))
+    assert lengths == {"a": 3, "b": 2, "c": 4, "d": 0, "e": 0}

@@ -142,3 +142,16 @@ def test_learned_weights_equal_a_plain_solution(spark):
         bend = (x * (p * (1 - p))[:, None]).T @ x / len(x) + np.diag(0.05 * scale**2)
         w -= np.linalg.solve(bend, slope)
     assert [got[n] for n in ("one", "two", "three")] == pytest.approx(w.tolist(), rel=1e-3, abs=1e-4)
+
+
+def test_few_keys_are_copied_to_the_texts(spark):
+    queries, candidates = make_queries(spark), make_candidates(spark)
+    rows = [(f"x{i}", "title", "text") for i in range(50)]
+    papers = spark.createDataFrame(rows, "paper_id string, title string, abstract string")
+    queries = queries.selectExpr("*", "'' citing_title", "'' citing_abstract", "'' local_context")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = R.pair_texts(candidates, queries, papers)._jdf.queryExecution().executedPlan()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "LeftSemi, BuildRight" in plan.toString()
