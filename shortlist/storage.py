@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +38,17 @@ def apply_settings(spark: SparkSession) -> None:
         spark.conf.set(name, value)
 
 
+@contextmanager
+def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """Another value of a session setting for the jobs that run inside."""
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def _bytes_of(df: DataFrame) -> Column:
     sizes: list[Column] = [F.lit(ROW_BYTES)]
     for field in df.schema.fields:
@@ -83,8 +98,21 @@ def scratch_dir(spark: SparkSession) -> str:
 _WRITTEN: list[str] = []
 
 
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below :func:`scratch_dir`, which :func:`clear_scratch` deletes."""
+    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
+    return path
+
+
+def arrow_place(folder: str) -> tuple[fs.FileSystem, str]:
+    """The file system and path by which Arrow reaches a folder of :func:`scratch_folder`."""
+    known = re.match(r"[a-z0-9+.-]+:", folder)
+    return fs.FileSystem.from_uri(folder if known else f"file://{folder}")
+
+
 def clear_scratch(spark: SparkSession) -> int:
-    """Delete the tables that :func:`materialize` stored; returns how many.
+    """Delete the folders of :func:`scratch_folder`; returns how many.
 
     Only folders that this process wrote are touched. Frames that read them are void after.
     """
@@ -96,15 +124,18 @@ def clear_scratch(spark: SparkSession) -> int:
     return len(paths)
 
 
-def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
+def materialize(
+    df: DataFrame, name: str, partition_by: list[str] | None = None, codec: str | None = None
+) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
     Cuts the lineage in a way that survives lost executors, and lets every later
-    reader prune columns and push filters down.
+    reader prune columns and push filters down. ``codec`` is that of the session if left out.
     """
-    path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    _WRITTEN.append(path)
+    path = scratch_folder(df.sparkSession, name)
     writer = df.write.mode("errorifexists")
+    if codec:
+        writer = writer.option("compression", codec)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)

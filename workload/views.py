@@ -171,7 +171,7 @@ class Tables:
 
     @cached_property
     def term_lists(self) -> DataFrame:
-        return materialize(lexical.build_term_lists(self.papers), "term-lists")
+        return materialize(lexical.build_term_lists(self.papers), "term-lists", codec="zstd")
 
     @property
     def postings(self) -> DataFrame:
@@ -230,7 +230,7 @@ class Tables:
     @cached_property
     def blocks(self) -> DataFrame:
         """The block-max index of the postings."""
-        return materialize(build_block_index(self.term_lists), "block-index")
+        return materialize(build_block_index(self.term_lists), "block-index", codec="zstd")
 
     @property
     def bm25(self) -> Retriever:
